@@ -1 +1 @@
-
+"""Relational operators: frames in, frames out."""
