@@ -18,7 +18,7 @@ from sievework.functions.forms import form, form_column, token_count_column
 from sievework.session import cut
 
 #: Bins of u. A source's tokens are known by bin, so its total for any mean is exact when thresholds lie on bin edges.
-BINS = 4096
+BINS = 1 << 14
 
 
 @dataclass(frozen=True)

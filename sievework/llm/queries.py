@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import cutting, mixing, packing
+from sievework.llm import cutting, formatdup, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def _limit(spark: SparkSession, sf_dir: str, task: str) -> tuple[int, int]:
     return row["max_tokens"], row["overlap_tokens"]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatdup.copies_found(formatdup.records(_table(spark, sf_dir, "corpus_records")))
+
+
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatdup.collapsed(formatdup.records(_table(spark, sf_dir, "corpus_records")))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity, _ = _limit(spark, sf_dir, "pack")
     return packing.pack(_table(spark, sf_dir, "documents"), capacity)
@@ -48,6 +56,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_records": p2_records,
     "p6_containers": p6_containers,
     "p6_fills": p6_fills,
     "p7_mix": p7_mix,
