@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import cutting, formatdup, mixing, packing
+from sievework.llm import cutting, formatdup, groupsplit, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatdup.collapsed(formatdup.records(_table(spark, sf_dir, "corpus_records")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groupsplit.torn(groupsplit.sets(_table(spark, sf_dir, "typed_questions")))
+
+
+def p5_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groupsplit.assign(groupsplit.sets(_table(spark, sf_dir, "typed_questions")), _table(spark, sf_dir, "split_targets"))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity, _ = _limit(spark, sf_dir, "pack")
     return packing.pack(_table(spark, sf_dir, "documents"), capacity)
@@ -58,6 +66,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_records": p2_records,
+    "p5_found": p5_found,
+    "p5_assignment": p5_assignment,
     "p6_containers": p6_containers,
     "p6_fills": p6_fills,
     "p7_mix": p7_mix,
