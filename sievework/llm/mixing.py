@@ -73,11 +73,34 @@ def _seed(id_col: str, text_col: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col)), F.lit(BINS))
 
 
+def fill_shares(shares: dict[str, float], most: dict[str, float], total: float) -> dict[str, float]:
+    """Tokens for each source: in proportion to the shares, none above its most, with the sum total if the mosts allow it."""
+    goals, open_ = dict.fromkeys(shares, 0.0), {name for name in shares if most[name] > 0}
+    while open_:
+        left = total - sum(goals[name] for name in shares if name not in open_)
+        whole = sum(shares[name] for name in open_)
+        full = {name for name in open_ if left * shares[name] / whole >= most[name]}
+        for name in full or open_:
+            goals[name] = min(most[name], left * shares[name] / whole)
+        if not full:
+            break
+        open_ -= full
+    return goals
+
+
+def largest_exact(plans: list[Plan]) -> float:
+    """The largest total at which every source that has tokens gives its whole share."""
+    live = [p for p in plans if p.tokens and p.max_repeats > 0]
+    return min((p.max_repeats * p.tokens * sum(q.share for q in live) / p.share for p in live), default=0.0)
+
+
 def plan_mix(df: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> list[Plan]:
     """The Poisson means of the target sources, which are few; targets: source, target_share, max_repeats.
 
-    total_tokens: size of the mix; by default the largest at which every source that has tokens can give its whole share within max_repeats.
-    Sources are compared by form. A target whose source has no tokens gets none, and the others' shares are taken in proportion.
+    total_tokens: size of the mix; by default the tokens that the target sources have. A source whose share is more than max_repeats
+    times its tokens gives those, one without tokens nothing; what they lack is shared out to the others by their shares, so the mix
+    keeps its size while any source has room. shares() reports what came of it. largest_exact() is the size up to which nothing lacks.
+    Sources are compared by form.
     Targets of one form are added up, with the smaller cap.
     """
     wanted: dict[str, tuple[float, int]] = {}
@@ -92,15 +115,14 @@ def plan_mix(df: DataFrame, targets: DataFrame, total_tokens: float | None = Non
     by_bin = {name: np.zeros(BINS) for name in wanted}
     for name, at, tokens in sums.toLocalIterator():
         by_bin[name][at] = tokens
-    live = sum(share for name, (share, most) in wanted.items() if by_bin[name].sum() and most > 0)
+    there = {name: float(tokens.sum()) for name, tokens in by_bin.items()}
     if total_tokens is None:
-        total_tokens = min((most * by_bin[name].sum() * live / share for name, (share, most) in wanted.items() if by_bin[name].sum() and most > 0), default=0)
+        total_tokens = sum(there.values())
+    goals = fill_shares({name: share for name, (share, _) in wanted.items()}, {name: there[name] * max(0, most) for name, (_, most) in wanted.items()}, total_tokens)
     plans = []
     for name, (share, most) in sorted(wanted.items()):
-        there = by_bin[name].sum()
-        goal = float(total_tokens * share / live) if there and most > 0 else 0.0
-        mean, thresholds = calibrate(by_bin[name], goal, most)
-        plans.append(Plan(name, share, most, int(there), goal, mean, tuple(thresholds)))
+        mean, thresholds = calibrate(by_bin[name], goals[name], most)
+        plans.append(Plan(name, share, most, int(there[name]), goals[name], mean, tuple(thresholds)))
     return plans
 
 
