@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import cutting, formatdup, groupsplit, mixing, packing
+from sievework.llm import cutting, formatdup, groupsplit, mixing, neardup, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,19 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatdup.collapsed(formatdup.records(_table(spark, sf_dir, "corpus_records")))
 
 
+def _near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [(_table(spark, sf_dir, name), "row_no", "state") for name in ("typed_questions", "corpus_records")]
+    return neardup.near_groups(neardup.representatives(*tables), 0.7)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_found(_near_groups(spark, sf_dir))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_groups(spark, sf_dir)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groupsplit.torn(groupsplit.sets(_table(spark, sf_dir, "typed_questions")))
 
@@ -66,6 +79,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_records": p2_records,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p5_found": p5_found,
     "p5_assignment": p5_assignment,
     "p6_containers": p6_containers,
