@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import cutting, formatdup, groupsplit, mixing, neardup, packing
+from sievework.llm import crosssplit, cutting, formatdup, groupsplit, mixing, neardup, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_groups(spark, sf_dir)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosssplit.overlaps_found(crosssplit.overlaps(_table(spark, sf_dir, "typed_questions"), 0.7))
+
+
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosssplit.counts(crosssplit.overlaps(_table(spark, sf_dir, "typed_questions"), 0.7))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groupsplit.torn(groupsplit.sets(_table(spark, sf_dir, "typed_questions")))
 
@@ -81,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_records": p2_records,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p4_found": p4_found,
+    "p4_counts": p4_counts,
     "p5_found": p5_found,
     "p5_assignment": p5_assignment,
     "p6_containers": p6_containers,
