@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +22,9 @@ from sievework.session import shared_folder
 INDEX_DOCS = 60_000
 QUERY_DOCS = 120_000
 
-#: A task: forms and row numbers of its index, the same of its queries; gives batches.
-Work = Callable[[list[str], np.ndarray, list[str], np.ndarray], Iterator[pa.RecordBatch]]
+#: A task: forms and row numbers of its index, and batches of the same of its queries; gives batches.
+Queries = list[tuple[pa.Array, np.ndarray]]
+Work = Callable[[Iterator[str], np.ndarray, Queries], Iterator[pa.RecordBatch]]
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -96,28 +96,72 @@ def join_by_blocks(index: DataFrame, queries: DataFrame, reach: Callable[[int],
     tasks = int(first_task[-1])
     block_table = spark.createDataFrame([(i, int(first_task[i]), int(chunks[i])) for i in range(len(blocks))], "block int, first_task int, chunks int")
     spread = F.pmod(F.xxhash64("row_no"), F.lit(1 << 30)).cast("int")
+    own_table = spark.createDataFrame(own, "n int, own_block int, own_blocks int")
+    visit_table = spark.createDataFrame(visits, "n int, first_block int, last_block int")
+    own_block = (F.col("own_block") + spread % F.col("own_blocks")).alias("block")
+    mine = spread % F.col("chunks")
+    # role 1: in the index, 2: a query, 3: both
     as_index = (
-        index.join(spark.createDataFrame(own, "n int, first_block int, blocks int"), "n")
-        .withColumn("block", F.col("first_block") + spread % F.col("blocks"))
-        .join(block_table, "block")
-        .select(F.explode(F.sequence(F.col("first_task"), F.col("first_task") + F.col("chunks") - 1)).alias("task"), F.lit(True).alias("indexed"), "row_no", "form")
-    )
-    as_query = (
-        queries.join(spark.createDataFrame(visits, "n int, first_block int, last_block int"), "n")
-        .withColumn("block", F.explode(F.sequence("first_block", "last_block")))
-        .join(block_table, "block")
-        .select((F.col("first_task") + spread % F.col("chunks")).alias("task"), F.lit(False).alias("indexed"), "row_no", "form")
-    )
+        index.join(own_table, "n").select("row_no", "form", own_block).join(block_table, "block")
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select((F.col("first_task") + F.col("chunk")).alias("task"), F.when((F.col("chunk") == mine) & F.lit(queries is index), 3).otherwise(1).alias("role"), "row_no", "form")
+    )
+    asking = queries.join(visit_table, "n")
+    asking = asking.withColumn("block", F.explode(F.sequence("first_block", "last_block")))
+    if queries is index:  # in its own block a query is there already
+        asking = asking.join(own_table, "n").where(F.col("block") != F.col("own_block") + spread % F.col("own_blocks"))
+    as_query = asking.join(block_table, "block").select((F.col("first_task") + mine).alias("task"), F.lit(2).alias("role"), "row_no", "form")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
-            return
-        held = pa.Table.from_batches(parts)
-        del parts
-        for task in held["task"].unique().to_pylist():
-            mine = held.filter(pc.equal(held["task"], task))
-            index_part, query_part = mine.filter(mine["indexed"]), mine.filter(pc.invert(mine["indexed"]))
-            yield from work(index_part["form"].to_pylist(), index_part["row_no"].to_numpy(), query_part["form"].to_pylist(), query_part["row_no"].to_numpy())
+        indexed: list[pa.RecordBatch] = []
+        asked: Queries = []
+        for batch in batches:  # a partition is a task
+            role = batch.column(1).to_numpy()
+            indexed.append(batch.filter(pa.array(role != 2)).select([2, 3]))
+            q = batch.filter(pa.array(role != 1))
+            if q.num_rows:
+                asked.append((q.column(3), q.column(2).to_numpy()))
+        rows = np.concatenate([b.column(0).to_numpy() for b in indexed]) if indexed else np.zeros(0, np.int64)
+        if len(rows) and asked:
+            yield from work((form for b in indexed for form in b.column(1).to_pylist()), rows, asked)
 
     return as_index.unionByName(as_query).repartitionById(tasks, F.col("task")).mapInArrow(run, schema)
+
+
+def query_batches(queries: Queries, size: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    for forms, rows in queries:
+        for start in range(0, len(rows), size):
+            yield forms.slice(start, size).to_pylist(), rows[start : start + size]
+
+
+class Sets:
+    """Many ascending sets in one array."""
+
+    def __init__(self, each: Iterator[np.ndarray]) -> None:
+        parts, held, sizes, n = [], [], [], 0
+        for s in each:
+            held.append(s)
+            sizes.append(len(s))
+            n += len(s)
+            if n > 1_000_000:
+                parts.append(np.concatenate(held))
+                held, n = [], 0
+        parts += held
+        self.all = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.sizes = np.array(sizes, np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.all[self.starts[i] : self.starts[i + 1]]
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return map(self.__getitem__, range(len(self)))
+
+    def firsts(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first so many elements of each set: the elements, whose they are, their places."""
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        place = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+        return self.all[self.starts[owner] + place], owner, place

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.forms import form_column
-from sievework.llm.blocks import INDEX_DOCS, QUERY_DOCS, join_by_blocks, kept, set_size
+from sievework.llm.blocks import INDEX_DOCS, QUERY_DOCS, Queries, Sets, join_by_blocks, kept, query_batches, set_size
 from sievework.llm.grams import frequency_ranks, ordered_set
 from sievework.llm.groupsplit import split_name
 from sievework.session import cut
@@ -41,13 +41,14 @@ class CosineIndex:
     query_largest: greatest weight that a term of a query can have.
     """
 
-    def __init__(self, vectors: list[np.ndarray], weights: list[np.ndarray], threshold: float, query_largest: float = 1.0, margin: float = MARGIN) -> None:
+    def __init__(self, vectors: Sets, weights: list[np.ndarray], threshold: float, query_largest: float = 1.0, margin: float = MARGIN) -> None:
         self.vectors, self.weights, self.threshold, self.margin = vectors, weights, threshold, margin
         self.largest = max(float(w.max()) for w in weights)
         prefix = [self.needed(w, query_largest) for w in weights]
-        terms = _slots(np.concatenate([v[:p] for v, p in zip(vectors, prefix)]))
+        terms, docs, _ = vectors.firsts(np.array(prefix, np.int64))
+        terms = _slots(terms)
         order = np.argsort(terms, kind="stable")
-        self.docs = np.repeat(np.arange(len(vectors)), prefix)[order].astype(np.int32)
+        self.docs = docs[order]
         self.values = np.concatenate([w[:p] for w, p in zip(weights, prefix)])[order]
         self.ends = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=1 << SLOT_BITS))])
 
@@ -87,7 +88,7 @@ def dot(a: np.ndarray, a_weights: np.ndarray, b: np.ndarray, b_weights: np.ndarr
 
 
 def _even(terms: np.ndarray) -> np.ndarray:
-    return np.full(len(terms), 1 / np.sqrt(len(terms)))
+    return np.broadcast_to(np.float64(1 / np.sqrt(len(terms))), len(terms))
 
 
 def near_forms(train: DataFrame, held: DataFrame, threshold: float, index_docs: int = INDEX_DOCS, query_docs: int = QUERY_DOCS) -> DataFrame:
@@ -99,14 +100,12 @@ def near_forms(train: DataFrame, held: DataFrame, threshold: float, index_docs:
     ranks = spark.sparkContext.broadcast(frequency_ranks(train.select("form").unionByName(held.select("form")), "form"))  # a megabyte
     cosine = 2 * threshold / (1 + threshold)
 
-    def work(forms: list[str], rows: np.ndarray, query_forms: list[str], query_rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not forms or not query_forms:
-            return
-        vectors = [ordered_set(f, ranks.value) for f in forms]
-        index = CosineIndex(vectors, [_even(v) for v in vectors], cosine, 1 / np.sqrt(max(1.0, threshold * min(map(len, vectors)))))
+    def work(forms: Iterator[str], rows: np.ndarray, asked: Queries) -> Iterator[pa.RecordBatch]:
+        vectors = Sets(ordered_set(f, ranks.value) for f in forms)
+        index = CosineIndex(vectors, [_even(v) for v in vectors], cosine, 1 / np.sqrt(max(1.0, threshold * vectors.sizes.min())))
         found: list[tuple[int, int, float]] = []
-        for start in range(0, len(query_forms), index.batch()):
-            queries = [ordered_set(f, ranks.value) for f in query_forms[start : start + index.batch()]]
+        for query_forms, query_rows in query_batches(asked, index.batch()):
+            queries = [ordered_set(f, ranks.value) for f in query_forms]
             weights = [_even(q) for q in queries]
             for q, d in zip(*(x.tolist() for x in index.candidates(queries, weights))):
                 n, m = len(queries[q]), len(vectors[d])
@@ -114,7 +113,7 @@ def near_forms(train: DataFrame, held: DataFrame, threshold: float, index_docs:
                     continue
                 common = round(dot(queries[q], weights[q], vectors[d], index.weights[d]) * np.sqrt(n * m))
                 if (value := common / (n + m - common)) >= threshold - 1e-12:
-                    found.append((int(rows[d]), int(query_rows[start + q]), value))
+                    found.append((int(rows[d]), int(query_rows[q]), value))
         a, b, s = zip(*found) if found else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["train_rep", "held_rep", "similarity"])
 
