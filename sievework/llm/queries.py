@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import crosssplit, cutting, formatdup, groupsplit, mixing, neardup, packing
+from sievework.llm import crosssplit, cutting, formatdup, groupsplit, leakage, mixing, neardup, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def _limit(spark: SparkSession, sf_dir: str, task: str) -> tuple[int, int]:
     return row["max_tokens"], row["overlap_tokens"]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.verbatim(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), 10)
+
+
+def p1_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.paraphrases(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatdup.copies_found(formatdup.records(_table(spark, sf_dir, "corpus_records")))
 
@@ -85,6 +93,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_paraphrases": p1_paraphrases,
     "p2_found": p2_found,
     "p2_records": p2_records,
     "p3_found": p3_found,
