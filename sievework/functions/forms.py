@@ -47,8 +47,57 @@ def form(text: str | None) -> str:
     return " ".join(words(text))
 
 
+_END = "\ue000"  # not a letter, and left alone by normalisation and folding; in a text it's as good as a space
+
+
+def forms(texts: list[str | None]) -> list[str]:
+    """form() of many texts at once."""
+    out: list[str] = []
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        held.append(text or "")
+        size += len(held[-1])
+        if size > 1_000_000:
+            out += _forms(held)
+            held, size = [], 0
+    return out + _forms(held) if held else out
+
+
+def _forms(texts: list[str]) -> list[str]:
+    whole = "".join(texts)
+    if whole.isascii():
+        points = code_points(_END.join(texts).lower())
+    else:
+        if _END in whole:
+            texts = [t.replace(_END, " ") for t in texts]
+        whole = _END.join(texts)
+        hidden = _formats()[code_points(whole)]
+        if hidden.any():
+            whole = code_points(whole)[~hidden].tobytes().decode("utf-32-le", "surrogatepass")
+        points = code_points(unicodedata.normalize("NFKC", whole).casefold())
+    end = np.flatnonzero(points == ord(_END))
+    kept = _letters()[points]
+    at = np.flatnonzero(kept)
+    if not len(at):
+        return [""] * len(texts)
+    # texts' ends among the kept characters
+    ends = np.concatenate([np.searchsorted(at, end), [len(at)]])
+    opens = np.empty(len(at), bool)
+    opens[0] = False
+    opens[1:] = at[1:] != at[:-1] + 1
+    begins = np.concatenate([[0], ends[:-1]])
+    opens[begins[begins < len(at)]] = False
+    place = np.cumsum(opens)
+    place += np.arange(len(at))
+    line = np.full(place[-1] + 1, ord(" "), np.uint32)
+    line[place] = points[at]
+    text = line.tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[place[a] : place[b - 1] + 1] if b > a else "" for a, b in zip(begins.tolist(), ends.tolist())]
+
+
 def form_array(texts: pa.Array) -> pa.Array:
-    return pa.array([form(t) for t in texts.to_pylist()], pa.string())
+    return pa.array(forms(texts.to_pylist()), pa.string())
 
 
 def form_column(column: Column | str) -> Column:
@@ -65,18 +114,50 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _mixed(points: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of all substrings of a length."""
+    n = len(points) - length + 1
+    h = points[:n] + np.uint64(length)
+    for i in range(1, length):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += points[i : i + n]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
 def gram_hashes(text: str) -> np.ndarray:
     """64-bit hashes of a form's substrings of GRAM characters, in text order with repeats; of a shorter form, one hash of the whole."""
     points = code_points(text).astype(np.uint64)
-    if not len(points):
-        return np.zeros(0, np.uint64)
-    n = max(1, len(points) - GRAM + 1)
-    h = np.full(n, len(points) if n == 1 and len(points) < GRAM else GRAM, np.uint64)
-    for i in range(min(GRAM, len(points))):
-        h = (h ^ points[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    return _mixed(points, min(GRAM, len(points))) if len(points) else points
+
+
+def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """gram_hashes() of many forms, one after the other, and how many each has."""
+    points = code_points("".join(texts)).astype(np.uint64)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(lengths) - lengths
+    n = np.maximum(lengths - GRAM + 1, np.minimum(lengths, 1))
+    if len(points) < GRAM:
+        return np.concatenate([gram_hashes(t) for t in texts]) if texts else points, n
+    every = np.concatenate([_mixed(points, GRAM), np.zeros(GRAM - 1, np.uint64)])
+    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    out = every[at]
+    for i in np.flatnonzero((lengths > 0) & (lengths < GRAM)).tolist():
+        out[n[:i].sum()] = gram_hashes(texts[i])[0]
+    return out, n
+
+
+@lru_cache(1)
+def _formats() -> np.ndarray:
+    return np.array([unicodedata.category(chr(c)) == "Cf" for c in range(0x110000)])
+
+
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    return np.array([unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)])
 
 
 @lru_cache(1)
