@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.forms import gram_hashes
+from sievework.llm.grams import ordered, slices
 from sievework.session import shared_folder
 
 INDEX_DOCS = 60_000
@@ -24,7 +24,7 @@ QUERY_DOCS = 120_000
 
 #: A task: forms and row numbers of its index, and batches of the same of its queries; gives batches.
 Queries = list[tuple[pa.Array, np.ndarray]]
-Work = Callable[[Iterator[str], np.ndarray, Queries], Iterator[pa.RecordBatch]]
+Work = Callable[[Iterator[pa.Array], np.ndarray, Queries], Iterator[pa.RecordBatch]]
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def set_size(column: str):  # noqa: ANN201
 
     @F.arrow_udf("int")
     def of(forms: pa.Array) -> pa.Array:
-        return pa.array([len(np.unique(gram_hashes(f or ""))) for f in forms.to_pylist()], pa.int32())
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *(ordered(texts)[1] for texts in slices(forms))]), pa.int32())
 
     return of(F.col(column))
 
@@ -123,7 +123,7 @@ def join_by_blocks(index: DataFrame, queries: DataFrame, reach: Callable[[int],
                 asked.append((q.column(3), q.column(2).to_numpy()))
         rows = np.concatenate([b.column(0).to_numpy() for b in indexed]) if indexed else np.zeros(0, np.int64)
         if len(rows) and asked:
-            yield from work((form for b in indexed for form in b.column(1).to_pylist()), rows, asked)
+            yield from work((b.column(1) for b in indexed), rows, asked)
 
     return as_index.unionByName(as_query).repartitionById(tasks, F.col("task")).mapInArrow(run, schema)
 
@@ -137,18 +137,9 @@ def query_batches(queries: Queries, size: int) -> Iterator[tuple[list[str], np.n
 class Sets:
     """Many ascending sets in one array."""
 
-    def __init__(self, each: Iterator[np.ndarray]) -> None:
-        parts, held, sizes, n = [], [], [], 0
-        for s in each:
-            held.append(s)
-            sizes.append(len(s))
-            n += len(s)
-            if n > 1_000_000:
-                parts.append(np.concatenate(held))
-                held, n = [], 0
-        parts += held
-        self.all = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.sizes = np.array(sizes, np.int64)
+    def __init__(self, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
+        keys, sizes = zip(*parts)
+        self.all, self.sizes = np.concatenate(keys), np.concatenate(sizes)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
 
     def __len__(self) -> int:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.forms import form_column
 from sievework.llm.blocks import INDEX_DOCS, QUERY_DOCS, Queries, Sets, join_by_blocks, kept, query_batches, set_size
-from sievework.llm.grams import frequency_ranks, ordered_set
+from sievework.llm.grams import frequency_ranks, ordered, slices
 from sievework.llm.groupsplit import split_name
 from sievework.session import cut
 
@@ -60,11 +60,11 @@ class CosineIndex:
         bound = np.minimum(norm, np.cumsum(weights[::-1])[::-1] * largest)
         return int((bound >= self.threshold - self.margin - _ROUND).sum())
 
-    def candidates(self, queries: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(self, queries: Sets, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, vector) that the bounds leave."""
-        prefix = [self.needed(w, self.largest) for w in weights]
-        terms = _slots(np.concatenate([q[:p] for q, p in zip(queries, prefix)]))
-        query = np.repeat(np.arange(len(queries)), prefix)
+        prefix = np.array([self.needed(w, self.largest) for w in weights], np.int64)
+        terms, query, _ = queries.firsts(prefix)
+        terms = _slots(terms)
         length = self.ends[terms + 1] - self.ends[terms]
         total = int(length.sum())
         if not total:
@@ -100,12 +100,12 @@ def near_forms(train: DataFrame, held: DataFrame, threshold: float, index_docs:
     ranks = spark.sparkContext.broadcast(frequency_ranks(train.select("form").unionByName(held.select("form")), "form"))  # a megabyte
     cosine = 2 * threshold / (1 + threshold)
 
-    def work(forms: Iterator[str], rows: np.ndarray, asked: Queries) -> Iterator[pa.RecordBatch]:
-        vectors = Sets(ordered_set(f, ranks.value) for f in forms)
+    def work(forms: Iterator[pa.Array], rows: np.ndarray, asked: Queries) -> Iterator[pa.RecordBatch]:
+        vectors = Sets(ordered(texts, ranks.value) for column in forms for texts in slices(column))
         index = CosineIndex(vectors, [_even(v) for v in vectors], cosine, 1 / np.sqrt(max(1.0, threshold * vectors.sizes.min())))
         found: list[tuple[int, int, float]] = []
         for query_forms, query_rows in query_batches(asked, index.batch()):
-            queries = [ordered_set(f, ranks.value) for f in query_forms]
+            queries = Sets([ordered(query_forms, ranks.value)])
             weights = [_even(q) for q in queries]
             for q, d in zip(*(x.tolist() for x in index.candidates(queries, weights))):
                 n, m = len(queries[q]), len(vectors[d])

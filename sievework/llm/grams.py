@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.forms import gram_hashes
+from sievework.functions.forms import grams_of
 
 #: Grams are counted in so many buckets. The counts only order them, so shared buckets cost time, not results.
 ORDER_BITS = 20
@@ -24,15 +24,8 @@ def frequency_ranks(df: DataFrame, column: str) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << ORDER_BITS, np.int64)
         for batch in batches:
-            held, size = [], 0
-            for text in batch.column(0).to_pylist():
-                held.append(bucket(np.unique(gram_hashes(text or ""))))
-                size += len(held[-1])
-                if size > 1_000_000:
-                    sums += np.bincount(np.concatenate(held), minlength=1 << ORDER_BITS)
-                    held, size = [], 0
-            if held:
-                sums += np.bincount(np.concatenate(held), minlength=1 << ORDER_BITS)
+            for texts in slices(batch.column(0)):
+                sums += np.bincount(bucket(ordered(texts)[0]), minlength=1 << ORDER_BITS)
         at = np.flatnonzero(sums)
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000], pa.int32()), pa.array(sums[at[i : i + 100_000]], pa.int64())], names=["bucket", "n"])
@@ -44,18 +37,47 @@ def frequency_ranks(df: DataFrame, column: str) -> np.ndarray:
     return ranks
 
 
+def slices(texts: pa.Array, characters: int = 500_000) -> Iterator[list[str]]:
+    """Forms, so many characters at a time; null as the empty form."""
+    held, size = [], 0
+    for text in texts.to_pylist():
+        held.append(text or "")
+        size += len(held[-1])
+        if size > characters:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
 
 
-def ordered_set(text: str, ranks: np.ndarray) -> np.ndarray:
-    """The distinct grams of a form as 64-bit keys, ascending: rarest first, the same order for every text.
+def ordered(texts: list[str], ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of each form as 64-bit keys, ascending: rarest first, the same order for every text. All keys, and how many each form has.
 
-    A key is the gram's rank and 56 bits of its hash, so equal grams have equal keys.
+    A key is the gram's rank and 56 bits of its hash, so equal grams have equal keys. Without ranks a key is the whole hash.
     """
-    hashes = gram_hashes(text)
-    keys = (ranks[bucket(hashes)].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
-    return np.unique(keys)
+    keys, n = grams_of(texts)
+    if ranks is not None:
+        rank = ranks[bucket(keys)].astype(np.uint64)
+        keys >>= np.uint64(8)
+        keys |= rank << np.uint64(56)
+    ends = np.cumsum(n)
+    for a, b in zip((ends - n).tolist(), ends.tolist()):
+        keys[a:b].sort()
+    if not len(keys):
+        return keys, n
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    new[(ends - n)[n > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(new)])
+    return keys[new], kept[ends] - kept[ends - n]
+
+
+def ordered_set(text: str, ranks: np.ndarray) -> np.ndarray:
+    return ordered([text], ranks)[0]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:

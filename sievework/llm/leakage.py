@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.forms import words
+from sievework.functions.forms import forms, words
 
 #: Items whose vocabulary is broadcast at a time.
 ITEM_BLOCK = 20_000
@@ -45,11 +45,10 @@ class Space:
 def _numbers(texts: pa.Array, number: dict[str, int]) -> Iterator[tuple[int, np.ndarray]]:
     """For each text its row and the numbers of its words, -1 for words outside the vocabulary."""
     get = number.get
-    for row, text in enumerate(texts.to_pylist()):
+    for row, text in enumerate(forms(texts.to_pylist())):
         if text:
-            found = words(text)
-            if found:
-                yield row, np.fromiter((get(w, -1) for w in found), np.int32, len(found))
+            found = text.split(" ")
+            yield row, np.fromiter((get(w, -1) for w in found), np.int32, len(found))
 
 
 def _passages(texts: pa.Array, number: dict[str, int], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
