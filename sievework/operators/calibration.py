@@ -1,0 +1,133 @@
+"""Sequential statistics of calibration: monotone maps, exact tests, bootstrap.
+
+Each works on a table that was reduced by a grouped aggregate first, so what one task sees is bounded by a resolution, not by the rows.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sievework.operators.metrics import one_per_item
+
+#: Steps that confidences are rounded to before a map is fitted; rows of a step count together.
+RESOLUTION = 10_000
+
+
+def pool_adjacent(x: np.ndarray, hits: np.ndarray, n: np.ndarray, least: int = 1) -> list[tuple[float, float, int]]:
+    """Blocks (first x, rate, rows) with rates that don't fall, by pooling neighbours; then each of fewer than least rows joins the one before it."""
+    blocks: list[list[float]] = []
+    for a, h, m in zip(x, hits, n):
+        blocks.append([a, h, m])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            _, h2, m2 = blocks.pop()
+            blocks[-1][1] += h2
+            blocks[-1][2] += m2
+    i = 0
+    while len(blocks) > 1 and i < len(blocks):
+        if blocks[i][2] < least:
+            j = max(0, i - 1)
+            blocks[j][1] += blocks[j + 1][1]
+            blocks[j][2] += blocks[j + 1][2]
+            del blocks[j + 1]
+            i = j
+        else:
+            i += 1
+    return [(float(a), float(h / m), int(m)) for a, h, m in blocks]
+
+
+def confidence_map(s: DataFrame, group: list[str], alpha: float = 10.0, least: int = 20) -> DataFrame:
+    """Monotone map from confidence to accuracy: blocks by first confidence, each rate drawn towards the group's by alpha rows."""
+    steps = s.groupBy(*group, (F.floor(F.col("confidence") * RESOLUTION) / RESOLUTION).alias("x")).agg(F.sum("correct").alias("hits"), F.count(F.lit(1)).alias("n"))
+    kinds = ", ".join(f"{g} {s.schema[g].dataType.simpleString()}" for g in group)
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        base = pdf.hits.sum() / pdf.n.sum()
+        blocks = pool_adjacent(pdf.x.to_numpy(), pdf.hits.to_numpy(float), pdf.n.to_numpy(float), least)
+        return pd.DataFrame([(*key, a, (r * m + alpha * base) / (m + alpha), m) for a, r, m in blocks], columns=[*group, "first", "rate", "n"])
+
+    return steps.groupBy(*group).applyInPandas(fit, f"{kinds}, first double, rate double, n bigint")
+
+
+def apply_map(s: DataFrame, mapping: DataFrame, group: list[str]) -> DataFrame:
+    """Rows with calibrated: the rate of the last block that begins at or below the confidence, below the first that of the first."""
+    lists = mapping.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("first", "rate"))).alias("_blocks"))  # RESOLUTION at most
+    below = F.filter("_blocks", lambda b: b["first"] <= F.col("confidence"))
+    rate = F.when(F.size(below) > 0, F.element_at(below, -1)["rate"]).otherwise(F.element_at("_blocks", 1)["rate"])
+    return s.join(lists, group).withColumn("calibrated", rate).drop("_blocks")
+
+
+def calibrated_report(s: DataFrame, group: list[str]) -> DataFrame:
+    """Half of the items, by hash, fit the map; on the other half: mean absolute gap by confidence bin before and after."""
+    half = F.substring(F.md5(F.coalesce("item_id", F.lit(""))), 1, 1) < "8"
+    mapping = confidence_map(s.where(half), group)
+    held = apply_map(s.where(~half), mapping, group)
+    both = held.select(*group, "correct", F.explode(F.array(F.struct(F.lit("before").alias("stage"), F.col("confidence").alias("c")), F.struct(F.lit("after").alias("stage"), F.col("calibrated").alias("c")))).alias("e")).select(*group, "correct", "e.*")
+    bins = both.groupBy(*group, "stage", F.least(F.floor(F.col("c") * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("c"), F.avg("correct").alias("a"))
+    return bins.groupBy(*group, "stage").agg(F.sum("n").alias("n"), F.round(F.sum(F.abs(F.col("c") - F.col("a")) * F.col("n")) / F.sum("n"), 9).alias("ece"))
+
+
+def mcnemar_p(first: int, second: int) -> float:
+    """Exact two-sided p of so many wins of either side; 1 for none."""
+    n, least = first + second, min(first, second)
+    if n == 0:
+        return 1.0
+    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(least + 1)]
+    top = max(logs)
+    return min(1.0, 2 * math.exp(top) * sum(math.exp(x - top) for x in logs))
+
+
+def power(items: int, rate: float, delta: float, alpha: float = 0.05) -> float:
+    """Chance that the exact test finds a difference delta between two runs that differ on a share rate of the items."""
+    if not 0 <= delta <= rate <= 1:
+        raise ValueError("needs 0 <= delta <= rate <= 1")
+    win = (rate + delta) / (2 * rate) if rate else 0.5
+    found = 0.0
+    for n in range(items + 1):
+        weight = _binomial(items, n, rate)
+        if weight < 1e-14:
+            continue
+        found += weight * sum(_binomial(n, a, win) for a in range(n + 1) if mcnemar_p(a, n - a) <= alpha)
+    return found
+
+
+def _binomial(n: int, k: int, p: float) -> float:
+    if p in (0.0, 1.0):
+        return float(k == (n if p else 0))
+    return math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+
+
+def _pairs(s: DataFrame) -> DataFrame:
+    """Runs two by two with how many items come out how: four counts a pair at most."""
+    one = one_per_item(s).select("item_id", "run_name", "correct")
+    a, b = (one.select("item_id", F.col("run_name").alias(f"run_{x}"), F.col("correct").alias(x)) for x in "ab")
+    return a.join(b, "item_id").where("run_a < run_b").groupBy("run_a", "run_b").agg(
+        F.count(F.lit(1)).alias("items"), F.sum(((F.col("a") == 1) & (F.col("b") == 0)).cast("bigint")).alias("a_only"), F.sum(((F.col("a") == 0) & (F.col("b") == 1)).cast("bigint")).alias("b_only")
+    )
+
+
+def mcnemar(s: DataFrame) -> DataFrame:
+    @F.pandas_udf("double")
+    def p(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([mcnemar_p(int(x), int(y)) for x, y in zip(a, b)], dtype=float)
+
+    return _pairs(s).withColumn("p", p("a_only", "b_only"))
+
+
+def bootstrap(s: DataFrame, repeats: int = 2000, seed: int = 3) -> DataFrame:
+    """95 % percentile interval of the paired difference of accuracies. An item's difference is 1, 0 or -1, so resampling items is drawing their counts."""
+
+    @F.pandas_udf("struct<low double, high double>")
+    def interval(n: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rng, out = np.random.default_rng(seed), []
+        for items, x, y in zip(n, a, b):
+            drawn = rng.multinomial(items, [x / items, y / items, 1 - (x + y) / items], repeats)
+            out.append(np.quantile((drawn[:, 0] - drawn[:, 1]) / items, [0.025, 0.975]))
+        return pd.DataFrame(out, columns=["low", "high"], dtype=float)
+
+    return _pairs(s).withColumn("i", interval("items", "a_only", "b_only")).select("run_a", "run_b", "items", ((F.col("a_only") - F.col("b_only")) / F.col("items")).alias("difference"), "i.low", "i.high")

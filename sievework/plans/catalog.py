@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from sievework.plans import predictions
+
+_FAMILIES = (predictions,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for family in _FAMILIES for name, q in family.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for family in _FAMILIES for name, sql in family.ORACLES.items()}
