@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,18 +32,29 @@ def collapsed_lower(c: Column | str) -> Column:
     return F.lower(collapsed(c))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value computed once: inside another lambda it would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def word_shingles(c: Column | str, n: int = 8) -> Column:
     """Distinct shingles of n words of a normalised text; none if it has fewer words."""
-    words = F.split(_col(c), " ")
-    made = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+    def made(words: Column) -> Column:
+        shingles = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, F.array_distinct(shingles)).otherwise(F.array().cast("array<string>"))
+
+    return _bound(F.split(_col(c), " "), made)
 
 
 def char_grams(c: Column | str, n: int = 5) -> Column:
     """Distinct substrings of n characters of the lower-cased, trimmed text; a shorter text as a whole."""
-    text = F.trim(F.lower(_col(c)))
-    made = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
-    return F.when(F.length(text) >= n, F.array_distinct(made)).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+
+    def made(text: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+        return F.when(F.length(text) >= n, F.array_distinct(grams)).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+
+    return _bound(F.trim(F.lower(_col(c))), made)
 
 
 def hash_fraction(key: Column) -> Column:
