@@ -1,7 +1,7 @@
 """Size blocks: how a similarity join's sets meet, each query with those blocks only whose sizes allow the similarity.
 
-Sets are ranged by size into blocks of at most INDEX_DOCS; a block's queries are dealt to chunks of QUERY_DOCS or so. A task
-holds one block as its index and takes one chunk of queries. No task's input grows with the data, a size that many sets share
+Sets are ranged by size into blocks of at most INDEX_GRAMS elements; a block's queries are dealt to chunks of QUERY_GRAMS or so.
+A task holds one block as its index and takes one chunk of queries. No task's input grows with the data, a size that many sets share
 is split over several blocks, and no pair of sets is dropped: what can't be similar by size never meets, all else does.
 """
 
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from sievework.llm.grams import ordered, slices
 from sievework.session import shared_folder
 
-INDEX_DOCS = 60_000
-QUERY_DOCS = 120_000
+INDEX_GRAMS = 20_000_000
+QUERY_GRAMS = 45_000_000
 
 #: A task: forms and row numbers of its index, and batches of the same of its queries; gives batches.
 Queries = list[tuple[pa.Array, np.ndarray]]
@@ -48,7 +48,7 @@ def _sizes(df: DataFrame) -> dict[int, int]:
     return dict(sorted((n, c) for n, c in df.groupBy("n").count().toLocalIterator()))
 
 
-def join_by_blocks(index: DataFrame, queries: DataFrame, reach: Callable[[int], tuple[float, float]], work: Work, schema: str, index_docs: int = INDEX_DOCS, query_docs: int = QUERY_DOCS) -> DataFrame:
+def join_by_blocks(index: DataFrame, queries: DataFrame, reach: Callable[[int], tuple[float, float]], work: Work, schema: str, index_grams: int = INDEX_GRAMS, query_grams: int = QUERY_GRAMS) -> DataFrame:
     """work for every task. index, queries: row_no, form, n (number of distinct grams).
 
     reach(n): least and greatest size of index sets that a query of n grams can be similar to.
@@ -69,15 +69,15 @@ def join_by_blocks(index: DataFrame, queries: DataFrame, reach: Callable[[int],
         held, waiting = 0, []
 
     for n, c in there.items():
-        if held + c > index_docs:
+        if held + c * n > index_grams:
             close()
-        if c > index_docs:
-            many = -(-c // index_docs)
+        if c * n > index_grams:
+            many = -(-c * n // index_grams)
             own.append((n, len(blocks), many))
             blocks.extend([(n, n)] * many)
         else:
             waiting.append(n)
-            held += c
+            held += c * n
     close()
     if not blocks or not asked:
         return spark.createDataFrame([], schema)
@@ -88,10 +88,10 @@ def join_by_blocks(index: DataFrame, queries: DataFrame, reach: Callable[[int],
         a, b = int(np.searchsorted(highs, least - 1e-6)), int(np.searchsorted(lows, most + 1e-6, side="right"))
         if a < b:
             visits.append((n, a, b - 1))
-            load[a:b] += c
+            load[a:b] += c * n
     if not visits:
         return spark.createDataFrame([], schema)
-    chunks = np.maximum(1, -(-load // query_docs))
+    chunks = np.maximum(1, -(-load // query_grams))
     first_task = np.concatenate([[0], np.cumsum(chunks)])
     tasks = int(first_task[-1])
     block_table = spark.createDataFrame([(i, int(first_task[i]), int(chunks[i])) for i in range(len(blocks))], "block int, first_task int, chunks int")
@@ -151,6 +151,10 @@ class Sets:
     def __iter__(self) -> Iterator[np.ndarray]:
         return map(self.__getitem__, range(len(self)))
 
+    def of(self, values: np.ndarray, i: int) -> np.ndarray:
+        """The i-th set's part of values, one for each element of all sets."""
+        return values[self.starts[i] : self.starts[i + 1]]
+
     def firsts(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The first so many elements of each set: the elements, whose they are, their places."""
         owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)

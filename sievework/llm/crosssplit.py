@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.forms import form_column
-from sievework.llm.blocks import INDEX_DOCS, QUERY_DOCS, Queries, Sets, join_by_blocks, kept, query_batches, set_size
+from sievework.llm.blocks import INDEX_GRAMS, QUERY_GRAMS, Queries, Sets, join_by_blocks, kept, query_batches, set_size
 from sievework.llm.grams import frequency_ranks, ordered, slices
 from sievework.llm.groupsplit import split_name
 from sievework.session import cut
 
 #: Dot product that a candidate must have gathered from the indexed terms alone. More means longer lists and fewer candidates.
-MARGIN = 0.03
+MARGIN = 0.045
 SLOT_BITS = 22
 _ROUND = 1e-9
 
@@ -37,46 +37,57 @@ def _slots(keys: np.ndarray) -> np.ndarray:
 class CosineIndex:
     """Inverted lists over the rarest terms of unit vectors, for pairs with a dot product of at least threshold.
 
-    vectors: ascending keys in the common order; weights: of the same shape, each vector of length 1.
+    vectors: ascending keys in the common order; weights: one for each of their elements, each vector of length 1.
     query_largest: greatest weight that a term of a query can have.
     """
 
-    def __init__(self, vectors: Sets, weights: list[np.ndarray], threshold: float, query_largest: float = 1.0, margin: float = MARGIN) -> None:
+    def __init__(self, vectors: Sets, weights: np.ndarray, threshold: float, query_largest: float = 1.0, margin: float = MARGIN) -> None:
         self.vectors, self.weights, self.threshold, self.margin = vectors, weights, threshold, margin
-        self.largest = max(float(w.max()) for w in weights)
-        prefix = [self.needed(w, query_largest) for w in weights]
-        terms, docs, _ = vectors.firsts(np.array(prefix, np.int64))
+        self.largest = float(weights.max())
+        terms, docs, _ = vectors.firsts(self.needed(vectors, weights, query_largest))
         terms = _slots(terms)
         order = np.argsort(terms, kind="stable")
-        self.docs = docs[order]
-        self.values = np.concatenate([w[:p] for w, p in zip(weights, prefix)])[order]
+        self.docs = docs[order].astype(np.uint32)
         self.ends = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=1 << SLOT_BITS))])
 
-    def needed(self, weights: np.ndarray, largest: float) -> int:
-        """How many of a vector's first terms are needed. Of the terms beyond, either the residual norm, or their sum times the
+    def needed(self, vectors: Sets, weights: np.ndarray, largest: float) -> np.ndarray:
+        """How many of each vector's first terms are needed. Of the terms beyond, either the residual norm, or their sum times the
         greatest weight on the other side, keeps the dot product below the threshold less the margin; so a pair that comes to the
         threshold gathers the margin from terms that both sides' first parts have."""
-        norm = np.sqrt(np.cumsum((weights**2)[::-1])[::-1])
-        bound = np.minimum(norm, np.cumsum(weights[::-1])[::-1] * largest)
-        return int((bound >= self.threshold - self.margin - _ROUND).sum())
-
-    def candidates(self, queries: Sets, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, vector) that the bounds leave."""
-        prefix = np.array([self.needed(w, self.largest) for w in weights], np.int64)
-        terms, query, _ = queries.firsts(prefix)
+        end = np.repeat(vectors.starts[1:], vectors.sizes)
+        upto = np.concatenate([[0.0], np.cumsum(weights**2)])
+        bound = np.sqrt(np.maximum(upto[end] - upto[:-1], 0))
+        upto = np.concatenate([[0.0], np.cumsum(weights)])
+        np.minimum(bound, (upto[end] - upto[:-1]) * largest, out=bound)
+        open_ = np.concatenate([[0], np.cumsum(bound >= self.threshold - self.margin - _ROUND)])
+        return open_[vectors.starts[1:]] - open_[vectors.starts[:-1]]
+
+    def candidates(self, queries: Sets, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, vector) that the bounds leave: those with so many common terms that, each at the greatest weights, they can make up the margin."""
+        terms, query, _ = queries.firsts(self.needed(queries, weights, self.largest))
         terms = _slots(terms)
         length = self.ends[terms + 1] - self.ends[terms]
         total = int(length.sum())
         if not total:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.repeat(self.ends[terms] - (np.cumsum(length) - length), length) + np.arange(total)
-        dots = np.repeat(np.concatenate([w[:p] for w, p in zip(weights, prefix)]), length) * self.values[at]
-        partial = np.bincount(np.repeat(query * len(self.vectors), length) + self.docs[at], weights=dots, minlength=len(queries) * len(self.vectors))
-        hit = np.flatnonzero(partial >= self.margin - _ROUND)
-        return hit // len(self.vectors), hit % len(self.vectors)
+        at = np.arange(total)
+        at += np.repeat(self.ends[terms] - (np.cumsum(length) - length), length)
+        n = len(self.vectors)
+        seen = np.repeat((query.astype(np.int64) * n).astype(np.uint32), length)
+        seen += self.docs[at]
+        seen.sort()
+        most = np.maximum.reduceat(weights, queries.starts[:-1]) * self.largest
+        need = np.maximum(1, np.ceil(self.margin / most - _ROUND)).astype(np.int64)
+        least = int(need.min())
+        hit = seen[: max(0, total - least + 1)]
+        hit = hit[seen[least - 1 :] == hit]
+        pairs, over = np.unique(hit, return_counts=True)
+        mine, other = (pairs // n).astype(np.int64), (pairs % n).astype(np.int64)
+        enough = over + least - 1 >= need[mine]
+        return mine[enough], other[enough]
 
     def batch(self) -> int:
-        return max(1, min(512, 1_000_000 // len(self.vectors)))
+        return max(1, min(128, (1 << 32) // len(self.vectors) - 1))
 
 
 def dot(a: np.ndarray, a_weights: np.ndarray, b: np.ndarray, b_weights: np.ndarray) -> float:
@@ -87,11 +98,11 @@ def dot(a: np.ndarray, a_weights: np.ndarray, b: np.ndarray, b_weights: np.ndarr
     return float((a_weights[same] * b_weights[at[same]]).sum())
 
 
-def _even(terms: np.ndarray) -> np.ndarray:
-    return np.broadcast_to(np.float64(1 / np.sqrt(len(terms))), len(terms))
+def _even(sets: Sets) -> np.ndarray:
+    return np.repeat(1 / np.sqrt(np.maximum(sets.sizes, 1)), sets.sizes)
 
 
-def near_forms(train: DataFrame, held: DataFrame, threshold: float, index_docs: int = INDEX_DOCS, query_docs: int = QUERY_DOCS) -> DataFrame:
+def near_forms(train: DataFrame, held: DataFrame, threshold: float, index_grams: int = INDEX_GRAMS, query_grams: int = QUERY_GRAMS) -> DataFrame:
     """Pairs of a train form and a held-out form with a Jaccard similarity of at least threshold: train_rep, held_rep, similarity.
 
     train, held: row_no, form, n, each form once on its side. Exact; equal forms are pairs too.
@@ -102,22 +113,22 @@ def near_forms(train: DataFrame, held: DataFrame, threshold: float, index_docs:
 
     def work(forms: Iterator[pa.Array], rows: np.ndarray, asked: Queries) -> Iterator[pa.RecordBatch]:
         vectors = Sets(ordered(texts, ranks.value) for column in forms for texts in slices(column))
-        index = CosineIndex(vectors, [_even(v) for v in vectors], cosine, 1 / np.sqrt(max(1.0, threshold * vectors.sizes.min())))
+        index = CosineIndex(vectors, _even(vectors), cosine, 1 / np.sqrt(max(1.0, threshold * vectors.sizes.min())))
         found: list[tuple[int, int, float]] = []
         for query_forms, query_rows in query_batches(asked, index.batch()):
             queries = Sets([ordered(query_forms, ranks.value)])
-            weights = [_even(q) for q in queries]
+            weights = _even(queries)
             for q, d in zip(*(x.tolist() for x in index.candidates(queries, weights))):
                 n, m = len(queries[q]), len(vectors[d])
                 if min(n, m) < threshold * max(n, m) - 1e-6:
                     continue
-                common = round(dot(queries[q], weights[q], vectors[d], index.weights[d]) * np.sqrt(n * m))
+                common = round(dot(queries[q], queries.of(weights, q), vectors[d], vectors.of(index.weights, d)) * np.sqrt(n * m))
                 if (value := common / (n + m - common)) >= threshold - 1e-12:
                     found.append((int(rows[d]), int(query_rows[q]), value))
         a, b, s = zip(*found) if found else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["train_rep", "held_rep", "similarity"])
 
-    return join_by_blocks(train, held, lambda n: (threshold * n, n / threshold), work, "train_rep bigint, held_rep bigint, similarity double", index_docs, query_docs)
+    return join_by_blocks(train, held, lambda n: (threshold * n, n / threshold), work, "train_rep bigint, held_rep bigint, similarity double", index_grams, query_grams)
 
 
 #: Rows of one form that a join task takes.
@@ -135,18 +146,18 @@ def overlaps(df: DataFrame, threshold: float = 0.7, id_col: str = "row_no", stat
     base = kept(
         df.select(F.col(id_col).cast("bigint").alias("row_no"), form_column(state_col).alias("form"), split_name(split_col).alias("split"), F.col(source_col).alias("source"))
         .where("form <> '' AND split IN ('train', 'validation', 'test')")
-        .withColumn("held", F.col("split") != "train")
+        .withColumns({"held": F.col("split") != "train", "key": F.unhex(F.md5("form"))})
     )
-    per_form = kept(base.groupBy("form", "held").agg(F.min("row_no").alias("row_no"), F.count(F.lit(1)).alias("rows")).withColumn("n", set_size("form")))
+    per_form = kept(base.groupBy("form", "held").agg(F.min("row_no").alias("row_no"), F.count(F.lit(1)).alias("rows")).withColumns({"n": set_size("form"), "key": F.unhex(F.md5("form"))}))
     pairs = cut(near_forms(per_form.where("NOT held").select("row_no", "form", "n"), per_form.where("held").select("row_no", "form", "n"), threshold, **sizes))
 
     salts = F.ceil(F.col("rows") / ROWS_PER_SALT).cast("int")
 
     def members(held: bool, rep: str, row: str, source: str) -> tuple[DataFrame, DataFrame]:
         """Rows of the forms in pairs by (rep, salt), and the number of salts of each rep."""
-        reps = pairs.select(F.col(rep).alias("row_no")).distinct().join(per_form.where(F.col("held") == held), "row_no").select(F.col("row_no").alias(rep), "form", salts.alias("salts"))
-        rows = base.where(F.col("held") == held).select(F.col("row_no").alias(row), "form", form_column("source").alias(source), "split")
-        joined = rows.join(reps, "form").select(rep, F.pmod(F.xxhash64(row), F.col("salts")).cast("int").alias(f"{rep}_salt"), row, source, F.col("split").alias(f"{rep}_split"))
+        reps = pairs.select(F.col(rep).alias("row_no")).distinct().join(per_form.where(F.col("held") == held), "row_no").select(F.col("row_no").alias(rep), "key", salts.alias("salts"))
+        rows = base.where(F.col("held") == held).select(F.col("row_no").alias(row), "key", form_column("source").alias(source), "split")
+        joined = rows.join(reps, "key").select(rep, F.pmod(F.xxhash64(row), F.col("salts")).cast("int").alias(f"{rep}_salt"), row, source, F.col("split").alias(f"{rep}_split"))
         return joined, reps.select(rep, F.col("salts").alias(f"{rep}_salts"))
 
     train_rows, train_salts = members(False, "train_rep", "train_row", "train_source")
