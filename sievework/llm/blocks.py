@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from sievework.llm.grams import ordered, slices
 from sievework.session import shared_folder
 
-INDEX_GRAMS = 20_000_000
+INDEX_GRAMS = 15_000_000
 QUERY_GRAMS = 45_000_000
+#: Greatest size in a block over its least. Bounds that hold for a whole block are as good as this is small.
+RATIO = 1.3
 
 #: A task: forms and row numbers of its index, and batches of the same of its queries; gives batches.
 Queries = list[tuple[pa.Array, np.ndarray]]
@@ -69,7 +71,7 @@ def join_by_blocks(index: DataFrame, queries: DataFrame, reach: Callable[[int],
         held, waiting = 0, []
 
     for n, c in there.items():
-        if held + c * n > index_grams:
+        if held + c * n > index_grams or (waiting and n > RATIO * waiting[0]):
             close()
         if c * n > index_grams:
             many = -(-c * n // index_grams)
