@@ -104,7 +104,10 @@ def fingerprint(state: str | None, question: str | None) -> bytes | None:
     value = _parsed(question) if words else _NOTHING
     if value is _NOTHING:
         return None
-    total = _hash(b"state\0", words.encode("utf-8", "surrogatepass")) + _hash(b"question\0", value_hash(value).to_bytes(16, "big"))
+    try:
+        total = _hash(b"state\0", words.encode("utf-8", "surrogatepass")) + _hash(b"question\0", value_hash(value).to_bytes(16, "big"))
+    except RecursionError:  # nested deeper than Python goes: as good as not parsing
+        return None
     return (total & _ALL).to_bytes(16, "big")
 
 
