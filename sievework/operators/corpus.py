@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import columns as C
+from sievework.operators.running import running_sums
 from sievework.operators.skew import lookup
 
 ORDER = ("priority", "corpus", "pos", "row_no")
@@ -59,10 +60,10 @@ def cross_source(df: DataFrame, key: Column) -> DataFrame:
 
 def id_suffixes(df: DataFrame) -> DataFrame:
     """Ids made unique per corpus: where any id of a corpus repeats, ids of that corpus get -qN, N counting from 0 in order."""
-    w = Window.partitionBy("corpus", "id")
-    rows = df.where("id IS NOT NULL").select("row_no", "corpus", "id", F.count(F.lit(1)).over(w).alias("n"), (F.row_number().over(w.orderBy("pos", "row_no")) - 1).alias("at"))
-    flags = rows.groupBy("corpus").agg((F.max("n") > 1).alias("reused"))
-    return rows.join(flags, "corpus").select("row_no", F.when(F.col("reused"), F.concat("id", F.lit("-q"), "at")).otherwise(F.col("id")).alias("new_id"))
+    rows = running_sums(df.where("id IS NOT NULL").select("row_no", "corpus", "id", "pos"), ["corpus", "id"], [F.col("pos"), F.col("row_no")], {})
+    flags = rows.groupBy("corpus").agg((F.max("_n") > 1).alias("reused"))
+    flagged = rows.alias("r").join(flags.alias("f"), F.col("r.corpus").eqNullSafe(F.col("f.corpus")))
+    return flagged.select("row_no", F.when(F.col("reused"), F.concat("id", F.lit("-q"), (F.col("_n") - 1).cast("string"))).otherwise(F.col("id")).alias("new_id"))
 
 
 def _shingles(df: DataFrame, id_col: str, text: str, name: str) -> DataFrame:

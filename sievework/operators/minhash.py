@@ -41,28 +41,50 @@ def signatures(df: DataFrame, id_col: str, text_col: str, permutations: int = PE
     return df.select(F.col(id_col).cast("bigint"), form_column(text_col)).mapInArrow(made, "id bigint, signature array<bigint>")
 
 
+#: Members of a bucket that a task compares with as many others.
+BUCKET_BLOCK = 1000
+
+
+def _bands(reps: DataFrame, bands: int) -> DataFrame:
+    rows = PERMUTATIONS // bands
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, F.lit(rows))))
+    return reps.select("id", F.explode(hashes).alias("bucket"))  # a band's number is in its hash
+
+
 def estimated_pairs(signed: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """Links between signatures that share a band and agree on at least threshold of their slots: a, b.
 
-    Equal signatures are reduced to one representative first. In a band's bucket each member is compared with the bucket's least member and, through
-    the other bands, with others; members that fail against the least are compared with the least of those left, until none is left, so a bucket of any size
-    takes as many joins as it has clusters, never all its pairs.
+    Rows of one signature are linked to the least of them and take part as one. Members of a bucket are compared inside tasks that hold two
+    blocks of BUCKET_BLOCK at most: a large bucket is many tasks, and only links leave them, not pairs.
     """
-    rows = PERMUTATIONS // bands
     reps = cut(signed.groupBy("signature").agg(F.min("id").alias("id")))
     own = signed.join(reps.select("signature", F.col("id").alias("rep")), "signature").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    left = cut(reps.select("id", "signature", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, F.lit(rows))))).alias("band", "bucket")))
-    found = own
-    while True:
-        heads = left.groupBy("band", "bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        pairs = left.join(heads, ["band", "bucket"]).where("id <> head")
-        sigs = reps.select(F.col("id").alias("head"), F.col("signature").alias("head_signature"))
-        alike = F.size(F.filter(F.zip_with("signature", "head_signature", lambda x, y: x == y), lambda e: e)) / F.size("signature")
-        judged = cut(pairs.join(sigs, "head").select("band", "bucket", "id", "signature", "head", (alike >= threshold).alias("near")))
-        found = found.unionByName(judged.where("near").select(F.col("head").alias("a"), F.col("id").alias("b")))
-        left = judged.where("NOT near").select("id", "signature", "band", "bucket")
-        if left.isEmpty():
-            return found.distinct()
+    members = _bands(reps, bands)
+    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = members.join(several, "bucket").withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    keyed = dealt.select("id", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("work")).join(reps, "id")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), np.stack(b.column(2).to_numpy(zero_copy_only=False))) for b in batches if b.num_rows]
+        if not parts:
+            return
+        ids, work, signatures_ = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((ids, work))
+        ids, work, signatures_ = ids[order], work[order], signatures_[order]
+        edges = np.flatnonzero(np.concatenate([[True], work[1:] != work[:-1], [True]]))
+        found_a, found_b = [], []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            for i in range(lo, hi - 1):
+                near = np.flatnonzero((signatures_[i + 1 : hi] == signatures_[i]).mean(axis=1) >= threshold)
+                if len(near):
+                    found_a.append(np.full(len(near), ids[i]))
+                    found_b.append(ids[i + 1 + near])
+        none = [np.zeros(0, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a or none), pa.int64()), pa.array(np.concatenate(found_b or none), pa.int64())], names=["a", "b"])
+
+    near = keyed.select("id", "work", "signature").repartition("work").mapInArrow(compared, "a bigint, b bigint").where("a <> b")
+    return own.unionByName(near.distinct())
 
 
 def clusters(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -74,18 +96,19 @@ def clusters(df: DataFrame, id_col: str, text_col: str, threshold: float = THRES
 def greedy_kept(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """Ids that first-wins near-dedup keeps, in order of id: one is dropped if it is near an earlier one that is kept.
 
-    Not the same as one per cluster. All near pairs by equal bands count; rounds go on until each id is decided: kept once all its earlier partners are dropped,
-    dropped once one of them is kept. The least undecided id of a chain is always decided, and whole fronts are at once.
+    Not the same as one per cluster. In each round the ids that are least among the undecided of all their buckets are kept, and those near
+    to them in a bucket are dropped. All that could drop such an id is decided by then, so the result is that of one ordered pass.
+    A bucket's members meet its least only, never each other.
     """
-    signed = cut(signatures(df, id_col, text_col))
-    rows = PERMUTATIONS // BANDS
-    banded = signed.select("id", "signature", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, F.lit(rows))))).alias("bucket"))
-    a, b = banded.select(F.col("id").alias("a"), F.col("signature").alias("sa"), "bucket"), banded.select(F.col("id").alias("b"), F.col("signature").alias("sb"), "bucket")
-    alike = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e)) / F.size("sa")
-    edges = cut(a.join(b, "bucket").where("a < b").where(alike >= threshold).select("a", "b").distinct())
-    state = cut(signed.select("id", F.lit(None).cast("boolean").alias("kept")))
-    while True:
-        known = edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("a_kept")), "a").groupBy("b").agg(F.max(F.coalesce(F.col("a_kept"), F.lit(False))).alias("hit"), F.max(F.col("a_kept").isNull()).alias("open"))
-        state = cut(state.join(known, state.id == known.b, "left").select("id", F.coalesce("kept", F.when(F.col("hit"), False).when(~F.coalesce("open", F.lit(False)), True)).alias("kept")))
-        if state.where("kept IS NULL").isEmpty():
-            return state.where("kept").select("id")
+    signed = cut(signatures(df, id_col, text_col).groupBy("signature").agg(F.min("id").alias("id")))
+    left = cut(_bands(signed, BANDS))
+    kept = left.sparkSession.createDataFrame([], "id bigint")
+    while not left.isEmpty():
+        marked = left.join(left.groupBy("bucket").agg(F.min("id").alias("head")), "bucket")
+        now = cut(marked.groupBy("id").agg(F.bool_and(F.col("id") == F.col("head")).alias("first")).where("first").select("id"))
+        kept = kept.unionByName(now)
+        pairs = marked.where("id <> head").join(now.withColumnRenamed("id", "head"), "head").select("id", "head").distinct()
+        alike = F.size(F.filter(F.zip_with("signature", "head_signature", lambda x, y: x == y), lambda e: e)) / F.size("signature")
+        near = pairs.join(signed, "id").join(signed.select(F.col("id").alias("head"), F.col("signature").alias("head_signature")), "head").where(alike >= threshold).select("id")
+        left = cut(left.join(now.unionByName(near).distinct(), "id", "left_anti"))
+    return kept

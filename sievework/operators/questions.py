@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import columns as C
+from sievework.operators.sampling import cap
 
 TRUE, FALSE = ("true", "yes", "1"), ("false", "no", "0")
 
@@ -143,7 +144,8 @@ def pad(df: DataFrame, k: int, seed: int, pool_size: int = 64) -> DataFrame:
     """
     pool = distractor_pool(df).where("source IS NOT NULL")
     drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), "source", "norm"))
-    sample = pool.groupBy("source").agg(F.slice(F.array_sort(F.collect_list(F.struct(drawn.alias("draw"), "norm", "text"))), 1, pool_size).alias("pool"))
+    few = cap(pool.withColumn("draw", drawn), ["source"], pool_size, [F.col("draw"), F.col("norm")])
+    sample = few.groupBy("source").agg(F.collect_list(F.struct("draw", "norm", "text")).alias("pool"))  # pool_size at most
     rows = df.where("q_type = 'choice'").where((F.size("options") < k) & (F.size("options") > 0)).select("row_no", "source", F.transform("options", lambda o: F.lower(F.trim(o["text"]))).alias("have"))
     open_ = rows.join(sample, "source").withColumn("free", F.filter("pool", lambda e: ~F.array_contains(F.col("have"), e["norm"])))
     order = F.array_sort(F.transform("free", lambda e: F.struct(F.md5(F.concat_ws(":", F.col("row_no").cast("string"), e["norm"])).alias("d"), e["text"].alias("text"))))

@@ -9,19 +9,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.running import running_last
+
 QUERY_BLOCK = 10_000
 
 
 def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str]) -> DataFrame:
     """left with values of the last right row of the same `by` whose `on` is at or before left's; null without one.
 
-    Both sides are merged and the last right row is carried on by one window for each key. Of right rows at the same place the greatest values win.
+    Both sides are merged in range partitions and the last right row is carried on, over partitions too, so a hot key is many tasks.
+    Of right rows at the same place the greatest values win.
     """
     packed = F.struct(*values)
     lefts = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(right.select(packed.alias("v")).schema["v"].dataType)})
     reduced = right.groupBy(*by, on).agg(F.max(packed).alias("_v")).withColumn("_side", F.lit(0))
-    w = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = lefts.unionByName(reduced, allowMissingColumns=True).withColumn("_last", F.last("_v", ignorenulls=True).over(w))
+    both = running_last(lefts.unionByName(reduced, allowMissingColumns=True), by, [on, "_side"], "_v", "_last")
     return both.where("_side = 1").select(*left.columns, *(F.col(f"_last.{v}").alias(f"right_{v}") for v in values))
 
 

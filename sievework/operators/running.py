@@ -25,3 +25,15 @@ def running_sums(df: DataFrame, group: list[str], order: list, measures: dict[st
     joined = summed.alias("s").join(offsets.alias("o"), [F.col(f"s.{g}").eqNullSafe(F.col(f"o.{g}")) for g in [*group, "_part"]])
     kept = [F.col(f"s.{c}") for c in df.columns]
     return joined.select(*kept, *((F.col(f"_in_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums))
+
+
+def running_last(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df with name: the last value that isn't null at or before each row of its group. Spread out like running_sums."""
+    parts = cut(df.repartitionByRange(*(F.col(c) for c in [*group, *order])).withColumn("_part", F.spark_partition_id()))
+    ends = parts.where(F.col(value).isNotNull()).groupBy(*group, "_part").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    every = parts.select(*group, "_part").distinct().alias("p").join(ends.alias("e"), [F.col(f"p.{g}").eqNullSafe(F.col(f"e.{g}")) for g in [*group, "_part"]], "left").select(*(F.col(f"p.{g}") for g in [*group, "_part"]), "_end")
+    carried = every.select(*group, "_part", F.last("_end", ignorenulls=True).over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    inside = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    near = parts.withColumn("_near", F.last(value, ignorenulls=True).over(inside)).alias("s")
+    joined = near.join(carried.alias("o"), [F.col(f"s.{g}").eqNullSafe(F.col(f"o.{g}")) for g in [*group, "_part"]])
+    return joined.select(*(F.col(f"s.{c}") for c in df.columns), F.coalesce("_near", "_carried").alias(name))

@@ -61,7 +61,7 @@ def stratified(df: DataFrame, source: str, key: str, target: int, floor: int, mo
 
 def round_robin(df: DataFrame, source: str, order: list[Column]) -> DataFrame:
     """Place of each row when sources take turns: first rows of all sources by name, then second ones."""
-    ranked = df.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy(*order)))
+    ranked = running_sums(df, [source], order, {}).withColumnRenamed("_n", "turn")
     return running_sums(ranked, [], [F.col("turn"), F.col(source)], {}).withColumnRenamed("_n", "place")
 
 

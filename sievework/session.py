@@ -46,6 +46,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[str] = []
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing else uses; tidy() removes it."""
+    path = os.path.join(shared_folder(spark), f"{kind}-{uuid.uuid4().hex}")
+    _written.append(path)
+    return path
+
+
+def tidy(spark: SparkSession) -> None:
+    """Remove what operators wrote to the shared folder, once the results made of it have been read. Checkpoints are Spark's own to clean."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _shipped: set[str] = set()
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sievework.session import shared_folder
+from sievework.session import new_folder
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +75,7 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     In complete mode the last batch is the result.
     """
     spark = df.sparkSession
-    base = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
+    base = new_folder(spark, "stream")
     batches: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
