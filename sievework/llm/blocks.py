@@ -7,8 +7,6 @@ is split over several blocks, and no pair of sets is dropped: what can't be simi
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.grams import ordered, slices
-from sievework.session import shared_folder
+from sievework.session import new_folder
 
 INDEX_GRAMS = 15_000_000
 QUERY_GRAMS = 45_000_000
@@ -31,7 +29,7 @@ Work = Callable[[Iterator[pa.Array], np.ndarray, Queries], Iterator[pa.RecordBat
 
 def kept(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: compressed columns, no lineage."""
-    path = os.path.join(shared_folder(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
