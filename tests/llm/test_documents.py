@@ -134,7 +134,7 @@ def test_mix(spark, documents):
     assert got.position_key.is_monotonic_increasing and set(got.source) == {"big", "mid", "small"}
     assert {p.source: p.tokens for p in plans}["gone"] == 0
     cap = {p.source: p.max_repeats for p in plans}
-    assert (got.repeats <= got.source.map(cap)).all() and (got.copy < got.repeats).all() and (got.tokens > 0).all()
+    assert (got.repeats <= got.source.map(cap)).all() and (got["copy"] < got.repeats).all() and (got.tokens > 0).all()
     for p in plans:
         used = got[got.source == p.source].tokens.sum()
         biggest = max([len(token_starts(t or "")) for _, t, s in rows if (s or "").strip().lower() == p.source], default=0)
