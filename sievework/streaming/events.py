@@ -42,15 +42,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def error_streaks(events: DataFrame, least: int = 3) -> DataFrame:
-    """A row when a user's run of errors ends that was at least so long; a user's state is one number, kept until the user is idle for a day."""
+    """A row when a user's run of errors ends that was at least so long; a user's state is one number, kept for good."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (run,) = state.get
-            state.remove()
-            if run >= least:
-                yield pd.DataFrame({"user_id": [key[0]], "streak": [run]})
-            return
         run = state.get[0] if state.exists else 0
         out = []
         for batch in batches:
@@ -62,11 +56,10 @@ def error_streaks(events: DataFrame, least: int = 3) -> DataFrame:
                         out.append(run)
                     run = 0
         state.update((run,))
-        state.setTimeoutDuration(86_400_000)
         if out:
             yield pd.DataFrame({"user_id": [key[0]] * len(out), "streak": out})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, streak bigint", "run bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, streak bigint", "run bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
