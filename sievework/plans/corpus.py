@@ -69,14 +69,15 @@ def _norm(column: str) -> str:
     return _NORM.format(column)
 
 
-def _sh(text: str) -> str:
-    return f"unnest(list_distinct(list_transform(range(1, len(string_split({text}, ' ')) - 6), lambda i: array_to_string(string_split({text}, ' ')[i:i + 7], ' '))))"
+def _shingles(text: str) -> str:
+    return f"unnest(list_distinct(list_transform(range(1, len({text}) - 6), lambda i: array_to_string({text}[i:i + 7], ' '))))"
 
 
 _PAIRS = f"""
-    WITH d AS MATERIALIZED (SELECT doc_id, {_norm('text')} AS norm FROM documents), p AS MATERIALIZED (SELECT id AS item_id, {_norm('state')} AS norm FROM eval_items),
+    WITH d AS MATERIALIZED (SELECT *, string_split(norm, ' ') AS w FROM (SELECT doc_id, {_norm('text')} AS norm FROM documents)),
+    p AS MATERIALIZED (SELECT *, string_split(norm, ' ') AS w FROM (SELECT id AS item_id, {_norm('state')} AS norm FROM eval_items)),
     exact AS (SELECT DISTINCT doc_id, item_id FROM d JOIN p USING (norm) WHERE norm <> ''),
-    ps AS (SELECT DISTINCT item_id, {_sh('norm')} AS shingle FROM p), ds AS (SELECT doc_id, {_sh('norm')} AS shingle FROM d),
+    ps AS (SELECT DISTINCT item_id, {_shingles('w')} AS shingle FROM p), ds AS (SELECT doc_id, {_shingles('w')} AS shingle FROM d),
     shared AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN ps USING (shingle) GROUP BY 1, 2 HAVING count(*) >= 3),
     pairs AS (SELECT doc_id, item_id, 'state' AS reason, CAST(0 AS BIGINT) AS shared FROM exact UNION ALL SELECT doc_id, item_id, 'shingle', shared FROM shared WHERE doc_id NOT IN (SELECT doc_id FROM exact))
 """
@@ -96,9 +97,10 @@ ORACLES = {
     "contamination_summary": _PAIRS + "SELECT source, tier, reason, count(*) AS pairs, count(DISTINCT doc_id) AS documents FROM pairs JOIN documents USING (doc_id) JOIN eval_items ON id = item_id GROUP BY 1, 2, 3",
     "contamination_pooled": _PAIRS + "SELECT doc_id, count(*) AS shared FROM ds WHERE shingle IN (SELECT shingle FROM ps) GROUP BY 1 HAVING count(*) >= 3",
     "containment_by_probe": f"""
-        WITH d AS MATERIALIZED (SELECT {_COLLAPSED.format('text')} AS n FROM documents), p AS MATERIALIZED (SELECT id AS item_id, {_COLLAPSED.format('state')} AS n FROM eval_items),
-        ds AS (SELECT DISTINCT s FROM (SELECT {_sh('n')} AS s FROM d WHERE len(string_split(n, ' ')) >= 8 UNION ALL SELECT n FROM d WHERE n <> '' AND len(string_split(n, ' ')) < 8)),
-        ps AS (SELECT item_id, {_sh('n')} AS s FROM p WHERE len(string_split(n, ' ')) >= 8 UNION ALL SELECT item_id, n FROM p WHERE n <> '' AND len(string_split(n, ' ')) < 8)
+        WITH d AS MATERIALIZED (SELECT *, string_split(n, ' ') AS w FROM (SELECT {_COLLAPSED.format('text')} AS n FROM documents)),
+        p AS MATERIALIZED (SELECT *, string_split(n, ' ') AS w FROM (SELECT id AS item_id, {_COLLAPSED.format('state')} AS n FROM eval_items)),
+        ds AS (SELECT DISTINCT s FROM (SELECT {_shingles('w')} AS s FROM d WHERE len(w) >= 8 UNION ALL SELECT n FROM d WHERE n <> '' AND len(w) < 8)),
+        ps AS (SELECT item_id, {_shingles('w')} AS s FROM p WHERE len(w) >= 8 UNION ALL SELECT item_id, n FROM p WHERE n <> '' AND len(w) < 8)
         SELECT item_id, count(*) AS shingles, count(ds.s) AS found, round(count(ds.s) / count(*)::DOUBLE, 9) AS share, count(ds.s) / count(*)::DOUBLE >= 0.5::DOUBLE AS flagged FROM ps LEFT JOIN ds ON ps.s = ds.s GROUP BY 1""",
     "first_wins": _FIRST + "SELECT * FROM v",
     "first_wins_counts": _FIRST + "SELECT source, verdict, count(*) AS n FROM v GROUP BY 1, 2",
