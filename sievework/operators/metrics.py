@@ -239,3 +239,31 @@ def bucket_metrics(s: DataFrame, group: list[str]) -> DataFrame:
     return s.groupBy(*group, C.k_bucket(F.col("k")).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("correct"), 9).alias("accuracy"), F.round(F.avg("brier"), 9).alias("brier"), F.round(F.avg(C.corrected_confidence(F.col("probs"))), 9).alias("corrected_confidence")
     )
+
+
+def focal_loss(s: DataFrame, group: list[str], gamma: float = 2.0) -> DataFrame:
+    """Mean focal loss and mean negative log likelihood of the gold option."""
+    p = F.greatest(F.element_at("probs", F.col("gold") + 1), F.lit(1e-12))
+    return s.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.pow(1 - p, F.lit(gamma)) * -F.ln(p)), 9).alias("focal"), F.round(F.avg(-F.ln(p)), 9).alias("nll"))
+
+
+def _two_runs(s: DataFrame, first: str, second: str) -> DataFrame:
+    """Items that both runs answered with the same options in the same order."""
+    one = one_per_item(s).select("item_id", "run_name", "gold", "k", "probs", "option_keys")
+    a, b = (one.where(F.col("run_name") == run).select("item_id", F.col("gold").alias(f"gold_{x}"), "k", F.col("probs").alias(x), F.col("option_keys").alias(f"keys_{x}")) for run, x in ((first, "a"), (second, "b")))
+    return a.join(b.drop("k"), "item_id").where("keys_a = keys_b AND gold_a = gold_b").withColumnRenamed("gold_a", "gold")
+
+
+def blend_sweep(s: DataFrame, first: str, second: str, weights: list[float]) -> DataFrame:
+    """Accuracy of first + weight * second by option bucket and weight, over items that both have."""
+    rows = _two_runs(s, first, second).withColumn("weight", F.explode(F.array(*map(F.lit, weights))))
+    blended = F.zip_with("a", "b", lambda x, y: x + F.col("weight") * y)
+    return rows.groupBy(C.blend_bucket(F.col("k")).alias("bucket"), "weight").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((C.argmax(blended) == F.col("gold")).cast("double")), 9).alias("accuracy"))
+
+
+def mixture(s: DataFrame, runs: list[str]) -> DataFrame:
+    """Answers of the mean distribution of runs, per item that all of them have with the same options: item_id, answer, correct."""
+    rows = one_per_item(s).where(F.col("run_name").isin(runs)).select("item_id", "run_name", "gold", "option_keys", F.posexplode("probs").alias("i", "p"))
+    mean = rows.groupBy("item_id", "option_keys", "gold", "i").agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("runs")).where(F.col("runs") == len(runs))
+    top = mean.groupBy("item_id", "option_keys", "gold").agg(F.min_by("i", F.struct(-F.round("p", 12), F.col("i"))).alias("top"))
+    return top.select("item_id", F.element_at("option_keys", F.col("top") + 1).alias("answer"), (F.col("top") == F.col("gold")).cast("int").alias("correct"))

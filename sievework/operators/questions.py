@@ -150,3 +150,11 @@ def pad(df: DataFrame, k: int, seed: int, pool_size: int = 64) -> DataFrame:
     open_ = rows.join(sample, "source").withColumn("free", F.filter("pool", lambda e: ~F.array_contains(F.col("have"), e["norm"])))
     order = F.array_sort(F.transform("free", lambda e: F.struct(F.md5(F.concat_ws(":", F.col("row_no").cast("string"), e["norm"])).alias("d"), e["text"].alias("text"))))
     return open_.select("row_no", F.transform(F.slice(order, F.lit(1), F.lit(k) - F.size("have")), lambda e: e["text"]).alias("added")).where("size(added) > 0")
+
+
+def nested_options(df: DataFrame, sizes: tuple[int, ...], seed: int) -> DataFrame:
+    """For each size below a choice question's own: the gold and the first others in an order drawn by hash, so smaller sets lie in larger ones. row_no, size, keys (in that order)."""
+    rows = df.where("q_type = 'choice'").where(F.array_contains(option_keys(), F.col("label_key")))
+    others = F.array_sort(F.transform(F.filter("options", lambda o: o["key"] != F.col("label_key")), lambda o: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row_no").cast("string"), o["key"])).alias("d"), o["key"].alias("key"))))
+    drawn = rows.select("row_no", F.concat(F.array("label_key"), F.transform(others, lambda e: e["key"])).alias("keys"), F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+    return drawn.where(F.size("keys") > F.col("size")).select("row_no", "size", F.slice("keys", F.lit(1), F.col("size")).alias("keys"))

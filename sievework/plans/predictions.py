@@ -9,6 +9,7 @@ from sievework.operators import calibration, metrics
 
 TEMPERATURES = [0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0]
 THRESHOLDS = [0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+WEIGHTS = [0.0, 0.5, 1.0, 2.0]
 TIES = ["item_id", "scored_at", "source", "schema_key"]
 
 
@@ -68,6 +69,9 @@ QUERIES = {
     "pred_confidence_relation": _over(metrics.confidence_relation, ["run_name"]),
     "pred_bucket_metrics": _over(metrics.bucket_metrics, ["run_name"]),
     "pred_unmatched_items": unmatched_items,
+    "pred_focal_loss": _over(metrics.focal_loss, ["run_name"]),
+    "pred_blend_sweep": _over(metrics.blend_sweep, "head-base", "head-lora", WEIGHTS),
+    "pred_mixture": _over(metrics.mixture, ["head-base", "head-lora", "head-wide"]),
     "pred_confidence_map": _over(calibration.confidence_map, ["run_name"]),
     "pred_mcnemar": _over(calibration.mcnemar),
     "pred_bootstrap": _over(calibration.bootstrap),
@@ -154,5 +158,11 @@ ORACLES = {
     "pred_confidence_relation": _SCORED + """SELECT run_name, round(corr(confidence, correct), 6) AS r, round(regr_slope(correct, confidence), 6) AS slope, round(regr_intercept(correct, confidence), 6) AS intercept, round(regr_r2(correct, confidence), 6) AS r2 FROM scored GROUP BY 1""",
     "pred_bucket_metrics": _SCORED + """SELECT run_name, CASE WHEN k <= 2 THEN '2' WHEN k <= 5 THEN '3-5' WHEN k <= 20 THEN '6-20' WHEN k <= 80 THEN '21-80' WHEN k <= 256 THEN '81-256' ELSE '>256' END AS bucket, count(*) AS n,
         round(avg(correct), 9) AS accuracy, round(avg(brier), 9) AS brier, round(avg(CASE WHEN k > 1 THEN greatest((confidence - 1.0::DOUBLE / k) / (1 - 1.0::DOUBLE / k), 0) ELSE 1 END), 9) AS corrected_confidence FROM scored GROUP BY 1, 2""",
+    "pred_focal_loss": _SCORED + """, p AS (SELECT run_name, greatest(probs[gold + 1], 1e-12) AS p FROM scored) SELECT run_name, count(*) AS n, round(avg((1 - p) ** 2 * -ln(p)), 9) AS focal, round(avg(-ln(p)), 9) AS nll FROM p GROUP BY 1""",
+    "pred_blend_sweep": _SCORED + _ONE + f""", j AS (SELECT a.k, a.gold, weight, list_transform(range(a.k), lambda i: a.probs[i + 1] + weight * b.probs[i + 1]) AS p FROM one a JOIN one b ON a.item_id = b.item_id AND a.run_name = 'head-base' AND b.run_name = 'head-lora'
+            AND a.option_keys = b.option_keys AND a.gold = b.gold, (SELECT unnest({WEIGHTS}::DOUBLE[]) AS weight))
+        SELECT CASE WHEN k <= 5 THEN '<=5' WHEN k <= 19 THEN '6-19' ELSE '>=20' END AS bucket, weight, count(*) AS n, round(avg(CAST(list_position(p, list_max(p)) - 1 = gold AS DOUBLE)), 9) AS accuracy FROM j GROUP BY 1, 2""",
+    "pred_mixture": _SCORED + _ONE + """, o AS (SELECT item_id, option_keys, gold, generate_subscripts(probs, 1) - 1 AS i, unnest(probs) AS p FROM one), m AS (SELECT item_id, option_keys, gold, i, sum(p) AS p FROM o GROUP BY 1, 2, 3, 4 HAVING count(*) = 3),
+        t AS (SELECT *, row_number() OVER (PARTITION BY item_id, option_keys, gold ORDER BY round(p, 12) DESC, i) AS r FROM m) SELECT item_id, option_keys[i + 1] AS answer, CAST(i = gold AS INT) AS correct FROM t WHERE r = 1""",
     "pred_unmatched_items": "SELECT run_name, count(*) AS n, count(DISTINCT item_id) AS items FROM predictions WHERE item_id IS NULL OR item_id NOT IN (SELECT id FROM typed_questions WHERE id IS NOT NULL) GROUP BY 1",
 }

@@ -68,6 +68,7 @@ QUERIES = {
     "options_shuffled": lambda spark, sf_dir: Q.shuffled_options(_q(spark, sf_dir), 4).select("row_no", _joined("keys"), "gold"),
     "options_without_gold": lambda spark, sf_dir: Q.without_gold(_q(spark, sf_dir)).select("row_no", _joined("keys")),
     "options_shrunk": lambda spark, sf_dir: Q.shrink(_q(spark, sf_dir), 3, 6).select("row_no", _joined("keys")),
+    "options_nested": lambda spark, sf_dir: Q.nested_options(_q(spark, sf_dir), (2, 3, 4), 8).select("row_no", "size", _joined("keys")),
     "options_pool": _on(Q.distractor_pool),
     "options_padded": lambda spark, sf_dir: Q.pad(_q(spark, sf_dir), 8, 2).select("row_no", _joined("added")),
     "state_first_sentences": _on(Q.first_sentences, 0.5),
@@ -124,6 +125,8 @@ ORACLES = {
     "options_shrunk": f"""WITH o AS (SELECT row_no, label_key, generate_subscripts(options, 1) AS place, unnest(options).key AS key FROM ({_OPT}) WHERE len(options) > 3),
         r AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY CASE WHEN key = label_key THEN '' ELSE md5('6:' || row_no || ':' || key) END, place) AS i FROM o)
         SELECT row_no, string_agg(key, '|' ORDER BY place) AS keys FROM r WHERE i <= 3 GROUP BY 1""",
+    "options_nested": f"""WITH o AS (SELECT row_no, len(options) AS k, label_key, unnest(options).key AS key FROM ({_OPT})), r AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY CASE WHEN key = label_key THEN '' ELSE md5('8:' || row_no || ':' || key) END, key) AS i FROM o)
+        SELECT row_no, size, string_agg(key, '|' ORDER BY i) AS keys FROM r, (SELECT unnest([2, 3, 4]) AS size) WHERE i <= size AND k > size GROUP BY 1, 2""",
     "options_pool": _POOL + "SELECT * FROM pool",
     "options_padded": _POOL + """, s AS (SELECT source, norm, text, row_number() OVER (PARTITION BY source ORDER BY md5('2:' || source || ':' || norm), norm) AS i FROM pool WHERE source IS NOT NULL),
         q AS (SELECT row_no, source, len(options) AS k, list_transform(options, lambda o: lower(trim(o.text))) AS have FROM typed_questions WHERE q_type = 'choice' AND len(options) BETWEEN 1 AND 7),
