@@ -107,7 +107,7 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _t(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\| ([^|\n\r]+) \|"), 1)).alias("cell"))
+    o = _t(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\| ([^|\n\r]+) (?=\|)"), 1)).alias("cell"))
     return o.groupBy(X.answer_type(F.col("cell")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
