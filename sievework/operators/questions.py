@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import columns as C
-from sievework.operators.sampling import cap
+from sievework.operators.running import running_sums
+from sievework.operators.skew import lookup
+from sievework.session import cut
 
 TRUE, FALSE = ("true", "yes", "1"), ("false", "no", "0")
 
@@ -137,19 +139,49 @@ def distractor_pool(df: DataFrame) -> DataFrame:
     return o.groupBy("source", "norm").agg(F.min_by("o.text", F.struct("row_no", "place")).alias("text"), F.count(F.lit(1)).alias("uses"))
 
 
-def pad(df: DataFrame, k: int, seed: int, pool_size: int = 64) -> DataFrame:
-    """Choice questions with fewer than k options: texts from their source's pool that they don't have, drawn by hash, up to k. Columns: row_no, added (texts).
+def _numbers(most: Column, k: int, seed: str) -> Column:
+    """k different numbers from 1 to most, all of them if there are fewer: every set of k is as likely (Floyd's draw), by hash of seed and row_no."""
+    n = F.least(most.cast("bigint"), F.lit(k).cast("bigint"))
 
-    Of each source the pool is a hash sample of pool_size texts (a documented bound): a question meets that many candidates, not its source's all.
+    def drawn(have: Column, i: Column) -> Column:
+        top = most - n + i
+        t = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("row_no").cast("string"), i.cast("string"))), 1, 15), 16, 10).cast("bigint"), top) + 1
+        return F.array_append(have, F.when(F.array_contains(have, t), top).otherwise(t))
+
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1).cast("bigint"), n), F.array().cast("array<bigint>"), drawn)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _drawn_texts(rows: DataFrame, pool: DataFrame) -> DataFrame:
+    """rows (row_no, numbers, source) with found: the pool's (norm, text) at those numbers, in an order drawn by hash. pool: source, _n, norm, text."""
+    asked = rows.select("row_no", F.explode(F.transform("numbers", lambda i: F.struct(F.col("source").alias("source"), i.alias("n")))).alias("at"))
+    texts = lookup(asked, pool.select(F.struct("source", F.col("_n").cast("bigint").alias("n")).alias("at"), "norm", "text"), "at", "row_no", how="inner")
+    d = F.md5(F.concat_ws(":", F.col("row_no").cast("string"), "norm"))
+    found = texts.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct(d.alias("d"), "norm", "text"))).alias("found"))  # k at most
+    return rows.join(found, "row_no", "left")
+
+
+def pad(df: DataFrame, k: int, seed: int) -> DataFrame:
+    """Choice questions with fewer than k options: texts that they don't have, drawn by hash from all texts of their source, and if those are too few from those of all sources, up to k. Columns: row_no (must be unique), added (texts).
+
+    Texts are numbered, and a question looks up k numbers drawn by hash. A pool has each text once, so those that a question must not take and those that it wants are k together: k numbers always do.
     """
-    pool = distractor_pool(df).where("source IS NOT NULL")
-    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), "source", "norm"))
-    few = cap(pool.withColumn("draw", drawn), ["source"], pool_size, [F.col("draw"), F.col("norm")])
-    sample = few.groupBy("source").agg(F.collect_list(F.struct("draw", "norm", "text")).alias("pool"))  # pool_size at most
-    rows = df.where("q_type = 'choice'").where((F.size("options") < k) & (F.size("options") > 0)).select("row_no", "source", F.transform("options", lambda o: F.lower(F.trim(o["text"]))).alias("have"))
-    open_ = rows.join(sample, "source").withColumn("free", F.filter("pool", lambda e: ~F.array_contains(F.col("have"), e["norm"])))
-    order = F.array_sort(F.transform("free", lambda e: F.struct(F.md5(F.concat_ws(":", F.col("row_no").cast("string"), e["norm"])).alias("d"), e["text"].alias("text"))))
-    return open_.select("row_no", F.transform(F.slice(order, F.lit(1), F.lit(k) - F.size("have")), lambda e: e["text"]).alias("added")).where("size(added) > 0")
+    pool = running_sums(distractor_pool(df).select(F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("unnamed"), "norm", "text"), ["source", "unnamed"], [F.col("norm")], {})
+    own = pool.where("NOT unnamed").select("source", "_n", "norm", "text")
+    rows = df.where("q_type = 'choice'").where((F.size("options") < k) & (F.size("options") > 0)).select("row_no", "source", F.transform("options", lambda o: F.coalesce(F.lower(F.trim(o["text"])), F.lit(""))).alias("have"))
+    sizes = own.groupBy("source").agg(F.max("_n").alias("most"))
+    asking = rows.join(sizes, "source", "left").withColumn("numbers", _numbers(F.coalesce("most", F.lit(0)), k, f"{seed}:own"))
+
+    def taken(e: Column) -> Column:
+        return F.filter(F.coalesce("found", F.array().cast("array<struct<d:string,norm:string,text:string>>")), lambda x: ~F.array_contains(e, x["norm"]))
+
+    wanted = F.lit(k) - F.size("have")
+    first = cut(_drawn_texts(asking, own).select("row_no", "have", F.slice(taken(F.col("have")), F.lit(1), wanted).alias("mine")))
+    flat = running_sums(pool.groupBy("norm").agg(F.min_by("text", F.struct("unnamed", "source")).alias("text")), [], [F.col("norm")], {}).withColumn("source", F.lit(""))
+    lacking = first.where(F.size("mine") < wanted).crossJoin(flat.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("most")))  # one row
+    second = _drawn_texts(lacking.select("row_no", "have", "mine", F.lit("").alias("source"), _numbers(F.col("most"), k, f"{seed}:all").alias("numbers")), flat)
+    more = F.slice(taken(F.concat("have", F.transform("mine", lambda e: e["norm"]))), F.lit(1), wanted - F.size("mine"))
+    both = first.where(F.size("mine") >= wanted).select("row_no", "mine").unionByName(second.select("row_no", F.concat("mine", more).alias("mine")))
+    return both.select("row_no", F.transform("mine", lambda e: e["text"]).alias("added")).where("size(added) > 0")
 
 
 def nested_options(df: DataFrame, sizes: tuple[int, ...], seed: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Cases that the queries' SQL can't see, since it takes the same short cut or the tables lack them."""
 
+from sievework.operators import questions as Q
 from sievework.plans import general
 
 
@@ -7,3 +8,22 @@ def test_answer_types_every_cell(spark, tmp_path):
     spark.createDataFrame([(0, "| 处方 | Naipreamere | 329 |\nno table\n| yes | AB-1234 |"), (1, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.kind: r.n for r in general.answer_types(spark, str(tmp_path)).collect()}
     assert got == {"phrase": 1, "proper": 1, "number": 1, "yes_no": 1, "code": 1}
+
+
+def test_padding_draws_from_all_texts(spark):
+    make = lambda i, source, *texts: (i, "choice", source, [(str(j), t) for j, t in enumerate(texts)])
+    data = [make(i, "many", f"Text {i}", f" text {(i * 7) % 300}") for i in range(300)]
+    data += [make(300, "few", "x", "y"), make(301, None, "z", "Text 5"), make(302, "few", "x", None), make(303, "many", *"abcdefgh"), (304, "noul", "many", None)]
+    df = spark.createDataFrame(data, "row_no bigint, q_type string, source string, options array<struct<key:string,text:string>>")
+    have = {r[0]: {t.strip().lower() for _, t in r[3] if t} for r in data if r[3]}
+    added = {r.row_no: r.added for r in Q.pad(df, 8, 2).collect()}
+    assert set(added) == set(range(303))
+    for i, texts in added.items():
+        norms = {t.strip().lower() for t in texts}
+        assert len(texts) == len(norms) == 6 and not norms & have[i]
+    assert added[302][0] == "y"
+    many = {t.strip().lower() for r in data[:300] + data[303:304] for _, t in r[3]}
+    used = {t.strip().lower() for i in range(300) for t in added[i]}
+    assert used <= many and len(used) > 250
+    few = Q.pad(df.where("row_no IN (300, 301)"), 8, 2).collect()
+    assert {r.row_no: sorted(t.lower() for t in r.added) for r in few} == {300: ["text 5", "z"], 301: ["x", "y"]}
