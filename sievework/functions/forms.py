@@ -110,6 +110,21 @@ def form_column(column: Column | str) -> Column:
     return of(F.col(column) if isinstance(column, str) else column)
 
 
+def folded_words(text: str) -> str:
+    """NFC, full case folding, runs of anything but letters and digits (underscores and combining marks too) to one space, trimmed."""
+    return " ".join(_WORD.findall(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).casefold()))
+
+
+def folded_column(column: Column | str) -> Column:
+    """folded_words() of a string column; null stays null."""
+
+    @F.arrow_udf("string")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else folded_words(t) for t in texts.to_pylist()], pa.string())
+
+    return of(F.col(column) if isinstance(column, str) else column)
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 

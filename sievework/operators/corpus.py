@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import columns as C
+from sievework.functions.forms import folded_column
 from sievework.operators.running import running_sums
 from sievework.operators.skew import lookup
 
@@ -30,7 +31,7 @@ def first_wins(df: DataFrame, source: str = "source") -> DataFrame:
     Firsts are minima taken on the map side, looked up by salted joins: no window sorts a hot key.
     """
     rank = F.struct(*(F.col(c) for c in ORDER))
-    rows = df.select("row_no", source, "id", rank.alias("rank"), record_digest(F.col("id"), C.normal_words("state"), F.col("question"), F.col("label")).alias("digest"))
+    rows = df.select("row_no", source, "id", rank.alias("rank"), record_digest(F.col("id"), folded_column("state"), F.col("question"), F.col("label")).alias("digest"))
     by_record = rows.groupBy("digest").agg(F.min("rank").alias("first_rank"))
     marked = lookup(rows, by_record, "digest", "row_no").withColumn("repeat", F.col("rank") != F.col("first_rank"))
     by_id = marked.where("NOT repeat AND id IS NOT NULL").groupBy("id").agg(F.min_by(source, "rank").alias("owner"))
@@ -41,7 +42,7 @@ def first_wins(df: DataFrame, source: str = "source") -> DataFrame:
 
 def duplicate_metrics(df: DataFrame) -> DataFrame:
     """Per source: rows, distinct states, ids and records, rows beyond them, most rows of a state, states under several questions."""
-    state = C.normal_words(F.coalesce("state", F.lit("")))
+    state = folded_column(F.coalesce("state", F.lit("")))
     rows = df.select("source", state.alias("s"), "id", "question", record_digest(F.col("id"), state, F.col("question"), F.col("label")).alias("d"))
     per_state = rows.groupBy("source", "s").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("question").alias("questions"))
     a = per_state.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("states"), F.max("n").alias("most"), F.sum((F.col("questions") > 1).cast("int")).alias("several_questions"))
@@ -67,7 +68,7 @@ def id_suffixes(df: DataFrame) -> DataFrame:
 
 
 def _shingles(df: DataFrame, id_col: str, text: str, name: str) -> DataFrame:
-    return df.select(F.col(id_col).alias(name), F.explode(C.word_shingles(C.normal_words(text), SHINGLE_WORDS)).alias("shingle"))
+    return df.select(F.col(id_col).alias(name), folded_column(text).alias("_norm")).select(name, F.explode(C.word_shingles("_norm", SHINGLE_WORDS)).alias("shingle"))
 
 
 def contamination_pairs(documents: DataFrame, probes: DataFrame, probe_text: str = "state", least: int = SHARED_SHINGLES) -> DataFrame:
@@ -76,8 +77,8 @@ def contamination_pairs(documents: DataFrame, probes: DataFrame, probe_text: str
     An exact hit hides the shingle hits of its document. Documents' shingles meet the probes' in a join before anything is counted, so what is shuffled is what matched.
     """
     exact = (
-        documents.select("doc_id", C.normal_words("text").alias("norm")).where("norm <> ''")
-        .join(probes.select(F.col("id").alias("item_id"), C.normal_words(probe_text).alias("norm")), "norm").select("doc_id", "item_id").distinct()
+        documents.select("doc_id", folded_column("text").alias("norm")).where("norm <> ''")
+        .join(probes.select(F.col("id").alias("item_id"), folded_column(probe_text).alias("norm")), "norm").select("doc_id", "item_id").distinct()
     )
     shared = _shingles(documents, "doc_id", "text", "doc_id").join(_shingles(probes, "id", probe_text, "item_id").distinct(), "shingle").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
     rest = shared.join(exact.select("doc_id").distinct(), "doc_id", "left_anti")

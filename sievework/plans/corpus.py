@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions import columns as C
+from sievework.functions.forms import folded_column
 from sievework.operators import corpus, minhash
 
 
@@ -23,11 +23,11 @@ def first_wins_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least doc_id of each normalised text."""
-    return _t(spark, sf_dir, "documents").select("doc_id", C.normal_words("text").alias("norm")).where("norm <> ''").groupBy("norm").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+    return _t(spark, sf_dir, "documents").select("doc_id", folded_column("text").alias("norm")).where("norm <> ''").groupBy("norm").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
 
 
 def cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.cross_source(_t(spark, sf_dir, "corpus_records"), C.normal_words("state"))
+    return corpus.cross_source(_t(spark, sf_dir, "corpus_records"), folded_column("state"))
 
 
 def overlap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

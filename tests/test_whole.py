@@ -1,6 +1,8 @@
 """Cases that the queries' SQL can't see, since it takes the same short cut or the tables lack them."""
 
+from sievework.operators import corpus
 from sievework.operators import questions as Q
+from sievework.plans import corpus as corpus_plans
 from sievework.plans import general
 
 
@@ -27,3 +29,25 @@ def test_padding_draws_from_all_texts(spark):
     assert used <= many and len(used) > 250
     few = Q.pad(df.where("row_no IN (300, 301)"), 8, 2).collect()
     assert {r.row_no: sorted(t.lower() for t in r.added) for r in few} == {300: ["text 5", "z"], 301: ["x", "y"]}
+
+
+def test_states_fold_whole_unicode(spark, tmp_path):
+    left = "Cafe\u0301 \ufb01nds \u1e9e in \u039f\u03b4\u03cc\u03c2 one two three four five six seven"
+    right = "CAF\u00c9 FINDS ss IN \u039f\u0394\u039f\u0301\u03a3 one_two three four five six seven"
+    records = [(i, f"s{i}", "id", 0, "c", i, text, "q", "l") for i, text in enumerate([left, right, None])]
+    rows = spark.createDataFrame(records, "row_no bigint, source string, id string, priority int, corpus string, pos bigint, state string, question string, label string")
+    rows.write.parquet(f"{tmp_path}/corpus_records.parquet")
+    documents = spark.createDataFrame([(0, left), (1, right)], "doc_id bigint, text string")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.row_no: r.verdict for r in corpus.first_wins(rows).collect()} == {0: "kept", 1: "record", 2: "id"}
+    assert sorted((r.source, r.verdict, r.n) for r in corpus_plans.first_wins_counts(spark, str(tmp_path)).collect()) == [("s0", "kept", 1), ("s1", "record", 1), ("s2", "id", 1)]
+    one = corpus.duplicate_metrics(rows.where("row_no < 2").drop("source").selectExpr("*", "'s' AS source")).first()
+    assert (one.n, one.states, one.records) == (2, 1, 1)
+    assert [tuple(r) for r in corpus_plans.cross_source(spark, str(tmp_path)).collect()] == [("s0", "s1", 1)]
+    assert [tuple(r) for r in corpus_plans.documents_first(spark, str(tmp_path)).collect()] == [(0, 2)]
+    probes = spark.createDataFrame([("whole", right), ("part", right + " and more")], "id string, state string")
+    pairs = {(r.doc_id, r.item_id, r.reason) for r in corpus.contamination_pairs(documents, probes).collect()}
+    assert pairs == {(0, "whole", "state"), (1, "whole", "state")}
+    pairs = {(r.doc_id, r.item_id, r.reason) for r in corpus.contamination_pairs(documents, probes.where("id = 'part'")).collect()}
+    assert pairs == {(0, "part", "shingle"), (1, "part", "shingle")}
+    assert {r.doc_id for r in corpus.contamination_pooled(documents, probes).collect()} == {0, 1}
