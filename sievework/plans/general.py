@@ -89,7 +89,8 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.drained(E.error_streaks(E.stream(spark, f"{sf_dir}/events.parquet"))).groupBy("user_id").agg(F.count(F.lit(1)).alias("streaks"), F.max("streak").alias("longest"))
+    events = E.drained(E.stream(spark, f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type"))
+    return E.error_streaks(events).groupBy("user_id").agg(F.count(F.lit(1)).alias("streaks"), F.max("streak").alias("longest"))
 
 
 def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sievework.operators.running import running_sums
 from sievework.session import new_folder
 
 
@@ -42,19 +43,25 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def error_streaks(events: DataFrame, least: int = 3) -> DataFrame:
-    """A row when a user's run of errors ends that was at least so long; a user's state is one number, kept for good."""
+    """A row when a user's run of errors ends that was at least so long, in order of ts and event_id.
+
+    A batch frame is ordered whole, spread over range partitions. Of a stream, a user's state is one number, kept for good: a user's events of one
+    micro-batch are put in order together, but those of a later micro-batch count as later, so a source out of order must be drained first.
+    """
+    if not events.isStreaming:
+        return _bounded_streaks(events, least)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run = state.get[0] if state.exists else 0
         out = []
-        for batch in batches:
-            for kind in batch.sort_values(["ts", "event_id"]).event_type:
-                if kind == "error":
-                    run += 1
-                else:
-                    if run >= least:
-                        out.append(run)
-                    run = 0
+        frames = [b[["ts", "event_id"]].assign(error=b.event_type == "error") for b in batches]  # one user comes in several frames
+        for error in pd.concat(frames).sort_values(["ts", "event_id"]).error if frames else ():
+            if error:
+                run += 1
+            else:
+                if run >= least:
+                    out.append(run)
+                run = 0
         state.update((run,))
         if out:
             yield pd.DataFrame({"user_id": [key[0]] * len(out), "streak": out})
@@ -62,6 +69,14 @@ def error_streaks(events: DataFrame, least: int = 3) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, streak bigint", "run bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def _bounded_streaks(events: DataFrame, least: int) -> DataFrame:
+    """Errors share a number with the run's other errors, the count of other events before them; the event that ends the run has the next."""
+    error = F.coalesce(F.col("event_type") == "error", F.lit(False)).cast("int")
+    rows = running_sums(events.select("user_id", "ts", "event_id", error.alias("error"), (1 - error).alias("other")), ["user_id"], [F.col("ts"), F.col("event_id")], {"others": "other"})
+    runs = rows.groupBy("user_id", (F.col("others") - F.col("other")).alias("run")).agg(F.sum("error").alias("streak"), F.max("other").alias("ended"))
+    return runs.where((F.col("streak") >= least) & (F.col("ended") == 1)).select("user_id", "streak")
+
+
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream until its source is used up, and read what it wrote. Each batch is written to a folder of its own, so a batch that is repeated after a failure replaces itself.
 

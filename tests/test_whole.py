@@ -1,9 +1,12 @@
 """Cases that the queries' SQL can't see, since it takes the same short cut or the tables lack them."""
 
+import random
+
 from sievework.operators import corpus
 from sievework.operators import questions as Q
 from sievework.plans import corpus as corpus_plans
 from sievework.plans import general
+from sievework.streaming import events as E
 
 
 def test_answer_types_every_cell(spark, tmp_path):
@@ -51,3 +54,23 @@ def test_states_fold_whole_unicode(spark, tmp_path):
     pairs = {(r.doc_id, r.item_id, r.reason) for r in corpus.contamination_pairs(documents, probes.where("id = 'part'")).collect()}
     assert pairs == {(0, "part", "shingle"), (1, "part", "shingle")}
     assert {r.doc_id for r in corpus.contamination_pooled(documents, probes).collect()} == {0, 1}
+
+
+def test_streaks_of_a_hot_user(spark, tmp_path):
+    chance = random.Random(1)
+    kinds = [chance.choice(["error", "error", "view"]) for _ in range(25_000)] + ["view", "error", "error", "error"]
+    want, run = [], 0
+    for kind in kinds:
+        if kind == "error":
+            run += 1
+        else:
+            want += [run] * (run >= 3)
+            run = 0
+    rows = [(i, 7, kind, i // 2) for i, kind in enumerate(kinds)]
+    chance.shuffle(rows)
+    made = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, second bigint").selectExpr("event_id", "user_id", "event_type", "timestamp_seconds(second) AS ts", "1.0D AS value")
+    path = f"{tmp_path}/events.parquet"
+    made.coalesce(3).write.parquet(path)
+    for df in (E.error_streaks(spark.read.parquet(path)), E.drained(E.error_streaks(E.stream(spark, path)))):
+        assert sorted(r.streak for r in df.collect()) == sorted(want)
+    assert [tuple(r) for r in general.streaks(spark, str(tmp_path)).collect()] == [(7, len(want), max(want))]
