@@ -13,7 +13,8 @@ from sievework.session import cut
 TASK_EDGES = 2_000_000
 
 
-def _union(table: pa.Table) -> pa.Table:
+def union(table: pa.Table) -> pa.Table:
+    """The component of each node of an edge table (src, dst) in memory, nodes ascending."""
     a, b = table["src"].to_numpy(), table["dst"].to_numpy()
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     parent = np.arange(len(nodes))
@@ -59,7 +60,7 @@ def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES, seed: i
             .select(F.least("src_into", "dst_into").alias("src"), F.greatest("src_into", "dst_into").alias("dst")).distinct()
         )
         n = now.count()
-    found = now.groupBy(F.lit(1).alias("one")).applyInArrow(_union, "node bigint, component bigint") if n else spark.createDataFrame([], "node bigint, component bigint")
+    found = now.groupBy(F.lit(1).alias("one")).applyInArrow(union, "node bigint, component bigint") if n else spark.createDataFrame([], "node bigint, component bigint")
     for into in reversed(rounds):
         found = into.join(found.withColumnRenamed("node", "into"), "into", "left").select("node", F.coalesce("component", "into").alias("component"))
     if rounds:  # names so far are whichever node was left
