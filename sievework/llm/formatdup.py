@@ -2,12 +2,13 @@
 
 Method: every pair of a normalised field name and its value is hashed; the hashes of a record's fields are combined by
 addition modulo 2**128, which doesn't depend on their order; records are grouped by this fingerprint, and each copy is
-compared with the first of its group field by field, by looking fields up, without sorting them.
+compared with the first of its group field by field: fields are looked up, never sorted.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from decimal import Decimal
 from functools import lru_cache
 from typing import Any
@@ -18,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.forms import form
-from sievework.operators.skew import SALTS, salt
+from sievework.operators.skew import lookup
 from sievework.session import cut
 
+#: Rows of one group that a task compares.
+PART_ROWS = 5_000
 _ALL = (1 << 128) - 1
 _NOTHING = object()
 
@@ -111,24 +114,26 @@ def fingerprint(state: str | None, question: str | None) -> bytes | None:
     return (total & _ALL).to_bytes(16, "big")
 
 
-def _canonical(state: str | None, question: str | None) -> str:
-    """A text equal for equal records only; used to part records that share a fingerprint by accident."""
+class _Records:
+    """The different records among rows of one fingerprint, the first of each; rows come in order of their number."""
 
-    def of(value: Any) -> Any:
-        if isinstance(value, str):
-            return ["s", _form(value)]
-        if isinstance(value, dict):
-            return ["o", sorted(([_form(k), of(v)] for k, v in value.items()), key=json.dumps)]
-        if isinstance(value, list):
-            return ["a", [of(x) for x in value]]
-        if value is None or isinstance(value, bool):
-            return ["c", str(value)]
-        return ["n", _number(value)]
+    def __init__(self) -> None:
+        self.key: Any = None
+        self.firsts: list[tuple[int, str, Any]] = []
 
-    return json.dumps([form(state), of(_parsed(question))])
+    def of(self, key: Any, row_no: int, state: str | None, question: str | None) -> int:
+        """The first row that is equal to this one: itself, if there is none."""
+        if key != self.key:
+            self.key, self.firsts = key, []
+        words, value = form(state), _parsed(question)
+        for first, there, other in self.firsts:
+            if there == words and same_value(value, other):
+                return first
+        self.firsts.append((row_no, words, value))
+        return row_no
 
 
-def records(df: DataFrame, id_col: str = "row_no", state_col: str = "state", question_col: str = "question", bits: int = 128) -> DataFrame:
+def records(df: DataFrame, id_col: str = "row_no", state_col: str = "state", question_col: str = "question", bits: int = 128, part_rows: int = PART_ROWS) -> DataFrame:
     """The record that each row is a copy of. Columns: row_no, first_row (the least row_no of the copies), comparable.
 
     Copies have equal forms of their states and equal questions as JSON, names and strings compared by form, field order left aside.
@@ -137,8 +142,9 @@ def records(df: DataFrame, id_col: str = "row_no", state_col: str = "state", que
     Other columns are not read; row_no must be unique. An empty table gives no rows.
     bits: of the fingerprint that are used; fewer only make more work for the comparison, the result stays.
 
-    A group of copies may hold any part of the rows: minima are taken on the map side, and both joins deal a group's rows to
-    several tasks. Whole texts are shuffled for groups of two and more only.
+    Groups are counted by fingerprint alone. All texts are shuffled once, to find those of groups of two and more; these are shuffled once more, to
+    parts of part_rows rows or so of one group, the group's first row to each of its parts. In a part rows are compared with the first, field by field. Rows that
+    share a fingerprint by accident are records of their own: found at once in a group of one part, else in another round over such rows.
     """
 
     @F.arrow_udf("binary")
@@ -146,38 +152,33 @@ def records(df: DataFrame, id_col: str = "row_no", state_col: str = "state", que
         out = (fingerprint(s, q) for s, q in zip(states.to_pylist(), questions.to_pylist()))
         return pa.array([x if x is None or bits == 128 else (int.from_bytes(x, "big") >> (128 - bits)).to_bytes(16, "big") for x in out], pa.binary())
 
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Records()
+        for batch in batches:
+            prints, part, parts, first, row_no, state, question = (c.to_pylist() for c in batch.columns)
+            equal = [seen.of(key, *row) for key, row in zip(zip(prints, part), zip(row_no, state, question))]
+            # of a group in several parts only what is equal to its first row is known
+            known = [e if n == 1 or e == f else None for e, n, f in zip(equal, parts, first)]
+            yield pa.RecordBatch.from_arrays([batch.column(4), pa.array(known, pa.int64()), batch.column(0)], names=["row_no", "first_row", "print"])
+
     base = df.select(F.col(id_col).cast("bigint").alias("row_no"), F.col(state_col).alias("state"), F.col(question_col).alias("question"))
-    prints = cut(base.select("row_no", print_of("state", "question").alias("print")).withColumn("salt", salt("row_no", salts=SALTS)))
-    parts = prints.where("print IS NOT NULL").groupBy("print", "salt").agg(F.min("row_no").alias("part_first"), F.count(F.lit(1)).alias("n"))
-    groups = parts.groupBy("print").agg(F.min("part_first").alias("first"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1").drop("n")  # at most SALTS in a set
-    several = groups.select("print", "first", F.explode("salts").alias("salt"))
-    copies = prints.join(several, ["print", "salt"]).select("row_no", "print", "salt", "first")
-
-    # whole texts of the groups' rows
-    texts = base.join(copies, "row_no")
-    others = texts.where("row_no <> first")
-    firsts = texts.where("row_no = first").select("print", F.col("state").alias("first_state"), F.col("question").alias("first_question"))
-    firsts = firsts.join(several.select("print", "salt"), "print")
-
-    @F.arrow_udf("string")
-    def apart(states: pa.Array, questions: pa.Array, first_states: pa.Array, first_questions: pa.Array) -> pa.Array:
-        """Null for equal records, else what the row's record is."""
-        form_of, value_of = lru_cache(4)(form), lru_cache(4)(_parsed)
-        return pa.array(
-            [
-                None if form(s) == form_of(fs) and same_value(_parsed(q), value_of(fq)) else _canonical(s, q)
-                for s, q, fs, fq in zip(states.to_pylist(), questions.to_pylist(), first_states.to_pylist(), first_questions.to_pylist())
-            ],
-            pa.string(),
-        )
-
-    checked = cut(others.join(firsts, ["print", "salt"]).select("row_no", "first", "print", apart("state", "question", "first_state", "first_question").alias("other")))
-    equal = checked.where("other IS NULL").select("row_no", F.col("first").alias("first_row"))
-    # different records under one fingerprint; with 128 bits there are none
-    unequal = checked.where("other IS NOT NULL")
-    unequal = unequal.join(unequal.groupBy("print", "other").agg(F.min("row_no").alias("first_row")), ["print", "other"]).select("row_no", "first_row")
-    found = equal.unionByName(unequal)
-    return prints.select("row_no", F.col("print").isNotNull().alias("comparable")).join(found, "row_no", "left").select("row_no", F.coalesce("first_row", "row_no").alias("first_row"), "comparable")
+    prints = cut(base.select("row_no", print_of("state", "question").alias("print")))
+    open_, found = prints.where("print IS NOT NULL"), []
+    while True:
+        # rows of a hot group are counted on the map side, and find their group by a salted join
+        groups = open_.groupBy("print").agg(F.min("row_no").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        copies = lookup(open_, groups, "print", "row_no", how="inner").withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int"))
+        mine = F.when(F.col("row_no") == F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("row_no"), F.col("parts")).cast("int")))
+        texts = base.join(copies, "row_no").select("print", F.explode(mine).alias("part"), "parts", "first", "row_no", "state", "question")
+        checked = cut(texts.repartition("print", "part").sortWithinPartitions("print", "part", "row_no").mapInArrow(compared, "row_no bigint, first_row bigint, print binary"))
+        found.append(checked.where("first_row IS NOT NULL AND first_row <> row_no").select("row_no", "first_row"))
+        open_ = checked.where("first_row IS NULL").select("row_no", "print")
+        if open_.isEmpty():
+            break
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return prints.select("row_no", F.col("print").isNotNull().alias("comparable")).join(every, "row_no", "left").select("row_no", F.coalesce("first_row", "row_no").alias("first_row"), "comparable")
 
 
 def copies_found(records_df: DataFrame) -> DataFrame:
