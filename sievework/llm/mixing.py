@@ -131,7 +131,8 @@ def mix(df: DataFrame, plans: list[Plan], seed: int = 17, id_col: str = "doc_id"
 
     Columns: position_key (order by it), doc_id, source (its form), copy (from 0), repeats, tokens, text.
     A text without tokens, without a source or with a source that isn't a target is not chosen. Rows with equal ids are texts of their own.
-    Sorted by range partitions on a hash of id, copy and seed, so no partition depends on a source's size.
+    position_key is a hash of id, copy and seed, even over its range: partitions are equal stretches of it, each sorted. Nothing is sampled to find them,
+    and no partition depends on a source's size.
     """
     used = [p for p in plans if p.thresholds and p.goal > 0]
     repeats = F.lit(0)
@@ -147,7 +148,9 @@ def mix(df: DataFrame, plans: list[Plan], seed: int = 17, id_col: str = "doc_id"
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
         .withColumn("position_key", F.xxhash64(F.lit(seed + 1), "doc_id", "copy", F.length("text")))
     )
-    return chosen.select("position_key", "doc_id", "source", "copy", "repeats", "tokens", "text").orderBy("position_key", "doc_id", "copy")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretch = F.least(F.floor((F.col("position_key") / 2.0**64 + 0.5) * partitions), F.lit(partitions - 1)).cast("int")
+    return chosen.select("position_key", "doc_id", "source", "copy", "repeats", "tokens", "text").repartitionById(partitions, stretch).sortWithinPartitions("position_key", "doc_id", "copy")
 
 
 def shares(df: DataFrame, plans: list[Plan], seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
