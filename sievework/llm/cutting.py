@@ -48,9 +48,13 @@ def plan(n_tokens: int, at: np.ndarray, penalty: np.ndarray, limit: int, overlap
     step = limit - overlap
     stops = np.concatenate([[0], at, [n_tokens]])
     cost = np.concatenate([[0.0], penalty, [0.0]])
-    for i in np.flatnonzero(np.diff(stops) > step)[::-1]:
-        extra = np.arange(stops[i] + 1, stops[i + 1])
-        stops, cost = np.insert(stops, i + 1, extra), np.insert(cost, i + 1, np.full(len(extra), PENALTIES[4]))
+    wide = np.diff(stops) > step
+    if wide.any():  # a stretch without a natural cut: every token may be one
+        many = np.append(np.where(wide, np.diff(stops), 1), 1)
+        first = np.repeat(np.cumsum(many) - many, many)
+        inside = np.arange(int(many.sum())) - first
+        cost = np.where(inside == 0, np.repeat(cost, many), PENALTIES[4])
+        stops = np.repeat(stops, many) + inside
     total = np.full(len(stops), np.inf)
     back = np.zeros(len(stops), np.int64)
     total[0] = 0.0
@@ -88,26 +92,20 @@ def cut_texts(df: DataFrame, max_tokens: int, overlap_tokens: int, id_col: str =
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            over = np.flatnonzero(token_counts(batch.column(1)) > max_tokens)
-            for row in over:
-                text = batch.column(1)[int(row)].as_py()
+            rows: dict[str, list] = {name: [] for name in ("row", "piece_no", "begin", "end", "tokens", "text")}
+            for row in np.flatnonzero(token_counts(batch.column(1)) > max_tokens).tolist():
+                text = batch.column(1)[row].as_py()
                 starts = token_starts(text)
                 spans = plan(len(starts), *boundaries(text, starts), max_tokens, overlap_tokens)
                 edges = np.concatenate([starts, [len(text)]])
                 edges[0] = 0
-                begin, end = [int(edges[a]) for a, _ in spans], [int(edges[b]) for _, b in spans]
-                n = len(spans)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array([row] * n)),
-                        pa.array(range(n), pa.int32()),
-                        pa.array(begin, pa.int64()),
-                        pa.array(end, pa.int64()),
-                        pa.array([b - a for a, b in spans], pa.int32()),
-                        pa.array([text[a:b] for a, b in zip(begin, end)], pa.string()),
-                    ],
-                    names=["doc_id", "piece_no", "begin", "end", "tokens", "text"],
-                )
+                for i, (a, b) in enumerate(spans):
+                    begin, end = int(edges[a]), int(edges[b])
+                    for name, x in zip(rows, (row, i, begin, end, b - a, text[begin:end])):
+                        rows[name].append(x)
+            of = batch.column(0).take(pa.array(rows.pop("row"), pa.int64()))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([of, *(pa.array(x, k) for x, k in zip(rows.values(), kinds))], names=["doc_id", *rows])
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(pieces, f"doc_id {kind}, piece_no int, begin bigint, end bigint, tokens int, text string")
 

@@ -8,6 +8,7 @@ until one partition into many nearly equal bins is left; the shards' partitions
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 from itertools import count
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from sievework.session import cut
 #: Bins, and components that one task balances.
 BINS = 200
 SHARD_COMPONENTS = 20_000
-#: Shards whose bins the driver combines; it holds no more than this many times BINS numbers.
+#: Shards whose bins one task, and in the end the driver, combines; it holds no more than this many times BINS numbers.
 MOST_SHARDS = 2_000
 
 
@@ -126,11 +127,20 @@ def torn(sets_df: DataFrame) -> DataFrame:
     return lookup(sets_df, bad, "first_row", "row_no", how="inner").where("row_no <> first_row").select("first_row", "row_no")
 
 
+def _by_shard(rows: Iterable[tuple[int, int, int]], bins: int) -> list[list[tuple[int, int]]]:
+    """Rows (shard, bin, weight) as one list of (weight, number of shard and bin) for each shard, in order."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for shard, number, weight in sorted(rows):
+        out.setdefault(shard, []).append((weight, shard * bins + number))
+    return list(out.values())
+
+
 def assign(sets_df: DataFrame, targets: DataFrame, bins: int = BINS) -> DataFrame:
     """The new split of every row: row_no, first_row, old_split, split. Rows of a set get the same.
 
     targets: split, share; shares are taken in proportion. Components are dealt by hash to shards of SHARD_COMPONENTS or so,
-    each balanced by one task into bins; the driver combines the shards' bins, at most MOST_SHARDS times bins weights, never components.
+    each balanced by one task into bins. The bins of MOST_SHARDS shards are combined by a task in the same way, level by level, until the driver can combine
+    what is left: at most MOST_SHARDS times bins weights, never components.
     A set heavier than a bin has its bin to itself but for what balancing adds; it stays whole, so shares can be missed by its excess.
     """
     shares = {name: share for name, share in targets.select(split_name("split"), "share").toLocalIterator() if name and share}
@@ -139,7 +149,7 @@ def assign(sets_df: DataFrame, targets: DataFrame, bins: int = BINS) -> DataFram
     spark = sets_df.sparkSession
     sets_df = cut(sets_df)
     weights = cut(sets_df.groupBy("first_row").agg(F.count(F.lit(1)).alias("weight")))
-    shards = min(MOST_SHARDS, max(1, -(-weights.count() // SHARD_COMPONENTS)))
+    shards = max(1, -(-weights.count() // SHARD_COMPONENTS))
 
     def balanced(group: pa.Table) -> pa.Table:
         group = group.sort_by([("weight", "descending"), ("first_row", "ascending")])
@@ -153,11 +163,24 @@ def assign(sets_df: DataFrame, targets: DataFrame, bins: int = BINS) -> DataFram
 
     spread = weights.withColumn("shard", F.pmod(F.xxhash64("first_row"), F.lit(shards)).cast("int"))
     binned = cut(spread.groupBy("shard").applyInArrow(balanced, "shard int, bin int, first_row bigint, weight bigint"))
-    by_shard: dict[int, list[tuple[int, int]]] = {}
-    for shard, number, weight in binned.groupBy("shard", "bin").agg(F.sum("weight")).orderBy("shard", "bin").toLocalIterator():
-        by_shard.setdefault(shard, []).append((weight, shard * bins + number))
-    whole = difference_bins([by_shard[s] for s in sorted(by_shard)], bins)
+
+    def combined(group: pa.Table) -> pa.Table:
+        by_shard = _by_shard(zip(*(group[c].to_pylist() for c in ("shard", "bin", "weight"))), bins)
+        rows = [(member // bins, member % bins, group["upper"][0].as_py(), b, w) for b, (w, inner) in enumerate(difference_bins(by_shard, bins)) for member in inner]
+        return pa.table({name: pa.array(column, pa.int64()) for name, column in zip(("shard", "bin", "upper", "upper_bin", "share_of"), zip(*rows))})
+
+    level = binned.groupBy("shard", "bin").agg(F.sum("weight").alias("weight")).select(F.col("shard").cast("bigint").alias("shard"), F.col("bin").cast("bigint").alias("bin"), "weight")
+    levels = []
+    while shards > MOST_SHARDS:
+        shards = -(-shards // MOST_SHARDS)
+        up = cut(level.withColumn("upper", F.pmod("shard", F.lit(shards))).groupBy("upper").applyInArrow(combined, "shard bigint, bin bigint, upper bigint, upper_bin bigint, share_of bigint"))
+        levels.append(up.select("shard", "bin", "upper", "upper_bin"))
+        level = up.select(F.col("upper").alias("shard"), F.col("upper_bin").alias("bin"), F.col("share_of").alias("weight")).distinct()
+    whole = difference_bins(_by_shard(level.orderBy("shard", "bin").toLocalIterator(), bins), bins)
     to = allocate([(w, i) for i, (w, _) in enumerate(whole)], shares)
     table = [(member // bins, member % bins, to[i]) for i, (_, inner) in enumerate(whole) for member in inner]
-    chosen = binned.join(spark.createDataFrame(table, "shard int, bin int, new_split string"), ["shard", "bin"]).select("first_row", "new_split")
+    chosen = spark.createDataFrame(table, "shard bigint, bin bigint, new_split string")
+    for up in reversed(levels):
+        chosen = up.join(chosen.select(F.col("shard").alias("upper"), F.col("bin").alias("upper_bin"), "new_split"), ["upper", "upper_bin"]).select("shard", "bin", "new_split")
+    chosen = binned.join(chosen, ["shard", "bin"]).select("first_row", "new_split")
     return lookup(sets_df, chosen, "first_row", "row_no").select("row_no", "first_row", F.col("split").alias("old_split"), F.col("new_split").alias("split"))

@@ -25,6 +25,7 @@ def bucket_bounds(histogram: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most so many buckets that minimise padding, ascending; histogram[s] items have size s.
 
     Padding of an item is its bucket's bound less its size. The last bound is the largest size there is; an empty histogram gives none.
+    Takes time of buckets * n log n and memory of n numbers a bucket, for n different sizes.
     """
     sizes = np.flatnonzero(histogram)
     sizes = sizes[sizes > 0]
@@ -33,26 +34,35 @@ def bucket_bounds(histogram: np.ndarray, buckets: int) -> list[int]:
     count = np.concatenate([[0.0], np.cumsum(histogram[sizes], dtype=np.float64)])
     mass = np.concatenate([[0.0], np.cumsum(histogram[sizes] * sizes, dtype=np.float64)])
     n = len(sizes)
-    # cost[i, j]: padding if sizes i..j-1 share a bucket with bound sizes[j-1]
-    cost = np.full((n + 1, n + 1), np.inf)
-    for j in range(1, n + 1):
-        cost[:j, j] = sizes[j - 1] * (count[j] - count[:j]) - (mass[j] - mass[:j])
-    best, back = cost[0].copy(), []
-    for _ in range(min(buckets, n) - 1):
-        each = best[:, None] + cost
-        back.append(np.argmin(each, axis=0))
-        best = np.minimum(each.min(axis=0), best)
-        # where one bucket fewer is as good, keep the shorter plan
-        back[-1][best == cost[0]] = 0
+    # cost of a bucket of sizes i..j-1: sizes[j-1] * (count[j] - count[i]) - (mass[j] - mass[i]). It is a Monge cost, so the best i grows with j
+    best, backs = np.concatenate([[0.0], np.full(n, np.inf)]), []
+    for _ in range(min(buckets, n)):
+        now, back = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+        low, high, least, most = (np.array([x]) for x in (1, n, 0, n - 1))  # all stretches of j of one depth, and where their best i can lie
+        while len(low):
+            mid = (low + high) // 2
+            last = np.minimum(most, mid - 1)
+            many = last - least + 1
+            first = np.cumsum(many) - many
+            i = np.repeat(least - first, many) + np.arange(int(many.sum()))
+            j = np.repeat(mid, many)
+            value = best[i] + sizes[j - 1] * (count[j] - count[i]) - (mass[j] - mass[i])
+            smallest = np.minimum.reduceat(value, first)
+            at = np.flatnonzero(value == np.repeat(smallest, many))
+            chosen = i[at[np.searchsorted(at, first)]]
+            now[mid], back[mid] = smallest, chosen
+            low, high, least, most = (np.concatenate(x) for x in ((low, mid + 1), (mid - 1, high), (least, chosen), (chosen, most)))
+            live = low <= high
+            low, high, least, most = low[live], high[live], least[live], most[live]
+        best = now
+        backs.append(back)
     bounds, j = [], n
-    for step in reversed(back):
+    for back in reversed(backs):
         bounds.append(int(sizes[j - 1]))
-        j = int(step[j])
+        j = int(back[j])
         if j == 0:
             break
-    else:
-        bounds.append(int(sizes[j - 1]))
-    return sorted(set(bounds))
+    return sorted(bounds)
 
 
 def fill(sizes: np.ndarray, bounds: list[int], capacity: int, top_up: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +136,8 @@ def pack(df: DataFrame, capacity: int, buckets: int = 64, id_col: str = "doc_id"
     Columns: doc_id, part (from 0), first_token, tokens, bucket (upper bound), container, place (tokens before it in the container).
     Only a text with more than capacity tokens is split. No container holds more than capacity tokens; no item is left out.
     A text without tokens needs no space: its bucket is 0, its container and place are null. Rows with equal ids are separate items.
-    The histogram has at most capacity + 1 rows, whatever the input; items are spread over tasks by hash, SHARD_ITEMS or so to a task,
-    so neither a hot size nor a hot id fills one task. Only (id, part, size) is shuffled, never text.
+    The histogram has at most capacity + 1 rows, whatever the input; items are spread over tasks by a hash of id and part, SHARD_ITEMS or so to a task. A task
+    that would get more than twice as many, because ids repeat, is split. Only (id, part, size) is shuffled, never text.
     """
     sized = cut(items(df, capacity, id_col, text_col))
     histogram = np.zeros(capacity + 1, np.int64)
@@ -135,6 +145,9 @@ def pack(df: DataFrame, capacity: int, buckets: int = 64, id_col: str = "doc_id"
         histogram[tokens] = n
     bounds = bucket_bounds(histogram, buckets)
     shards = max(1, -(-int(histogram.sum()) // SHARD_ITEMS))
+    home = F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)).cast("int")
+    crowded = [(s, -(-n // SHARD_ITEMS)) for s, n in sized.groupBy(home.alias("s")).count().where(F.col("count") > 2 * SHARD_ITEMS).toLocalIterator()]  # at most half as many as shards
+    all_shards = shards * max([1, *(w for _, w in crowded)])
     kind = df.schema[id_col].dataType.simpleString()
 
     def packed(group: pa.Table) -> pa.Table:
@@ -146,7 +159,7 @@ def pack(df: DataFrame, capacity: int, buckets: int = 64, id_col: str = "doc_id"
         to = np.zeros(len(sizes), np.int64)
         at = np.zeros(len(sizes), np.int64)
         bucket = np.zeros(len(sizes), np.int64)
-        to[real], at[real] = number * shards + shard, place
+        to[real], at[real] = number * all_shards + shard, place
         if len(real):
             bucket[real] = np.asarray(bounds)[np.searchsorted(np.asarray(bounds), sizes[real])]
         blank = sizes == 0
@@ -155,7 +168,11 @@ def pack(df: DataFrame, capacity: int, buckets: int = 64, id_col: str = "doc_id"
             "bucket": pa.array(bucket, pa.int32()), "container": pa.array(to, pa.int64(), mask=blank), "place": pa.array(at, pa.int32(), mask=blank),
         })
 
-    salted = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    salted = sized.withColumn("shard", home)
+    if crowded:
+        table = df.sparkSession.createDataFrame(crowded, "shard int, ways int").withColumn("base", F.lit(shards))
+        salted = salted.withColumn("spread", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)).cast("int")).join(F.broadcast(table), "shard", "left")  # a row for each crowded shard
+        salted = salted.withColumn("shard", F.coalesce(F.col("shard") + F.col("base") * (F.col("spread") % F.col("ways")), "shard")).drop("spread", "ways", "base")
     return salted.groupBy("shard").applyInArrow(packed, f"doc_id {kind}, part int, first_token bigint, tokens int, bucket int, container bigint, place int")
 
 
