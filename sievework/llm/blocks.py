@@ -155,6 +155,26 @@ class Sets:
         """The i-th set's part of values, one for each element of all sets."""
         return values[self.starts[i] : self.starts[i + 1]]
 
+    def part(self, first: int, last: int) -> Sets:
+        """The sets from first up to last, without copying elements."""
+        out = object.__new__(Sets)
+        out.all, out.sizes = self.all[self.starts[first] : self.starts[last]], self.sizes[first:last]
+        out.starts = self.starts[first : last + 1] - self.starts[first]
+        return out
+
+    def overlaps(self, keys: np.ndarray, which: np.ndarray, at_once: int = 2_000_000) -> np.ndarray:
+        """Number of elements that the ascending keys share with each of the sets at which, so many elements at a time."""
+        out = np.zeros(len(which), np.int64)
+        edges = np.unique(np.append(np.searchsorted(np.cumsum(self.sizes[which]), np.arange(0, int(self.sizes[which].sum()) + 1, at_once)), len(which)))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            n = self.sizes[which[a:b]]
+            first = np.cumsum(n) - n
+            theirs = self.all[np.repeat(self.starts[which[a:b]] - first, n) + np.arange(int(n.sum()))]
+            at = np.searchsorted(keys, theirs)
+            at[at == len(keys)] = 0
+            out[a:b] = np.add.reduceat((keys[at] == theirs).astype(np.int64), first)
+        return out
+
     def firsts(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The first so many elements of each set: the elements, whose they are, their places."""
         owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)

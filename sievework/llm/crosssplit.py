@@ -2,8 +2,9 @@
 
 Method: weighted cosine join. A state is a vector of term weights of length 1, its terms the grams of its form in one order, rarest first.
 The train side is indexed by inverted lists of (vector, weight); a validation or test state adds up partial dot products over its
-rarest terms. Two bounds say how many terms either side needs, and which candidates are left: the greatest weight that any vector of the block has
-(maximum weight), and the length of a vector without its terms so far (residual norm). What is left gets its exact dot product.
+rarest terms. Bounds say how many terms either side needs, and which candidates are left: the greatest weight that any vector of the block has
+(maximum weight), and the length of a vector without its first terms (residual norm). A partial dot product and the residual of either side
+that still don't reach the threshold end a pair; what is left gets its exact dot product.
 
 With equal weights inside a state the dot product of a and b is |a & b| / sqrt(|a| |b|), so a Jaccard similarity of t means a cosine of at
 least 2t / (1 + t), and the exact dot product gives the Jaccard similarity back: near is decided exactly.
@@ -22,11 +23,16 @@ from sievework.functions.forms import form_column
 from sievework.llm.blocks import INDEX_GRAMS, QUERY_GRAMS, Queries, Sets, join_by_blocks, kept, query_batches, set_size
 from sievework.llm.grams import frequency_ranks, ordered, slices
 from sievework.llm.groupsplit import split_name
+from sievework.operators.skew import lookup
 from sievework.session import cut
 
 #: Dot product that a candidate must have gathered from the indexed terms alone. More means longer lists and fewer candidates.
 MARGIN = 0.045
 SLOT_BITS = 22
+#: Postings that are read, and sums that are held, at once.
+POSTINGS, CELLS = 8_000_000, 6_000_000
+#: Queries of a batch.
+BATCH = 128
 _ROUND = 1e-9
 
 
@@ -35,67 +41,76 @@ def _slots(keys: np.ndarray) -> np.ndarray:
 
 
 class CosineIndex:
-    """Inverted lists over the rarest terms of unit vectors, for pairs with a dot product of at least threshold.
+    """Inverted lists of (vector, weight) over the rarest terms of unit vectors, for pairs with a dot product of at least threshold.
 
-    vectors: ascending keys in the common order; weights: one for each of their elements, each vector of length 1.
-    query_largest: greatest weight that a term of a query can have.
+    vectors: ascending keys in the common order; weights: one for each of their elements, positive, each vector of length 1.
+    query_largest: greatest weight that a term of a query can have. margin: what is kept of the threshold for the indexed terms at least.
     """
 
     def __init__(self, vectors: Sets, weights: np.ndarray, threshold: float, query_largest: float = 1.0, margin: float = MARGIN) -> None:
         self.vectors, self.weights, self.threshold, self.margin = vectors, weights, threshold, margin
         self.largest = float(weights.max())
-        terms, docs, _ = vectors.firsts(self.needed(vectors, weights, query_largest))
+        counts, self.residual = self.needed(vectors, weights, query_largest)
+        terms, docs, place = vectors.firsts(counts)
         terms = _slots(terms)
         order = np.argsort(terms, kind="stable")
         self.docs = docs[order].astype(np.uint32)
+        self.list_weights = weights[vectors.starts[docs] + place][order].astype(np.float32)
         self.ends = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=1 << SLOT_BITS))])
 
-    def needed(self, vectors: Sets, weights: np.ndarray, largest: float) -> np.ndarray:
-        """How many of each vector's first terms are needed. Of the terms beyond, either the residual norm, or their sum times the
-        greatest weight on the other side, keeps the dot product below the threshold less the margin; so a pair that comes to the
-        threshold gathers the margin from terms that both sides' first parts have."""
+    def needed(self, vectors: Sets, weights: np.ndarray, largest: float) -> tuple[np.ndarray, np.ndarray]:
+        """How many of each vector's first terms are needed, and the bound of what the others add. Of the terms beyond, either the residual norm, or their sum times the
+        greatest weight on the other side, keeps the dot product below the threshold less the margin."""
         end = np.repeat(vectors.starts[1:], vectors.sizes)
         upto = np.concatenate([[0.0], np.cumsum(weights**2)])
         bound = np.sqrt(np.maximum(upto[end] - upto[:-1], 0))
         upto = np.concatenate([[0.0], np.cumsum(weights)])
         np.minimum(bound, (upto[end] - upto[:-1]) * largest, out=bound)
         open_ = np.concatenate([[0], np.cumsum(bound >= self.threshold - self.margin - _ROUND)])
-        return open_[vectors.starts[1:]] - open_[vectors.starts[:-1]]
+        counts = open_[vectors.starts[1:]] - open_[vectors.starts[:-1]]
+        at = np.minimum(vectors.starts[:-1] + counts, max(0, len(bound) - 1))
+        return counts, np.where(counts < vectors.sizes, bound[at], 0.0)
 
     def candidates(self, queries: Sets, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, vector) that the bounds leave: those with so many common terms that, each at the greatest weights, they can make up the margin."""
-        terms, query, _ = queries.firsts(self.needed(queries, weights, self.largest))
+        """Pairs (query, vector) that the bounds leave. The terms that both have lie in both first parts, or beyond the one that ends first: so a pair's
+        dot product is at most what it gathers here and the greater of the two residuals."""
+        counts, residual = self.needed(queries, weights, self.largest)
+        terms, query, place = queries.firsts(counts)
         terms = _slots(terms)
         length = self.ends[terms + 1] - self.ends[terms]
-        total = int(length.sum())
-        if not total:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.arange(total)
-        at += np.repeat(self.ends[terms] - (np.cumsum(length) - length), length)
-        n = len(self.vectors)
-        seen = np.repeat((query.astype(np.int64) * n).astype(np.uint32), length)
-        seen += self.docs[at]
-        seen.sort()
-        most = np.maximum.reduceat(weights, queries.starts[:-1]) * self.largest
-        need = np.maximum(1, np.ceil(self.margin / most - _ROUND)).astype(np.int64)
-        least = int(need.min())
-        hit = seen[: max(0, total - least + 1)]
-        hit = hit[seen[least - 1 :] == hit]
-        pairs, over = np.unique(hit, return_counts=True)
-        mine, other = (pairs // n).astype(np.int64), (pairs % n).astype(np.int64)
-        enough = over + least - 1 >= need[mine]
-        return mine[enough], other[enough]
-
-    def batch(self) -> int:
-        return max(1, min(128, (1 << 32) // len(self.vectors) - 1))
-
-
-def dot(a: np.ndarray, a_weights: np.ndarray, b: np.ndarray, b_weights: np.ndarray) -> float:
-    """Exact dot product of two vectors."""
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    same = b[at] == a
-    return float((a_weights[same] * b_weights[at[same]]).sum())
+        n, load = len(self.vectors), np.concatenate([[0], np.cumsum(length)])
+        ends = np.cumsum(counts)
+        per = np.concatenate([[0], load[ends]])
+        edges = np.unique(np.concatenate([[0], np.searchsorted(per, np.arange(POSTINGS, per[-1], POSTINGS)), np.arange(0, len(queries), max(1, CELLS // n)), [len(queries)]])).tolist()
+        mine, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            s = slice(int(ends[a - 1]) if a else 0, int(ends[b - 1]))
+            many = length[s]
+            total = int(many.sum())
+            if not total:
+                continue
+            at = np.repeat(self.ends[terms[s]] - (np.cumsum(many) - many), many) + np.arange(total)
+            cell = np.repeat((query[s].astype(np.int64) - a) * n, many) + self.docs[at]
+            gathered = np.bincount(cell, weights=np.repeat(weights[queries.starts[query[s]] + place[s]], many) * self.list_weights[at], minlength=(b - a) * n)
+            hit = np.flatnonzero(gathered >= self.margin - 1e-6)
+            q, d = hit // n + a, hit % n
+            enough = gathered[hit] + np.maximum(residual[q], self.residual[d]) >= self.threshold - 1e-6
+            mine.append(q[enough])
+            other.append(d[enough])
+        return np.concatenate(mine), np.concatenate(other)
+
+    def dots(self, query: np.ndarray, weights: np.ndarray, which: np.ndarray, at_once: int = 2_000_000) -> np.ndarray:
+        """Exact dot products of one query (ascending terms and their weights) with the vectors at which, so many elements at a time."""
+        out = np.zeros(len(which))
+        edges = np.unique(np.append(np.searchsorted(np.cumsum(self.vectors.sizes[which]), np.arange(0, int(self.vectors.sizes[which].sum()) + 1, at_once)), len(which)))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            n = self.vectors.sizes[which[a:b]]
+            first = np.cumsum(n) - n
+            place = np.repeat(self.vectors.starts[which[a:b]] - first, n) + np.arange(int(n.sum()))
+            at = np.searchsorted(query, self.vectors.all[place])
+            at[at == len(query)] = 0
+            out[a:b] = np.add.reduceat(np.where(query[at] == self.vectors.all[place], weights[at] * self.weights[place], 0.0), first)
+        return out
 
 
 def _even(sets: Sets) -> np.ndarray:
@@ -114,19 +129,21 @@ def near_forms(train: DataFrame, held: DataFrame, threshold: float, index_grams:
     def work(forms: Iterator[pa.Array], rows: np.ndarray, asked: Queries) -> Iterator[pa.RecordBatch]:
         vectors = Sets(ordered(texts, ranks.value) for column in forms for texts in slices(column))
         index = CosineIndex(vectors, _even(vectors), cosine, 1 / np.sqrt(max(1.0, threshold * vectors.sizes.min())))
-        found: list[tuple[int, int, float]] = []
-        for query_forms, query_rows in query_batches(asked, index.batch()):
+        for query_forms, query_rows in query_batches(asked, BATCH):
             queries = Sets([ordered(query_forms, ranks.value)])
             weights = _even(queries)
-            for q, d in zip(*(x.tolist() for x in index.candidates(queries, weights))):
-                n, m = len(queries[q]), len(vectors[d])
-                if min(n, m) < threshold * max(n, m) - 1e-6:
-                    continue
-                common = round(dot(queries[q], queries.of(weights, q), vectors[d], vectors.of(index.weights, d)) * np.sqrt(n * m))
-                if (value := common / (n + m - common)) >= threshold - 1e-12:
-                    found.append((int(rows[d]), int(query_rows[q]), value))
-        a, b, s = zip(*found) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["train_rep", "held_rep", "similarity"])
+            mine, other = index.candidates(queries, weights)
+            ends = np.searchsorted(mine, np.arange(len(queries) + 1))
+            for q in np.unique(mine).tolist():
+                n, which = len(queries[q]), other[ends[q] : ends[q + 1]]
+                size = vectors.sizes[which]
+                fits = np.minimum(size, n) >= threshold * np.maximum(size, n) - 1e-6
+                which, size = which[fits], size[fits]
+                if len(which):
+                    common = np.rint(index.dots(queries[q], queries.of(weights, q), which) * np.sqrt(n * size.astype(np.float64)))
+                    value = common / (n + size - common)
+                    near = value >= threshold - 1e-12
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[which[near]], pa.int64()), pa.array(np.full(int(near.sum()), query_rows[q]), pa.int64()), pa.array(value[near], pa.float64())], names=["train_rep", "held_rep", "similarity"])
 
     return join_by_blocks(train, held, lambda n: (threshold * n, n / threshold), work, "train_rep bigint, held_rep bigint, similarity double", index_grams, query_grams)
 
@@ -135,14 +152,8 @@ def near_forms(train: DataFrame, held: DataFrame, threshold: float, index_grams:
 ROWS_PER_SALT = 5_000
 
 
-def overlaps(df: DataFrame, threshold: float = 0.7, id_col: str = "row_no", state_col: str = "state", split_col: str = "split", source_col: str = "source", **sizes: int) -> DataFrame:
-    """All pairs of a train row and a validation or test row with near or equal states.
-
-    Columns: train_row, held_row, split (of the held-out row), train_source, held_source (forms), similarity.
-    Splits are compared by name (val, dev, valid are validation); rows of another or no split, and states without letters and digits
-    (null too), are in no pair. Each form is compared once on a side; pairs of rows come from joining the rows back, a form of many
-    rows on either side dealt to several tasks. Other columns are not read; row_no must be unique; an empty table gives no rows.
-    """
+def _compared(df: DataFrame, threshold: float, id_col: str, state_col: str, split_col: str, source_col: str, sizes: dict[str, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with a form and a split (row_no, form, split, source, held, key); one row per form and side (row_no, the least, n, rows); near pairs of these."""
     base = kept(
         df.select(F.col(id_col).cast("bigint").alias("row_no"), form_column(state_col).alias("form"), split_name(split_col).alias("split"), F.col(source_col).alias("source"))
         .where("form <> '' AND split IN ('train', 'validation', 'test')")
@@ -150,14 +161,25 @@ def overlaps(df: DataFrame, threshold: float = 0.7, id_col: str = "row_no", stat
     )
     per_form = kept(base.groupBy("form", "held").agg(F.min("row_no").alias("row_no"), F.count(F.lit(1)).alias("rows")).withColumns({"n": set_size("form"), "key": F.unhex(F.md5("form"))}))
     pairs = cut(near_forms(per_form.where("NOT held").select("row_no", "form", "n"), per_form.where("held").select("row_no", "form", "n"), threshold, **sizes))
+    return base, per_form.drop("form"), pairs
+
 
+def overlaps(df: DataFrame, threshold: float = 0.7, id_col: str = "row_no", state_col: str = "state", split_col: str = "split", source_col: str = "source", **sizes: int) -> DataFrame:
+    """All pairs of a train row and a validation or test row with near or equal states.
+
+    Columns: train_row, held_row, split (of the held-out row), train_source, held_source (forms), similarity.
+    Splits are compared by name (val, dev, valid are validation); rows of another or no split, and states without letters and digits
+    (null too), are in no pair. Each form is compared once on a side; pairs of rows come from joining the rows back, a form of many
+    rows on either side dealt to several tasks in every join. Other columns are not read; row_no must be unique; an empty table gives no rows.
+    """
+    base, per_form, pairs = _compared(df, threshold, id_col, state_col, split_col, source_col, sizes)
     salts = F.ceil(F.col("rows") / ROWS_PER_SALT).cast("int")
 
     def members(held: bool, rep: str, row: str, source: str) -> tuple[DataFrame, DataFrame]:
         """Rows of the forms in pairs by (rep, salt), and the number of salts of each rep."""
         reps = pairs.select(F.col(rep).alias("row_no")).distinct().join(per_form.where(F.col("held") == held), "row_no").select(F.col("row_no").alias(rep), "key", salts.alias("salts"))
-        rows = base.where(F.col("held") == held).select(F.col("row_no").alias(row), "key", form_column("source").alias(source), "split")
-        joined = rows.join(reps, "key").select(rep, F.pmod(F.xxhash64(row), F.col("salts")).cast("int").alias(f"{rep}_salt"), row, source, F.col("split").alias(f"{rep}_split"))
+        rows = base.where(F.col("held") == held).select(F.col("row_no").alias(row), "key", F.col("source").alias(source), "split")
+        joined = lookup(rows, reps, "key", row, how="inner").select(rep, F.pmod(F.xxhash64(row), F.col("salts")).cast("int").alias(f"{rep}_salt"), row, form_column(source).alias(source), F.col("split").alias(f"{rep}_split"))
         return joined, reps.select(rep, F.col("salts").alias(f"{rep}_salts"))
 
     train_rows, train_salts = members(False, "train_rep", "train_row", "train_source")
@@ -178,11 +200,20 @@ def overlaps_found(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("train_row", "held_row").alias("row_a"), F.greatest("train_row", "held_row").alias("row_b"))
 
 
-def counts(pairs: DataFrame) -> DataFrame:
-    """Per split and source of the held-out rows: pairs, pairs of equal states, held-out rows with a partner, train rows they have."""
-    return pairs.groupBy("split", F.col("held_source").alias("source")).agg(
-        F.count(F.lit(1)).alias("pairs"),
-        F.sum((F.col("similarity") == 1).cast("bigint")).alias("equal_pairs"),
-        F.countDistinct("held_row").alias("held_rows"),
-        F.countDistinct("train_row").alias("train_rows"),
-    )
+def counts(df: DataFrame, threshold: float = 0.7, id_col: str = "row_no", state_col: str = "state", split_col: str = "split", source_col: str = "source", **sizes: int) -> DataFrame:
+    """Per split and source (form) of the held-out rows: pairs, pairs of equal states, held-out rows with a partner, train rows they have.
+
+    Counted from pairs of forms and how many rows each form has, so copies aren't expanded into pairs. Rows are treated as in overlaps().
+    """
+    base, per_form, pairs = _compared(df, threshold, id_col, state_col, split_col, source_col, sizes)
+    held = (
+        base.where("held").groupBy("key", "split", "source").agg(F.count(F.lit(1)).alias("held_n"))
+        .groupBy("key", "split", form_column("source").alias("source")).agg(F.sum("held_n").alias("held_n"))
+        .join(per_form.where("held").select("key", F.col("row_no").alias("held_rep")), "key").select("held_rep", "split", "source", "held_n")
+    )
+    train = per_form.where("NOT held").select(F.col("row_no").alias("train_rep"), F.col("rows").alias("train_n"))
+    both = cut(pairs.join(train, "train_rep").join(held, "held_rep"))
+    each = both.groupBy("split", "source").agg(F.sum(F.col("train_n") * F.col("held_n")).alias("pairs"), F.sum(F.when(F.col("similarity") == 1, F.col("train_n") * F.col("held_n")).otherwise(0)).alias("equal_pairs"))
+    held_rows = both.select("split", "source", "held_rep", "held_n").distinct().groupBy("split", "source").agg(F.sum("held_n").alias("held_rows"))
+    train_rows = both.select("split", "source", "train_rep", "train_n").distinct().groupBy("split", "source").agg(F.sum("train_n").alias("train_rows"))
+    return each.join(held_rows, ["split", "source"]).join(train_rows, ["split", "source"])

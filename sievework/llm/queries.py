@@ -53,7 +53,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crosssplit.counts(crosssplit.overlaps(_table(spark, sf_dir, "typed_questions"), 0.7))
+    return crosssplit.counts(_table(spark, sf_dir, "typed_questions"), 0.7)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,8 +88,9 @@ def test_overlaps(spark, questions, sizes, monkeypatch):
     want = brute.p4([(r[0], r[1], r[2]) for r in rows] + [(r[0] + 5000, r[1], "train") for r in rows if r[0] > 900])
     found = [(r.row_a, r.row_b) for r in crosssplit.overlaps_found(got).collect()]
     assert set(found) == want and len(found) == len(want) > 20
-    counts = crosssplit.counts(got).collect()
-    assert sum(r.pairs for r in counts) == len(want) and {r.split for r in counts} <= {"validation", "test"}
+    counts = {(r.split, r.source): (r.pairs, r.equal_pairs, r.held_rows, r.train_rows) for r in crosssplit.counts(every, 0.7, **sizes).collect()}
+    by = got.toPandas().groupby(["split", "held_source"])
+    assert counts == {k: (len(g), int((g.similarity == 1).sum()), g.held_row.nunique(), g.train_row.nunique()) for k, g in by} and {k[0] for k in counts} <= {"validation", "test"}
 
 
 @pytest.mark.parametrize("salts", [1, 16])
@@ -100,11 +101,13 @@ def test_sets_and_torn(spark, questions, salts):
     assert sets.count() == len(rows)
 
 
-def test_assignment(spark, questions, monkeypatch):
+@pytest.mark.parametrize("most", [2_000, 2])
+def test_assignment(spark, questions, monkeypatch, most):
     _, df = questions
     targets = spark.createDataFrame([("train", 0.6), ("val", 0.2), ("test", 0.2), (None, 0.5)], "split string, share double")
     singles = spark.range(10_000, 13_000).select(F.col("id").alias("row_no"), F.concat(F.lit("state "), "id").alias("state"), F.lit("train").alias("split"), F.lit("s").alias("source"), F.lit(None).cast("string").alias("group_key"))
     monkeypatch.setattr(groupsplit, "SHARD_COMPONENTS", 500)
+    monkeypatch.setattr(groupsplit, "MOST_SHARDS", most)
     sets = groupsplit.sets(df.select(*singles.columns).unionByName(singles))
     got = groupsplit.assign(sets, targets).toPandas()
     assert got.groupby("first_row").split.nunique().max() == 1 and got.row_no.is_unique and len(got) == 3160
@@ -130,19 +133,25 @@ QUESTIONS = [
 ]
 
 
-@pytest.mark.parametrize("bits", [128, 3, 0])
-def test_records(spark, bits):
+@pytest.mark.parametrize(("bits", "part_rows"), [(128, 5000), (3, 5000), (0, 5000), (128, 3)])
+def test_records(spark, bits, part_rows):
     rng = random.Random(7)
     texts = ["The Case", "the  case!", "ｔｈｅ case", "other", None, "", "--", "long " * 5000]
     rows = [(i, rng.choice(texts), q) for i, q in enumerate(rng.choice(QUESTIONS) for _ in range(400))]
     df = with_clashes(spark.createDataFrame(rows, "row_no bigint, state string, question string"))
-    got = formatdup.records(df, bits=bits)
+    got = formatdup.records(df, bits=bits, part_rows=part_rows)
     strict = [(r, s, None if q in ('{"n": NaN}', "[" * 5000) else q) for r, s, q in rows]
     assert {(r.first_row, r.row_no) for r in formatdup.copies_found(got).collect()} == brute.p2(strict)
     assert got.count() == 400
     assert sum(r.copies for r in formatdup.collapsed(got).collect()) == 400
 
 
+def test_records_under_one_fingerprint_in_several_parts(spark):
+    rows = [(i, "abc"[i % 3], "{}") for i in range(40)]
+    got = formatdup.records(spark.createDataFrame(rows, "row_no bigint, state string, question string"), bits=0, part_rows=10)
+    assert {(r.row_no, r.first_row) for r in got.collect()} == {(i, i % 3) for i in range(40)}
+
+
 def test_fingerprint_ignores_field_order_only():
     a, b, c = (formatdup.fingerprint("s", q) for q in ('{"x": 1, "y": [1, 2]}', '{"y": [1, 2], "x": 1}', '{"x": 1, "y": [2, 1]}'))
     assert a == b != c and formatdup.fingerprint(" ", "{}") is None
@@ -170,7 +179,7 @@ def test_verbatim(spark):
 
 
 def test_verbatim_in_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "ITEM_BLOCK", 2)
+    monkeypatch.setattr(leakage, "ITEM_WORDS", 20)
     items = [(f"i{k}", " ".join(f"w{k}{j}" for j in range(12))) for k in range(5)]
     df = spark.createDataFrame([(k, s + " end") for k, (_, s) in enumerate(items)], "doc_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in leakage.verbatim(df, spark.createDataFrame(items, "id string, state string")).collect()} == {(k, f"i{k}") for k in range(5)}
