@@ -11,6 +11,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -125,6 +126,30 @@ def folded_column(column: Column | str) -> Column:
     return of(F.col(column) if isinstance(column, str) else column)
 
 
+def key_hashes(word_lists: list[list[str]], n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all runs of n words, and the row of each. short: a list of fewer words is one run.
+
+    Equal runs have equal hashes on any machine. Two different runs share one with a chance of 2**-64.
+    """
+    lengths = np.array([len(w) for w in word_lists], np.int64)
+    if not lengths.sum():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    flat = pd.util.hash_array(np.array([w for ws in word_lists for w in ws], object))
+    starts = np.cumsum(lengths) - lengths
+    out, owner = [], []
+    if len(flat) >= n:
+        every = _mixed(flat, n)
+        many = np.maximum(lengths - n + 1, 0)
+        at = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        out.append(every[at])
+        owner.append(np.repeat(np.arange(len(lengths)), many))
+    if short:
+        for i in np.flatnonzero((lengths > 0) & (lengths < n)).tolist():
+            out.append(_mixed(flat[starts[i] : starts[i] + lengths[i]], int(lengths[i])))
+            owner.append(np.array([i]))
+    return (np.concatenate(out), np.concatenate(owner)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 

@@ -5,51 +5,72 @@ Order comes from explicit columns (priority, pos, row_no), never from how rows h
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import columns as C
-from sievework.functions.forms import folded_column
+from sievework.functions.forms import folded_column, folded_words, key_hashes
 from sievework.operators.running import running_sums
 from sievework.operators.skew import lookup
+from sievework.session import cut
 
 ORDER = ("priority", "corpus", "pos", "row_no")
 SHINGLE_WORDS, SHARED_SHINGLES = 8, 3
 
 
-def record_digest(id_: Column, state: Column, question: Column, label: Column) -> Column:
-    """Digest of what makes a record: nulls differ from empty strings."""
+def record_digest(id_: Column, state: Column, question: str, label: str) -> Column:
+    """Digest of what makes a record: questions and labels as JSON, whatever order and spacing they are written in; nulls differ from empty strings."""
     part = lambda c: F.when(c.isNull(), "0").otherwise(F.concat(F.lit("1"), c))
-    return F.md5(F.concat_ws("\x1f", part(id_), part(state), part(question), part(label)))
+    return F.unhex(F.md5(F.concat_ws("\x1f", part(id_), part(state), part(C.canonical_json(question)), part(C.canonical_value(label)))))
 
 
-def first_wins(df: DataFrame, source: str = "source") -> DataFrame:
+def first_wins(df: DataFrame, source: str = "source", keep_reuse: bool = True) -> DataFrame:
     """Rows kept by first-wins dedup, with the reason that drops the others.
 
     Columns: row_no, source, verdict. In order of priority, corpus, pos: an equal record (id, normalised state, question, label) seen before
-    drops a row as "record"; an id that came first from another source group as "id"; an id reused inside its group is kept.
+    drops a row as "record"; an id that came first from another source group as "id"; an id reused inside its group is kept, or with keep_reuse off dropped as "reuse".
     Firsts are minima taken on the map side, looked up by salted joins: no window sorts a hot key.
     """
     rank = F.struct(*(F.col(c) for c in ORDER))
-    rows = df.select("row_no", source, "id", rank.alias("rank"), record_digest(F.col("id"), folded_column("state"), F.col("question"), F.col("label")).alias("digest"))
+    rows = cut(df.select("row_no", source, "id", rank.alias("rank"), record_digest(F.col("id"), folded_column("state"), "question", "label").alias("digest")))
     by_record = rows.groupBy("digest").agg(F.min("rank").alias("first_rank"))
     marked = lookup(rows, by_record, "digest", "row_no").withColumn("repeat", F.col("rank") != F.col("first_rank"))
-    by_id = marked.where("NOT repeat AND id IS NOT NULL").groupBy("id").agg(F.min_by(source, "rank").alias("owner"))
+    by_id = marked.where("NOT repeat AND id IS NOT NULL").groupBy("id").agg(F.min_by(F.struct(F.col(source).alias("source"), F.col("rank")), "rank").alias("owner"))
     owned = lookup(marked, by_id, "id", "row_no")
-    verdict = F.when(F.col("repeat"), "record").when(~F.col("owner").eqNullSafe(F.col(source)) & F.col("id").isNotNull(), "id").otherwise("kept")
-    return owned.select("row_no", source, verdict.alias("verdict"))
+    verdict = F.when(F.col("repeat"), "record").when(~F.col("owner.source").eqNullSafe(F.col(source)) & F.col("id").isNotNull(), "id")
+    if not keep_reuse:
+        verdict = verdict.when(F.col("owner.rank") != F.col("rank"), "reuse")
+    return owned.select("row_no", source, verdict.otherwise("kept").alias("verdict"))
 
 
 def duplicate_metrics(df: DataFrame) -> DataFrame:
-    """Per source: rows, distinct states, ids and records, rows beyond them, most rows of a state, states under several questions."""
-    state = folded_column(F.coalesce("state", F.lit("")))
-    rows = df.select("source", state.alias("s"), "id", "question", record_digest(F.col("id"), state, F.col("question"), F.col("label")).alias("d"))
-    per_state = rows.groupBy("source", "s").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("question").alias("questions"))
-    a = per_state.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("states"), F.max("n").alias("most"), F.sum((F.col("questions") > 1).cast("int")).alias("several_questions"))
-    b = rows.groupBy("source").agg(F.countDistinct("id").alias("ids"), F.countDistinct("d").alias("records"))
-    return a.withColumnRenamed("source", "s1").join(b, F.col("s1").eqNullSafe(F.col("source"))).select(
-        "source", "n", "states", (F.col("n") - F.col("states")).alias("extra_rows"), "most", "several_questions", "ids", "records", (F.col("n") - F.col("records")).alias("repeated_records")
-    )
+    """Per source: rows; distinct ids, states and records, and the rows beyond each; ids and states under several questions; most rows of an id and of a state.
+
+    A null id or state counts as the empty one, a null question as a question of its own.
+    """
+    filled = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = cut(
+        df.select("source", F.unhex(F.md5(folded_column(filled("state")))).alias("s"), filled("id").alias("i"), F.coalesce(C.canonical_json("question"), F.lit("")).alias("text"), record_digest(filled("id"), folded_column(filled("state")), "question", "label").alias("d"))
+        .withColumn("q", F.unhex(F.md5("text"))).drop("text")
+    )
+
+    def per(key: str, name: str) -> DataFrame:
+        """Keys are reduced to (key, question) first, so a hot one is a row per question."""
+        by = rows.groupBy("source", key, "q").agg(F.count(F.lit(1)).alias("n")).groupBy("source", key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("q"))
+        return by.groupBy(F.col("source").alias(f"source_{name}")).agg(F.sum("n").alias(f"n_{name}"), F.count(F.lit(1)).alias(f"{name}s"), F.sum((F.col("q") > 1).cast("int")).alias(f"{name}s_of_several_questions"), F.max("n").alias(f"most_rows_of_{name}"))
+
+    records = rows.select("source", "d").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("records"))
+    same = lambda name: F.col(f"source_{name}").eqNullSafe(F.col("source"))
+    return records.join(per("s", "state"), same("state")).join(per("i", "id"), same("id")).select(
+        "source", F.col("n_id").alias("n"), "ids", "states", "records", (F.col("n_id") - F.col("records")).alias("repeated_records"), (F.col("n_id") - F.col("ids")).alias("rows_sharing_id"), (F.col("n_id") - F.col("states")).alias("rows_sharing_state"),
+        "ids_of_several_questions", "states_of_several_questions", "most_rows_of_id", "most_rows_of_state",
+    )
 
 
 def cross_source(df: DataFrame, key: Column) -> DataFrame:
@@ -67,37 +88,85 @@ def id_suffixes(df: DataFrame) -> DataFrame:
     return flagged.select("row_no", F.when(F.col("reused"), F.concat("id", F.lit("-q"), (F.col("_n") - 1).cast("string"))).otherwise(F.col("id")).alias("new_id"))
 
 
-def _shingles(df: DataFrame, id_col: str, text: str, name: str) -> DataFrame:
-    return df.select(F.col(id_col).alias(name), folded_column(text).alias("_norm")).select(name, F.explode(C.word_shingles("_norm", SHINGLE_WORDS)).alias("shingle"))
+#: Keys of probes up to this number are sent to the tasks that read documents, which then give only what matches; more are joined by a shuffle.
+SENT_KEYS = 4_000_000
+_STATE, _SHINGLE = 0, 1
+
+
+def _folded(text: str) -> list[str]:
+    return folded_words(text).split(" ") if text else []
+
+
+def _collapsed(text: str) -> list[str]:
+    return text.lower().split()
+
+
+def _keys(df: DataFrame, id_col: str, text: str, name: str, words_of: Callable[[str], list[str]], short: bool, wanted: Broadcast | None = None) -> DataFrame:
+    """name, kind (of the whole text or of a shingle), high, low: the distinct keys of each text, those only that are wanted. A text without words has none."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [words_of(t or "") for t in batch.column(1).to_pylist()]
+            whole = [(i, hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).digest()) for i, w in enumerate(lists) if w]
+            states = np.frombuffer(b"".join(d for _, d in whole), np.int64).reshape(-1, 2)
+            shingles, owner = key_hashes(lists, SHINGLE_WORDS, short)
+            high = np.concatenate([states[:, 0], shingles.view(np.int64)])
+            low = np.concatenate([states[:, 1], np.zeros(len(shingles), np.int64)])
+            row = np.concatenate([np.array([i for i, _ in whole], np.int64), owner])
+            which = np.concatenate([np.full(len(states), _STATE, np.int8), np.full(len(shingles), _SHINGLE, np.int8)])
+            if wanted is not None:
+                at = np.searchsorted(wanted.value, high)
+                at[at == len(wanted.value)] = 0
+                hit = wanted.value[at] == high if len(wanted.value) else np.zeros(len(high), bool)
+                high, low, row, which = high[hit], low[hit], row[hit], which[hit]
+            order = np.lexsort((high, which, row))
+            high, low, row, which = high[order], low[order], row[order], which[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (which[1:] != which[:-1]) | (high[1:] != high[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), pa.array(which[new]), pa.array(high[new]), pa.array(low[new])], names=[name, "kind", "high", "low"])
+
+    return df.select(id_col, text).mapInArrow(made, f"{name} {kind}, kind tinyint, high bigint, low bigint")
+
+
+def _met(documents: DataFrame, probes: DataFrame, probe_text: str, words_of: Callable[[str], list[str]], short: bool) -> tuple[DataFrame, DataFrame]:
+    """The probes' keys (item_id, kind, high, low), and the documents' keys that can match them (doc_id, ...).
+
+    Every document is read once and whole. What leaves its tasks is what matches, if the probes have at most SENT_KEYS keys; else all keys are shuffled to them.
+    """
+    mine = cut(_keys(probes, "id", probe_text, "item_id", words_of, short))
+    distinct = mine.select("high").distinct()
+    sent = None
+    if distinct.count() <= SENT_KEYS:
+        sent = documents.sparkSession.sparkContext.broadcast(np.sort(distinct.toArrow()["high"].to_numpy()))
+    return mine, _keys(documents, "doc_id", "text", "doc_id", words_of, short, sent)
 
 
 def contamination_pairs(documents: DataFrame, probes: DataFrame, probe_text: str = "state", least: int = SHARED_SHINGLES) -> DataFrame:
     """Documents that give away a probe: the same normalised text ("state"), or at least `least` distinct shared shingles ("shingle").
 
-    An exact hit hides the shingle hits of its document. Documents' shingles meet the probes' in a join before anything is counted, so what is shuffled is what matched.
+    An exact hit hides the shingle hits of its document. Texts are compared by hashes: of the whole by 128 bits, of eight words by 64.
     """
-    exact = (
-        documents.select("doc_id", folded_column("text").alias("norm")).where("norm <> ''")
-        .join(probes.select(F.col("id").alias("item_id"), folded_column(probe_text).alias("norm")), "norm").select("doc_id", "item_id").distinct()
-    )
-    shared = _shingles(documents, "doc_id", "text", "doc_id").join(_shingles(probes, "id", probe_text, "item_id").distinct(), "shingle").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
-    rest = shared.join(exact.select("doc_id").distinct(), "doc_id", "left_anti")
-    return exact.select("doc_id", "item_id", F.lit("state").alias("reason"), F.lit(0).cast("bigint").alias("shared")).unionByName(rest.select("doc_id", "item_id", F.lit("shingle").alias("reason"), "shared"))
+    mine, there = _met(documents, probes, probe_text, _folded, False)
+    same = ["kind", "high", "low"]
+    hits = there.join(mine.distinct(), same).groupBy("doc_id", "item_id").agg(F.max((F.col("kind") == _STATE).cast("int")).alias("exact"), F.count(F.lit(1)).alias("shared"))
+    marked = hits.where((F.col("exact") == 1) | (F.col("shared") >= least)).withColumn("hidden", F.max("exact").over(Window.partitionBy("doc_id")))  # the probes of one document
+    return marked.where("exact = hidden").select("doc_id", "item_id", F.when(F.col("exact") == 1, "state").otherwise("shingle").alias("reason"), F.when(F.col("exact") == 1, 0).otherwise(F.col("shared")).cast("bigint").alias("shared"))
 
 
 def contamination_pooled(documents: DataFrame, probes: DataFrame, probe_text: str = "state", least: int = SHARED_SHINGLES) -> DataFrame:
     """Documents with at least `least` shingles of any probes."""
-    pool = _shingles(probes, "id", probe_text, "item_id").select("shingle").distinct()
-    return _shingles(documents, "doc_id", "text", "doc_id").join(pool, "shingle", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    mine, there = _met(documents, probes, probe_text, _folded, False)
+    pool = mine.where(F.col("kind") == _SHINGLE).select("high").distinct()
+    return there.where(F.col("kind") == _SHINGLE).join(pool, "high", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
 def containment(documents: DataFrame, probes: DataFrame, probe_text: str = "state", flag: float = 0.5) -> DataFrame:
-    """Of each probe: its shingles, those that stand in any document, their share, whether it reaches the flag. A probe shorter than a shingle is one shingle."""
-    norm = C.collapsed_lower(probe_text)
-    made = lambda text: F.when(F.size(F.split(text, " ")) >= SHINGLE_WORDS, C.word_shingles(text, SHINGLE_WORDS)).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
-    mine = probes.select(F.col("id").alias("item_id"), F.explode(made(norm)).alias("shingle"))
-    there = documents.select(F.explode(made(C.collapsed_lower("text"))).alias("shingle")).join(mine.select("shingle").distinct(), "shingle", "left_semi").distinct()
-    both = mine.join(there.withColumn("hit", F.lit(1)), "shingle", "left")
+    """Of each probe: its shingles, those that stand in any document, their share, whether it reaches the flag. A probe shorter than a shingle is one shingle. Words are lower case, parted by white space only."""
+    mine, there = _met(documents, probes, probe_text, _collapsed, True)
+    shingles = mine.where(F.col("kind") == _SHINGLE).select("item_id", "high").distinct()
+    found = there.where(F.col("kind") == _SHINGLE).join(shingles.select("high").distinct(), "high", "left_semi").select("high").distinct()
+    both = shingles.join(found.withColumn("hit", F.lit(1)), "high", "left")
     return both.groupBy("item_id").agg(F.count(F.lit(1)).alias("shingles"), F.count("hit").alias("found")).select(
         "item_id", "shingles", "found", F.round(F.col("found") / F.col("shingles"), 9).alias("share"), (F.col("found") / F.col("shingles") >= flag).alias("flagged")
     )

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import corpus, general, predictions, questions
+from sievework.plans import clusters, corpus, general, predictions, questions
 
-_FAMILIES = (corpus, questions, predictions, general)
+_FAMILIES = (corpus, clusters, questions, predictions, general)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for family in _FAMILIES for name, q in family.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for family in _FAMILIES for name, sql in family.ORACLES.items()}

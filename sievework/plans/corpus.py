@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.forms import folded_column
-from sievework.operators import corpus, minhash
+from sievework.operators import corpus
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,7 @@ QUERIES = {
     "containment_by_probe": _on(corpus.containment, "documents", "eval_items"),
     "first_wins": _on(corpus.first_wins, "corpus_records"),
     "first_wins_counts": first_wins_counts,
+    "first_wins_strict": _on(corpus.first_wins, "corpus_records", keep_reuse=False),
     "documents_first": documents_first,
     "duplicate_metrics": _on(corpus.duplicate_metrics, "corpus_records"),
     "cross_source_states": cross_source,
@@ -58,11 +59,10 @@ QUERIES = {
     "length_profile": _on(corpus.length_profile, "documents"),
     "json_profile_events": _on(corpus.json_profile, "events", column="props", group="event_type"),
     "json_profile_questions": _on(corpus.json_profile, "corpus_records", column="question", group="corpus"),
-    "minhash_clusters": lambda spark, sf_dir: minhash.clusters(_t(spark, sf_dir, "typed_questions"), "row_no", "state"),
-    "minhash_greedy": lambda spark, sf_dir: minhash.greedy_kept(_t(spark, sf_dir, "eval_items").withColumn("n", F.xxhash64("id")), "n", "state"),
 }
 
-_NORM = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+# full case folding, of the characters that occur in the tables beyond what lower() does
+_NORM = "trim(regexp_replace(replace(replace(replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ς', 'σ'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
 def _norm(column: str) -> str:
@@ -81,10 +81,13 @@ _PAIRS = f"""
     shared AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN ps USING (shingle) GROUP BY 1, 2 HAVING count(*) >= 3),
     pairs AS (SELECT doc_id, item_id, 'state' AS reason, CAST(0 AS BIGINT) AS shared FROM exact UNION ALL SELECT doc_id, item_id, 'shingle', shared FROM shared WHERE doc_id NOT IN (SELECT doc_id FROM exact))
 """
-_DIGEST = "md5(concat_ws(chr(31), {}))".format(", ".join("CASE WHEN {0} IS NULL THEN '0' ELSE '1' || {0} END".replace("{0}", c) for c in ("id", "s", "question", "label")))
-_COLLAPSED = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+# one text for each JSON value: its leaves and containers by path, so an object's order doesn't matter
+_TREE = """qj AS (SELECT row_no, coalesce(string_agg(t.fullkey || '=' || t.type || ':' || coalesce(CAST(t.atom AS VARCHAR), ''), chr(30) ORDER BY t.fullkey), '!' || any_value(question)) AS q FROM corpus_records c LEFT JOIN LATERAL (SELECT * FROM json_tree(CASE WHEN json_valid(c.question) THEN c.question END)) t ON true GROUP BY row_no),
+    lj AS (SELECT row_no, CASE WHEN label IS NULL THEN NULL WHEN json_valid(label) THEN CAST(json(label) AS VARCHAR) ELSE CAST(to_json(label) AS VARCHAR) END AS l FROM corpus_records)"""
+_DIGEST = "md5(concat_ws(chr(31), {}))".format(", ".join("CASE WHEN {0} IS NULL THEN '0' ELSE '1' || {0} END".replace("{0}", c) for c in ("id", "s", "q", "l")))
+_COLLAPSED = "lower(trim(regexp_replace({}, '[\\s\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')))"
 _FIRST = f"""
-    WITH r AS (SELECT row_no, source, id, priority, corpus, pos, {_DIGEST} AS digest FROM (SELECT *, {_norm('state')} AS s FROM corpus_records)),
+    WITH {_TREE}, r AS (SELECT row_no, source, id, priority, corpus, pos, {_DIGEST} AS digest FROM (SELECT *, {_norm('state')} AS s FROM corpus_records) JOIN qj USING (row_no) JOIN lj USING (row_no)),
     a AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY priority NULLS FIRST, corpus NULLS FIRST, pos NULLS FIRST, row_no) > 1 AS repeat FROM r),
     o AS (SELECT id, arg_min(source, rn) AS owner FROM (SELECT id, coalesce(source, chr(0)) AS source, row_number() OVER (PARTITION BY id ORDER BY priority NULLS FIRST, corpus NULLS FIRST, pos NULLS FIRST, row_no) AS rn FROM a WHERE NOT repeat AND id IS NOT NULL) GROUP BY 1),
     v AS (SELECT row_no, source, CASE WHEN repeat THEN 'record' WHEN a.id IS NOT NULL AND owner IS DISTINCT FROM coalesce(source, chr(0)) THEN 'id' ELSE 'kept' END AS verdict FROM a LEFT JOIN o ON a.id = o.id)
@@ -103,14 +106,16 @@ ORACLES = {
         ps AS (SELECT item_id, {_shingles('w')} AS s FROM p WHERE len(w) >= 8 UNION ALL SELECT item_id, n FROM p WHERE n <> '' AND len(w) < 8)
         SELECT item_id, count(*) AS shingles, count(ds.s) AS found, round(count(ds.s) / count(*)::DOUBLE, 9) AS share, count(ds.s) / count(*)::DOUBLE >= 0.5::DOUBLE AS flagged FROM ps LEFT JOIN ds ON ps.s = ds.s GROUP BY 1""",
     "first_wins": _FIRST + "SELECT * FROM v",
+    "first_wins_strict": _FIRST.replace("ELSE 'kept' END AS verdict", "WHEN a.id IS NOT NULL AND a.rn > o.first THEN 'reuse' ELSE 'kept' END AS verdict").replace("SELECT id, arg_min(source, rn) AS owner", "SELECT id, arg_min(source, rn) AS owner, min(rn) AS first").replace("FROM a LEFT JOIN o ON a.id = o.id", "FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CAST(repeat AS INT), priority NULLS FIRST, corpus NULLS FIRST, pos NULLS FIRST, row_no) AS rn FROM a) a LEFT JOIN o ON a.id = o.id") + "SELECT * FROM v",
     "first_wins_counts": _FIRST + "SELECT source, verdict, count(*) AS n FROM v GROUP BY 1, 2",
     "documents_first": f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, {_norm('text')} AS norm FROM documents) WHERE norm <> '' GROUP BY norm",
     "duplicate_metrics": f"""
-        WITH r AS (SELECT source, s, id, question, {_DIGEST} AS d FROM (SELECT *, {_norm("coalesce(state, '')")} AS s FROM corpus_records)),
-        p AS (SELECT source, s, count(*) AS n, count(DISTINCT question) AS q FROM r GROUP BY 1, 2),
-        a AS (SELECT source, CAST(sum(n) AS BIGINT) AS n, count(*) AS states, max(n) AS most, CAST(sum(CAST(q > 1 AS INT)) AS BIGINT) AS several_questions FROM p GROUP BY 1),
-        b AS (SELECT source, count(DISTINCT id) AS ids, count(DISTINCT d) AS records FROM r GROUP BY 1)
-        SELECT a.source, n, states, n - states AS extra_rows, most, several_questions, ids, records, n - records AS repeated_records FROM a JOIN b ON a.source IS NOT DISTINCT FROM b.source""",
+        WITH {_TREE}, r AS (SELECT source, s, id, q, {_DIGEST} AS d FROM (SELECT row_no, source, coalesce(id, '') AS id, {_norm("coalesce(state, '')")} AS s FROM corpus_records) JOIN qj USING (row_no) JOIN lj USING (row_no)),
+        st AS (SELECT source, count(*) AS states, max(n) AS m, CAST(count(*) FILTER (k > 1) AS BIGINT) AS k FROM (SELECT source, s, count(*) AS n, count(DISTINCT coalesce(q, '')) AS k FROM r GROUP BY 1, 2) GROUP BY 1),
+        i AS (SELECT source, count(*) AS ids, max(n) AS m, CAST(count(*) FILTER (k > 1) AS BIGINT) AS k FROM (SELECT source, id, count(*) AS n, count(DISTINCT coalesce(q, '')) AS k FROM r GROUP BY 1, 2) GROUP BY 1),
+        a AS (SELECT source, count(*) AS n, count(DISTINCT d) AS records FROM r GROUP BY 1)
+        SELECT a.source, n, ids, states, records, n - records AS repeated_records, n - ids AS rows_sharing_id, n - states AS rows_sharing_state, i.k AS ids_of_several_questions, st.k AS states_of_several_questions, i.m AS most_rows_of_id, st.m AS most_rows_of_state
+        FROM a JOIN st ON a.source IS NOT DISTINCT FROM st.source JOIN i ON a.source IS NOT DISTINCT FROM i.source""",
     "cross_source_states": f"""WITH k AS (SELECT DISTINCT {_norm('state')} AS key, source FROM corpus_records WHERE source IS NOT NULL)
         SELECT a.source AS source_a, b.source AS source_b, count(*) AS shared FROM k a JOIN k b ON a.key = b.key AND a.source < b.source AND a.key <> '' GROUP BY 1, 2""",
     "corpus_overlap_matrix": """WITH k AS (SELECT DISTINCT id AS key, corpus AS source FROM corpus_records WHERE corpus IS NOT NULL AND id <> '')
