@@ -139,9 +139,9 @@ def distractor_pool(df: DataFrame) -> DataFrame:
     return o.groupBy("source", "norm").agg(F.min_by("o.text", F.struct("row_no", "place")).alias("text"), F.count(F.lit(1)).alias("uses"))
 
 
-def _numbers(most: Column, k: int, seed: str) -> Column:
+def _numbers(most: Column, k: Column, seed: str) -> Column:
     """k different numbers from 1 to most, all of them if there are fewer: every set of k is as likely (Floyd's draw), by hash of seed and row_no."""
-    n = F.least(most.cast("bigint"), F.lit(k).cast("bigint"))
+    n = F.least(most.cast("bigint"), k.cast("bigint"))
 
     def drawn(have: Column, i: Column) -> Column:
         top = most - n + i
@@ -160,28 +160,85 @@ def _drawn_texts(rows: DataFrame, pool: DataFrame) -> DataFrame:
     return rows.join(found, "row_no", "left")
 
 
-def pad(df: DataFrame, k: int, seed: int) -> DataFrame:
-    """Choice questions with fewer than k options: texts that they don't have, drawn by hash from all texts of their source, and if those are too few from those of all sources, up to k. Columns: row_no (must be unique), added (texts).
+def pad(df: DataFrame, k: int | Column, seed: int) -> DataFrame:
+    """Choice questions with fewer than k options: texts that they don't have, drawn by hash from all texts of their source, and if those are too few from those of all sources, up to k. Columns: row_no (must be unique), k, added (texts).
 
-    Texts are numbered, and a question looks up k numbers drawn by hash. A pool has each text once, so those that a question must not take and those that it wants are k together: k numbers always do.
+    A question whose label isn't one of its options is left out. Texts are numbered, and a question looks up k numbers drawn by hash. A pool has each text
+    once, so those that a question must not take and those that it wants are k together: k numbers always do.
     """
     pool = running_sums(distractor_pool(df).select(F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("unnamed"), "norm", "text"), ["source", "unnamed"], [F.col("norm")], {})
     own = pool.where("NOT unnamed").select("source", "_n", "norm", "text")
-    rows = df.where("q_type = 'choice'").where((F.size("options") < k) & (F.size("options") > 0)).select("row_no", "source", F.transform("options", lambda o: F.coalesce(F.lower(F.trim(o["text"])), F.lit(""))).alias("have"))
+    asked = k if isinstance(k, Column) else F.lit(k)
+    rows = df.where("q_type = 'choice'").where(F.array_contains(option_keys(), F.col("label_key"))).select("row_no", "source", asked.alias("k"), F.transform("options", lambda o: F.coalesce(F.lower(F.trim(o["text"])), F.lit(""))).alias("have")).where("size(have) < k")
     sizes = own.groupBy("source").agg(F.max("_n").alias("most"))
-    asking = rows.join(sizes, "source", "left").withColumn("numbers", _numbers(F.coalesce("most", F.lit(0)), k, f"{seed}:own"))
+    asking = rows.join(sizes, "source", "left").withColumn("numbers", _numbers(F.coalesce("most", F.lit(0)), F.col("k"), f"{seed}:own"))
 
     def taken(e: Column) -> Column:
         return F.filter(F.coalesce("found", F.array().cast("array<struct<d:string,norm:string,text:string>>")), lambda x: ~F.array_contains(e, x["norm"]))
 
-    wanted = F.lit(k) - F.size("have")
-    first = cut(_drawn_texts(asking, own).select("row_no", "have", F.slice(taken(F.col("have")), F.lit(1), wanted).alias("mine")))
+    wanted = F.col("k") - F.size("have")
+    first = cut(_drawn_texts(asking, own).select("row_no", "k", "have", F.slice(taken(F.col("have")), F.lit(1), wanted).alias("mine")))
     flat = running_sums(pool.groupBy("norm").agg(F.min_by("text", F.struct("unnamed", "source")).alias("text")), [], [F.col("norm")], {}).withColumn("source", F.lit(""))
     lacking = first.where(F.size("mine") < wanted).crossJoin(flat.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("most")))  # one row
-    second = _drawn_texts(lacking.select("row_no", "have", "mine", F.lit("").alias("source"), _numbers(F.col("most"), k, f"{seed}:all").alias("numbers")), flat)
+    second = _drawn_texts(lacking.select("row_no", "k", "have", "mine", F.lit("").alias("source"), _numbers(F.col("most"), F.col("k"), f"{seed}:all").alias("numbers")), flat)
     more = F.slice(taken(F.concat("have", F.transform("mine", lambda e: e["norm"]))), F.lit(1), wanted - F.size("mine"))
-    both = first.where(F.size("mine") >= wanted).select("row_no", "mine").unionByName(second.select("row_no", F.concat("mine", more).alias("mine")))
-    return both.select("row_no", F.transform("mine", lambda e: e["text"]).alias("added")).where("size(added) > 0")
+    both = first.where(F.size("mine") >= wanted).select("row_no", "k", "mine").unionByName(second.select("row_no", "k", F.concat("mine", more).alias("mine")))
+    return both.select("row_no", "k", F.transform("mine", lambda e: e["text"]).alias("added")).where("size(added) > 0")
+
+
+def target_k(low: int, high: int, seed: int) -> Column:
+    """A whole number from low to high, its logarithm drawn evenly by hash of seed and row_no."""
+    u = C.hash_fraction(F.concat_ws(":", F.lit(f"{seed}:k"), F.col("row_no").cast("string")))
+    return F.least(F.lit(high), F.greatest(F.lit(low), F.bround(F.exp(F.log(F.lit(float(low))) + u * (F.log(F.lit(float(high))) - F.log(F.lit(float(low))))), 0).cast("int")))
+
+
+def k_augmented(df: DataFrame, share: float, low: int, high: int, seed: int, epoch: int = 0) -> DataFrame:
+    """What padding a share of the choice questions, drawn by hash of seed, epoch and row_no, to widths of target_k() comes to, in one row: choice_items, selected, padded,
+    under_filled, teachers_dropped (a selected question keeps no teacher), encodes_before, encodes_after, target_mean, realised_mean, realised_max."""
+    coin = C.hash_fraction(F.concat_ws(":", F.lit(f"{seed}:{epoch}:coin"), F.col("row_no").cast("string"))) < share
+    choice = df.where("q_type = 'choice' AND options IS NOT NULL")
+    rows = choice.select("row_no", F.size("options").alias("natural"), coin.alias("drawn"), F.col("teacher_probs").isNotNull().alias("taught"), target_k(low, high, seed).alias("k"))
+    done = pad(df, F.when(coin, target_k(low, high, seed)), seed).select("row_no", F.size("added").alias("added"))
+    all_ = rows.join(done, "row_no", "left").withColumns({"wide": F.col("natural") + F.coalesce("added", F.lit(0)), "aimed": F.col("drawn") & (F.col("k") > F.col("natural"))})
+    count = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0))
+    return all_.agg(
+        F.count(F.lit(1)).alias("choice_items"), count(F.col("drawn")).alias("selected"), count(F.coalesce("added", F.lit(0)) > 0).alias("padded"), count(F.col("aimed") & (F.col("wide") < F.col("k"))).alias("under_filled"), count(F.col("drawn") & F.col("taught")).alias("teachers_dropped"),
+        F.coalesce(F.sum("natural"), F.lit(0)).alias("encodes_before"), F.coalesce(F.sum("wide"), F.lit(0)).alias("encodes_after"), F.round(F.coalesce(F.avg(F.when(F.col("aimed"), F.col("k"))), F.lit(0.0)), 9).alias("target_mean"),
+        F.round(F.coalesce(F.avg(F.when(F.col("aimed"), F.col("wide"))), F.lit(0.0)), 9).alias("realised_mean"), F.coalesce(F.max(F.when(F.col("aimed"), F.col("wide"))), F.lit(0)).alias("realised_max"),
+    )
+
+
+def option_count() -> Column:
+    """Options that a question is scored over: of noul the augmented ones if it has more than two teacher probabilities, else two."""
+    taught = F.coalesce(F.array_max(F.transform(F.map_values("teacher_probs"), lambda m: F.size(m))), F.lit(0))
+    return F.when(F.col("q_type") == "choice", F.coalesce(F.size("options"), F.lit(0))).when(F.col("q_type") == "score", F.coalesce(F.size("levels"), F.lit(0))).when((taught > 2) & (F.size("augmented_options") > 0), F.size("augmented_options")).otherwise(2)
+
+
+def digest_order(texts: Column) -> Column:
+    """Indexes from 0 in order of the digests of the trimmed texts; equal texts in their own order."""
+    return F.transform(F.array_sort(F.transform(texts, lambda t, i: F.struct(F.sha2(F.trim(t), 256).alias("d"), i.alias("i")))), lambda e: e["i"])
+
+
+def variants(df: DataFrame, seed: int) -> DataFrame:
+    """Every question in four forms: row_no, variant (neutral, nonsense, reversed, shuffled), instructions, keys (of options or levels, in their new order), label.
+
+    Neutral and nonsense change the instruction only. A score label moves with its level; one between two levels lies as far between their new places. Rows of other types or without options or levels are left out.
+    """
+    items = F.when(F.col("q_type") == "choice", option_keys()).when(F.col("q_type") == "score", F.col("levels"))
+    base = df.select("row_no", "q_type", "instructions", items.alias("keys"), F.when(F.col("q_type") == "choice", F.col("label_key")).otherwise(level_label().cast("string")).alias("label")).where("size(keys) > 0 AND label IS NOT NULL")
+    n = F.size("keys")
+    drawn = F.transform(F.array_sort(F.transform("keys", lambda k, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row_no").cast("string"), i.cast("string"))).alias("d"), i.alias("i")))), lambda e: e["i"])
+    made = base.select("*", F.explode(F.array(*map(F.lit, ("neutral", "nonsense", "reversed", "shuffled")))).alias("variant"))
+    order = F.when(F.col("variant") == "reversed", F.reverse(F.sequence(F.lit(0), n - 1))).when(F.col("variant") == "shuffled", drawn).otherwise(F.sequence(F.lit(0), n - 1))
+    placed = made.withColumn("order", order)
+    level = F.expr("try_cast(label AS double)")
+    low = F.floor(level).cast("int")
+    at = lambda i: (F.array_position("order", i) - 1).cast("double")
+    moved = at(low) + (level - low) * (at(F.least(low + 1, n - 1)) - at(low))
+    inside = (level >= 0) & (level <= n - 1)
+    label = F.when(F.col("q_type") == "choice", F.col("label")).when(inside, moved.cast("string"))
+    told = F.when(F.col("variant") == "neutral", "Choose the best answer.").when(F.col("variant") == "nonsense", "Blue seven quietly under the.").otherwise(F.col("instructions"))
+    return placed.select("row_no", "variant", told.alias("instructions"), F.transform("order", lambda i: F.element_at("keys", i + 1)).alias("keys"), label.alias("label")).where("label IS NOT NULL")
 
 
 def nested_options(df: DataFrame, sizes: tuple[int, ...], seed: int) -> DataFrame:

@@ -54,6 +54,16 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.round_robin(_q(spark, sf_dir).where("source IS NOT NULL"), "source", [F.col("row_no")]).select("row_no", "source", "place")
 
 
+def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What padding to eight options added to each question: texts, how many of them its source has, and how many are the question's own or come twice (none may)."""
+    rows = _q(spark, sf_dir)
+    added = Q.pad(rows, 8, 2).select("row_no", F.explode("added").alias("text")).withColumn("norm", F.lower(F.trim("text")))
+    own = Q.distractor_pool(rows).select("source", "norm", F.lit(1).alias("own"))
+    have = rows.select("row_no", "source", F.transform("options", lambda o: F.lower(F.trim(o["text"]))).alias("have"))
+    marked = added.join(have, "row_no").join(own, ["source", "norm"], "left")
+    return marked.groupBy("row_no").agg(F.count(F.lit(1)).alias("added"), F.count("own").alias("of_source"), (F.sum(F.array_contains("have", F.col("norm")).cast("int")) + F.count(F.lit(1)) - F.countDistinct("norm")).alias("clashes"))
+
+
 QUERIES = {
     "question_profile": _on(Q.profile),
     "question_status": lambda spark, sf_dir: _q(spark, sf_dir).select("row_no", Q.label_status().alias("status"), Q.well_formed().alias("formed")),
@@ -70,7 +80,7 @@ QUERIES = {
     "options_shrunk": lambda spark, sf_dir: Q.shrink(_q(spark, sf_dir), 3, 6).select("row_no", _joined("keys")),
     "options_nested": lambda spark, sf_dir: Q.nested_options(_q(spark, sf_dir), (2, 3, 4), 8).select("row_no", "size", _joined("keys")),
     "options_pool": _on(Q.distractor_pool),
-    "options_padded": lambda spark, sf_dir: Q.pad(_q(spark, sf_dir), 8, 2).select("row_no", _joined("added")),
+    "options_padded": padded,
     "state_first_sentences": _on(Q.first_sentences, 0.5),
     "split_hash": hash_split,
     "split_groups": group_split,
@@ -128,10 +138,9 @@ ORACLES = {
     "options_nested": f"""WITH o AS (SELECT row_no, len(options) AS k, label_key, unnest(options).key AS key FROM ({_OPT})), r AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY CASE WHEN key = label_key THEN '' ELSE md5('8:' || row_no || ':' || key) END, key) AS i FROM o)
         SELECT row_no, size, string_agg(key, '|' ORDER BY i) AS keys FROM r, (SELECT unnest([2, 3, 4]) AS size) WHERE i <= size AND k > size GROUP BY 1, 2""",
     "options_pool": _POOL + "SELECT * FROM pool",
-    "options_padded": _POOL + """, s AS (SELECT source, norm, text, row_number() OVER (PARTITION BY source ORDER BY md5('2:' || source || ':' || norm), norm) AS i FROM pool WHERE source IS NOT NULL),
-        q AS (SELECT row_no, source, len(options) AS k, list_transform(options, lambda o: lower(trim(o.text))) AS have FROM typed_questions WHERE q_type = 'choice' AND len(options) BETWEEN 1 AND 7),
-        c AS (SELECT row_no, k, text, row_number() OVER (PARTITION BY row_no ORDER BY md5(row_no || ':' || norm), text) AS j FROM q JOIN s USING (source) WHERE i <= 64 AND NOT list_contains(have, norm))
-        SELECT row_no, string_agg(text, '|' ORDER BY j) AS added FROM c WHERE j <= 8 - k GROUP BY 1""",
+    "options_padded": _POOL + f""", q AS (SELECT row_no, source, list_transform(options, lambda o: coalesce(lower(trim(o.text)), '')) AS have FROM typed_questions WHERE q_type = 'choice' AND len(options) < 8 AND list_contains({_KEYS}, label_key)),
+        c AS (SELECT row_no, any_value(have) AS have, count(*) FILTER (p.source = q.source AND NOT list_contains(have, p.norm)) AS own, count(DISTINCT p.norm) FILTER (NOT list_contains(have, p.norm)) AS free FROM q, pool p GROUP BY row_no)
+        SELECT row_no, least(8 - len(have), free) AS added, least(8 - len(have), own) AS of_source, 0 AS clashes FROM c WHERE least(8 - len(have), free) > 0""",
     "split_hash": "SELECT row_no, CASE WHEN ('0x' || substr(md5(coalesce(source, '') || '/' || coalesce(group_key, '')), 1, 8))::BIGINT / 4294967295.0::DOUBLE < 0.1::DOUBLE THEN 'test' ELSE 'train' END AS side FROM typed_questions",
     "split_groups": """WITH r AS (SELECT row_no, q_type, coalesce(source, '') || '/' || coalesce(group_key, CAST(row_no AS VARCHAR)) AS g FROM typed_questions), g AS (SELECT g, min(q_type) AS s, count(*) AS n FROM r GROUP BY 1),
         o AS (SELECT g, s, sum(n) OVER (PARTITION BY s ORDER BY md5('3:' || g), g ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY s) AS total FROM g)
