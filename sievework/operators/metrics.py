@@ -90,14 +90,14 @@ def brier_skill(s: DataFrame, group: list[str]) -> DataFrame:
     return s.groupBy(*group).agg(F.avg("brier").alias("brier")).join(ref, group).select(*group, F.round("brier", 9).alias("brier"), F.round("reference", 9).alias("reference"), F.round(C.skill(F.col("brier"), F.col("reference")), 9).alias("skill"))
 
 
-def quadratic_kappa(s: DataFrame, group: list[str]) -> DataFrame:
-    """Quadratic weighted kappa of score rows; null where the expected disagreement is 0."""
+def quadratic_kappa(s: DataFrame, group: list[str], none: float | None = None) -> DataFrame:
+    """Quadratic weighted kappa of score rows; none (null by default, 0 if so wanted) where the expected disagreement is 0."""
     pairs = s.where("q_type = 'score'").groupBy(*group, "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
     gold = pairs.groupBy(*group, F.col("gold").alias("g")).agg(F.sum("n").alias("ng"))
     pred = pairs.groupBy(*group, F.col("pred").alias("p")).agg(F.sum("n").alias("np"))
     n = pairs.groupBy(*group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("gold") - F.col("pred"), F.lit(2.0))).alias("seen"))
     chance = gold.join(pred, group).groupBy(*group).agg(F.sum(F.col("ng") * F.col("np") * F.pow(F.col("g") - F.col("p"), F.lit(2.0))).alias("chance"))  # levels by levels
-    return n.join(chance, group).select(*group, "n", F.round(F.when(F.col("chance") > 0, 1 - F.col("seen") * F.col("n") / F.col("chance")), 9).alias("qwk"))
+    return n.join(chance, group).select(*group, "n", F.round(F.when(F.col("chance") > 0, 1 - F.col("seen") * F.col("n") / F.col("chance")).otherwise(none), 9).alias("qwk"))
 
 
 def chance_corrected(s: DataFrame, group: list[str]) -> DataFrame:
@@ -154,18 +154,26 @@ def topm_recall(s: DataFrame, group: list[str], most: int = 5) -> DataFrame:
     )
 
 
-def temperature_curve(s: DataFrame, group: list[str], temperatures: list[float]) -> DataFrame:
-    """Mean negative log likelihood and mean confidence when log probabilities are divided by each temperature."""
-    grid = s.select(*group, "gold", "probs", F.explode(F.array(*map(F.lit, temperatures))).alias("temperature"))
+def log_spaced(low: float, high: float, steps: int) -> list[float]:
+    """Numbers evenly spaced in logarithm, and 1."""
+    return sorted({*(low * (high / low) ** (i / (steps - 1)) for i in range(steps)), 1.0})
+
+
+def temperature_curve(s: DataFrame, group: list[str], temperatures: list[float], bins: int = 10) -> DataFrame:
+    """Mean negative log likelihood, mean confidence and calibration error when log probabilities are divided by each temperature. The answers don't change, so neither does what is correct."""
+    grid = s.select(*group, "gold", "correct", "probs", F.explode(F.array(*map(F.lit, temperatures))).alias("temperature"))
     scaled = F.transform("probs", lambda p: F.ln(F.greatest(p, F.lit(1e-12))) / F.col("temperature"))
     top = F.array_max("scaled")
     norm = F.ln(C.total(F.transform("scaled", lambda x: F.exp(x - top)))) + top
     rows = grid.withColumn("scaled", scaled).withColumns({"nll": norm - F.element_at("scaled", F.col("gold") + 1), "conf": F.exp(top - norm)})
-    return rows.groupBy(*group, "temperature").agg(F.round(F.avg("nll"), 9).alias("nll"), F.round(F.avg("conf"), 9).alias("confidence"))
+    by_bin = rows.groupBy(*group, "temperature", F.least(F.floor(F.col("conf") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in ("nll", "conf", "correct")))
+    gap = F.sum(F.abs(F.col("correct") - F.col("conf"))) / F.sum("n")
+    return by_bin.groupBy(*group, "temperature").agg(F.round(F.sum("nll") / F.sum("n"), 9).alias("nll"), F.round(F.sum("conf") / F.sum("n"), 9).alias("confidence"), F.round(gap, 9).alias("ece"))
 
 
 def best_temperature(curve: DataFrame, group: list[str]) -> DataFrame:
-    return curve.groupBy(*group).agg(F.min_by("temperature", F.struct("nll", "temperature")).alias("temperature"), F.min("nll").alias("nll"))
+    """The temperature with the least likelihood loss, and the one with the least calibration error; ties to the lower."""
+    return curve.groupBy(*group).agg(F.min_by("temperature", F.struct("nll", "temperature")).alias("temperature"), F.min("nll").alias("nll"), F.min_by("temperature", F.struct("ece", "temperature")).alias("ece_temperature"), F.min("ece").alias("ece"))
 
 
 def cascade_sweep(s: DataFrame, group: list[str], thresholds: list[float]) -> DataFrame:

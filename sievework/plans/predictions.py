@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import calibration, metrics
 
-TEMPERATURES = [0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0]
+TEMPERATURES = metrics.log_spaced(0.25, 8.0, 40)
 THRESHOLDS = [0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 WEIGHTS = [0.0, 0.5, 1.0, 2.0]
 TIES = ["item_id", "scored_at", "source", "schema_key"]
@@ -73,8 +73,6 @@ QUERIES = {
     "pred_blend_sweep": _over(metrics.blend_sweep, "head-base", "head-lora", WEIGHTS),
     "pred_mixture": _over(metrics.mixture, ["head-base", "head-lora", "head-wide"]),
     "pred_confidence_map": _over(calibration.confidence_map, ["run_name"]),
-    "pred_mcnemar": _over(calibration.mcnemar),
-    "pred_bootstrap": _over(calibration.bootstrap),
     "pred_calibrated": _over(calibration.calibrated_report, ["run_name"]),
 }
 
@@ -99,9 +97,9 @@ _RANKED = """, ranked AS (SELECT run_name, correct, row_number() OVER w AS rn, s
 _SWEEP = f""", m AS (SELECT run_name, correct, CASE WHEN len(probs) > 1 THEN list_reverse_sort(probs)[1] - list_reverse_sort(probs)[2] ELSE probs[1] END AS margin FROM scored),
     sweep AS (SELECT run_name, threshold, count(*) AS n, sum(CAST(margin < threshold AS INT)) AS sent, round(avg(CASE WHEN NOT margin < threshold THEN correct END), 9) AS kept_accuracy
         FROM m, (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold) GROUP BY ALL)"""
-_CURVE = f""", t AS (SELECT run_name, gold, temperature, list_transform(probs, lambda p: ln(greatest(p, 1e-12)) / temperature) AS s FROM scored, (SELECT unnest({TEMPERATURES}::DOUBLE[]) AS temperature)),
-    n AS (SELECT *, list_max(s) AS top, ln(list_sum(list_transform(s, lambda x: exp(x - list_max(s))))) + list_max(s) AS norm FROM t),
-    curve AS (SELECT run_name, temperature, round(avg(norm - s[gold + 1]), 9) AS nll, round(avg(exp(top - norm)), 9) AS confidence FROM n GROUP BY ALL)"""
+_CURVE = f""", t AS (SELECT run_name, gold, correct, temperature, list_transform(probs, lambda p: ln(greatest(p, 1e-12)) / temperature) AS s FROM scored, (SELECT unnest({TEMPERATURES}::DOUBLE[]) AS temperature)),
+    n AS (SELECT *, list_max(s) AS top, ln(list_sum(list_transform(s, lambda x: exp(x - list_max(s))))) + list_max(s) AS norm FROM t), b AS (SELECT run_name, temperature, abs(sum(correct) - sum(exp(top - norm))) AS gap FROM n GROUP BY run_name, temperature, least(floor(exp(top - norm) * 10), 9)),
+    curve AS (SELECT run_name, temperature, round(avg(norm - s[gold + 1]), 9) AS nll, round(avg(exp(top - norm)), 9) AS confidence, round((SELECT sum(gap) FROM b WHERE b.run_name IS NOT DISTINCT FROM n.run_name AND b.temperature = n.temperature) / count(*), 9) AS ece FROM n GROUP BY ALL)"""
 _WILSON = """round(greatest((hits / n::DOUBLE + 3.841458820694124 / (2 * n) - 1.959963984540054 * sqrt(hits / n::DOUBLE * (1 - hits / n::DOUBLE) / n + 3.841458820694124 / (4.0 * n * n))) / (1 + 3.841458820694124 / n), 0), 9) AS low,
     round(least((hits / n::DOUBLE + 3.841458820694124 / (2 * n) + 1.959963984540054 * sqrt(hits / n::DOUBLE * (1 - hits / n::DOUBLE) / n + 3.841458820694124 / (4.0 * n * n))) / (1 + 3.841458820694124 / n), 1), 9) AS high"""
 _ONE = """, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, run_name ORDER BY scored_at NULLS FIRST, probs) AS rn FROM scored) WHERE rn = 1)"""
@@ -138,7 +136,7 @@ ORACLES = {
         a AS (SELECT run_name, m, count(*) AS n, avg(CAST(rank <= m AS DOUBLE)) AS share, sum(CAST(k > m AS INT)) AS informative FROM r GROUP BY 1, 2)
         SELECT run_name, m, n, round(share, 9) AS recall, round(sqrt(share * (1 - share) / n), 9) AS error, CAST(informative AS BIGINT) AS informative FROM a""",
     "pred_temperature_curve": _SCORED + _CURVE + "SELECT * FROM curve",
-    "pred_best_temperature": _SCORED + _CURVE + "SELECT run_name, temperature, nll FROM (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY nll, temperature) AS rn FROM curve) WHERE rn = 1",
+    "pred_best_temperature": _SCORED + _CURVE + "SELECT run_name, arg_min(temperature, (nll, temperature)) AS temperature, min(nll) AS nll, arg_min(temperature, (ece, temperature)) AS ece_temperature, min(ece) AS ece FROM curve GROUP BY 1",
     "pred_cascade_sweep": _SCORED + _SWEEP + "SELECT run_name, threshold, n, CAST(sent AS BIGINT) AS sent, kept_accuracy FROM sweep",
     "pred_cascade_best": _SCORED + _SWEEP + "SELECT run_name, threshold, kept_accuracy FROM (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY kept_accuracy DESC, threshold DESC) AS rn FROM sweep WHERE kept_accuracy IS NOT NULL) WHERE rn = 1",
     "pred_discordance": _SCORED + _ONE + """SELECT a.run_name AS run_a, b.run_name AS run_b, count(*) AS items, CAST(sum(CAST(a.correct > b.correct AS INT)) AS BIGINT) AS a_only, CAST(sum(CAST(a.correct < b.correct AS INT)) AS BIGINT) AS b_only,
