@@ -1,4 +1,4 @@
-"""Row transforms of texts: sentences, paragraphs, tool calls, typing of answers."""
+"""Row transforms of texts: sentences, paragraphs, tool calls."""
 
 from __future__ import annotations
 
@@ -51,16 +51,6 @@ def argument_pool(calls: DataFrame, k: int) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("tool").orderBy(F.desc("uses"), "arg"))).where(F.col("rank") <= k)
 
 
-def answer_type(c: Column) -> Column:
-    """What an answer looks like: yes_no, number, date, code, proper, phrase."""
-    t = F.trim(c)
-    return (
-        F.when(F.lower(t).isin("yes", "no", "true", "false"), "yes_no").when(t.rlike(r"^[-+]?[0-9][0-9,.]*%?$"), "number")
-        .when(t.rlike(r"(?i)^([0-9]{1,2} )?(january|february|march|april|may|june|july|august|september|october|november|december)( [0-9]{2,4})?$"), "date")
-        .when(t.rlike(r"^[A-Z]{2}-[0-9]{4}$"), "code").when(t.rlike(r"^[A-Z][a-z]+( [A-Z][a-z]+)*$"), "proper").when(t != "", "phrase")
-    )
-
-
 def turns(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Log lines "hh:mm:ss XX-0000 ..." of a text as turns: id, place, at, code, gap (seconds since the turn before)."""
     lines = df.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(text, F.lit(r"([0-9]{2}:[0-9]{2}:[0-9]{2} [A-Z]{2}-[0-9]{4})"), 1)).alias("place", "line"))

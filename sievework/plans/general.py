@@ -107,11 +107,6 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.changed_fields(a.join(shared, "id", "left_semi"), b.join(shared, "id", "left_semi"), "id", ["q_type", "label_key", "split"]).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
-def answer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _t(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\| ([^|\n\r]+) (?=\|)"), 1)).alias("cell"))
-    return o.groupBy(X.answer_type(F.col("cell")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
 QUERIES = {
     "pricing_summary": pricing, "revenue_cube": revenue_cube, "top_orders": top_orders, "idle_customers": idle_customers,
     "asof_last_purchase": last_purchase, "band_join_donors": donors, "vectors_nearest": nearest, "vectors_softmax": softmax, "scores_stub": stub,
@@ -122,13 +117,11 @@ QUERIES = {
     "text_tool_calls": lambda spark, sf_dir: X.tool_calls(_t(spark, sf_dir, "documents"), "doc_id", "text"),
     "text_argument_pool": lambda spark, sf_dir: X.argument_pool(X.tool_calls(_t(spark, sf_dir, "documents"), "doc_id", "text"), 5),
     "text_turns": lambda spark, sf_dir: X.turns(_t(spark, sf_dir, "documents"), "doc_id", "text").groupBy("id").agg(F.count(F.lit(1)).alias("turns"), F.max("gap").alias("longest_gap")),
-    "text_answer_types": answer_types,
     "text_redacted": lambda spark, sf_dir: _t(spark, sf_dir, "licence_manifest").select("corpus", C.redacted(F.concat(F.lit("kept in /home/data/"), "corpus", F.lit(".jsonl"))).alias("note"), C.slug("corpus").alias("slug")),
 }
 
 _CALLS = """WITH l AS (SELECT doc_id AS id, regexp_extract_all(text, '(\\{"tool": [^\\n\\r]*\\})', 1) AS calls FROM documents), u AS (SELECT id, generate_subscripts(calls, 1) - 1 AS place, unnest(calls) AS call FROM l),
     c AS (SELECT id, place, call ->> '$.tool' AS tool, call ->> '$.arg' AS arg, try_cast(call ->> '$.n' AS BIGINT) AS n FROM u WHERE json_valid(call) AND (call ->> '$.tool') IS NOT NULL)"""
-_DATE = "^([0-9]{1,2} )?(january|february|march|april|may|june|july|august|september|october|november|december)( [0-9]{2,4})?$"
 _SENT = """WITH s AS (SELECT row_no AS id, instructions, unnest(regexp_split_to_array(regexp_replace(state, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentence, generate_subscripts(regexp_split_to_array(regexp_replace(state, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) - 1 AS place FROM typed_questions),
     t AS (SELECT id, place, list_distinct(regexp_extract_all(lower(sentence), '([a-z0-9]+)', 1)) AS tokens FROM s WHERE trim(sentence) <> ''), k AS (SELECT * FROM t WHERE len(tokens) > 0),
     f AS (SELECT id, place, len(tokens) AS n, unnest(tokens) AS token FROM k), i AS (SELECT token, ln(((SELECT count(*) FROM k) + 1) / (count(*) + 1)::DOUBLE) + 1 AS idf FROM f GROUP BY 1),
@@ -169,8 +162,5 @@ ORACLES = {
     "text_turns": """WITH l AS (SELECT doc_id AS id, regexp_extract_all(text, '([0-9]{2}:[0-9]{2}:[0-9]{2} [A-Z]{2}-[0-9]{4})', 1) AS l FROM documents), u AS (SELECT id, generate_subscripts(l, 1) AS place, unnest(l) AS x FROM l),
         s AS (SELECT id, place, CAST(x[1:2] AS INT) * 3600 + CAST(x[4:5] AS INT) * 60 + CAST(x[7:8] AS INT) AS s FROM u), g AS (SELECT id, s - lag(s) OVER (PARTITION BY id ORDER BY place) AS gap FROM s)
         SELECT id, count(*) AS turns, max(gap) AS longest_gap FROM g GROUP BY 1""",
-    "text_answer_types": f"""WITH c AS (SELECT trim(unnest(regexp_extract_all(text, '\\| ([^|\\n\\r]+) \\|', 1)), ' ') AS t FROM documents)
-        SELECT CASE WHEN lower(t) IN ('yes', 'no', 'true', 'false') THEN 'yes_no' WHEN regexp_matches(t, '^[-+]?[0-9][0-9,.]*%?$') THEN 'number' WHEN regexp_matches(t, '{_DATE}', 'i') THEN 'date' WHEN regexp_matches(t, '^[A-Z]{{2}}-[0-9]{{4}}$') THEN 'code'
-            WHEN regexp_matches(t, '^[A-Z][a-z]+( [A-Z][a-z]+)*$') THEN 'proper' WHEN t <> '' THEN 'phrase' END AS kind, count(*) AS n FROM c GROUP BY 1""",
     "text_redacted": "SELECT corpus, regexp_replace('kept in /home/data/' || corpus || '.jsonl', '(/home|/Users|/mnt|/root)(/[\\w.\\-]+)+', '<path>', 'g') AS note, regexp_replace(regexp_replace(lower(corpus), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM licence_manifest",
 }

@@ -5,21 +5,22 @@ import random
 from sievework.operators import corpus
 from sievework.operators import questions as Q
 from sievework.plans import corpus as corpus_plans
-from sievework.plans import general
+from sievework.plans import general, items
 from sievework.streaming import events as E
 
 
 def test_answer_types_every_cell(spark, tmp_path):
     spark.createDataFrame([(0, "| 处方 | Naipreamere | 329 |\nno table\n| yes | AB-1234 |"), (1, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.kind: r.n for r in general.answer_types(spark, str(tmp_path)).collect()}
-    assert got == {"phrase": 1, "proper": 1, "number": 1, "yes_no": 1, "code": 1}
+    got = {r.kind: r.n for r in items.answer_types(spark, str(tmp_path)).collect()}
+    assert got == {"entity": 3, "number": 1, "yes_no": 1}
 
 
 def test_padding_draws_from_all_texts(spark):
     make = lambda i, source, *texts: (i, "choice", source, [(str(j), t) for j, t in enumerate(texts)])
     data = [make(i, "many", f"Text {i}", f" text {(i * 7) % 300}") for i in range(300)]
     data += [make(300, "few", "x", "y"), make(301, None, "z", "Text 5"), make(302, "few", "x", None), make(303, "many", *"abcdefgh"), (304, "noul", "many", None)]
-    df = spark.createDataFrame(data, "row_no bigint, q_type string, source string, options array<struct<key:string,text:string>>")
+    data = [(*r, "0") for r in data]
+    df = spark.createDataFrame(data, "row_no bigint, q_type string, source string, options array<struct<key:string,text:string>>, label_key string")
     have = {r[0]: {t.strip().lower() for _, t in r[3] if t} for r in data if r[3]}
     added = {r.row_no: r.added for r in Q.pad(df, 8, 2).collect()}
     assert set(added) == set(range(303))
