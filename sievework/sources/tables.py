@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -33,6 +35,86 @@ def read_questions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.schema(schema(QUESTION_DDL)).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines of text files as they are: file, line_no (from 1), line. Files are read whole, a file by one task, as line numbers need."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for where, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield _numbered(where, "", 1, [x.decode("utf-8", "replace") for x in content.splitlines()], ["file", "member", "line_no", "line"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lines, "file string, member string, line_no bigint, line string").drop("member")
+
+
+def bad_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Where JSON lines don't parse: file, line_no, line. Blank lines are no error."""
+    return numbered_lines(spark, path).where((F.trim("line") != "") & F.try_parse_json("line").isNull())
+
+
+def sharded(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """All shards of a table in a folder, columns by name, a column that some shards lack null there; file is where a row came from."""
+    return spark.read.option("mergeSchema", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder).withColumn("file", F.col("_metadata.file_name"))
+
+
+def load_all(loaders: dict[str, DataFrame], wanted: list[str] | None = None) -> DataFrame:
+    """The wanted corpora in the order asked for (all, if none are named). A name that isn't known is an error that says which are."""
+    names = list(loaders) if wanted is None else wanted
+    unknown = [n for n in names if n not in loaders]
+    if unknown:
+        raise ValueError(f"unknown sources {unknown}; there are {sorted(loaders)}")
+    return ordered_union(*((n, loaders[n]) for n in names))
+
+
+def coverage(df: DataFrame, expected: list[str]) -> DataFrame:
+    """Each expected corpus with its rows, 0 for those that are missing: corpus, n, missing."""
+    there = df.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"))
+    named = df.sparkSession.createDataFrame([(e,) for e in expected], "corpus string")
+    return named.join(there, "corpus", "left").select("corpus", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("missing"))
+
+
+def file_kind(name: Column | str) -> Column:
+    """What a corpus file holds, by its name: probs, families, variants, confounders, labels, else typed."""
+    c = F.element_at(F.split(F.col(name) if isinstance(name, str) else name, "/"), -1)
+    out = F.when(c.startswith("base_probs"), "probs")
+    for ending, kind in (("_families", "families"), ("_variants", "variants"), ("_llm_confounders", "confounders"), ("_labels", "labels")):
+        out = out.when(c.endswith(f"{ending}.jsonl"), kind)
+    return out.otherwise("typed")
+
+
+def check_lock(lock: dict) -> dict[str, dict]:
+    """The files of a lock: repository, revision and for each file its sha256 and bytes, or an error that names what is wrong."""
+    for key in ("repo", "revision", "files"):
+        if not lock.get(key):
+            raise ValueError(f"the lock has no {key}")
+    if not re.fullmatch(r"[0-9a-f]{40}", str(lock["revision"])):
+        raise ValueError("the revision isn't a full commit")
+    for name, entry in lock["files"].items():
+        if not re.fullmatch(r"[0-9a-f]{64}", str(entry.get("sha256", ""))) or not isinstance(entry.get("bytes"), int) or entry["bytes"] < 0:
+            raise ValueError(f"{name}: needs a sha256 and a number of bytes")
+        if name.startswith("/") or ".." in name.split("/"):
+            raise ValueError(f"{name}: leaves the folder")
+    return lock["files"]
+
+
+def select_files(files: dict[str, dict], patterns: list[str] | None) -> dict[str, dict]:
+    """Files whose name fits a pattern, all without patterns. A pattern that fits none is an error."""
+    if not patterns:
+        return dict(files)
+    for p in patterns:
+        if not any(fnmatch.fnmatchcase(n, p) for n in files):
+            raise ValueError(f"nothing fits {p!r}")
+    return {n: e for n, e in files.items() if any(fnmatch.fnmatchcase(n, p) for p in patterns)}
+
+
+def merged_shards(parts: list[DataFrame], key: str) -> DataFrame:
+    """Parts of a sharded run in one, with part; an error if a key lies in two of them or twice in one."""
+    whole = reduce(lambda a, b: a.unionByName(b), (p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)))
+    twice = whole.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"keys in several parts: {[r[0] for r in twice]}")
+    return whole
+
+
 def profile_questions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Per file: lines, lines that don't parse, blank lines, distinct ids. Nothing fails."""
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line"))

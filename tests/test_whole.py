@@ -12,7 +12,7 @@ from sievework.streaming import events as E
 def test_answer_types_every_cell(spark, tmp_path):
     spark.createDataFrame([(0, "| 处方 | Naipreamere | 329 |\nno table\n| yes | AB-1234 |"), (1, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.kind: r.n for r in items.answer_types(spark, str(tmp_path)).collect()}
-    assert got == {"entity": 3, "number": 1, "yes_no": 1}
+    assert got == {"entity": 2, "date": 1, "number": 1, "yes_no": 1}
 
 
 def test_padding_draws_from_all_texts(spark):
