@@ -23,14 +23,21 @@ def normal_words_keeping_underscores(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(_col(c)), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}_]+", " "))
 
 
+def strict_json(c: Column | str) -> Column:
+    """A text that is one JSON value and nothing else, with an object's fields in order of name and no spaces; null for any other. The parser itself passes over what follows a value."""
+    one = F.to_json(F.try_parse_json(_col(c)))
+    listed = F.to_json(F.try_parse_json(F.concat(F.lit("["), _col(c), F.lit("]"))))
+    return F.when(listed == F.concat(F.lit("["), one, F.lit("]")), one)
+
+
 def canonical_json(c: Column | str) -> Column:
-    """JSON with an object's fields in order of name and no spaces; a text that doesn't parse as itself, after a "!"; null stays null."""
-    return F.coalesce(F.to_json(F.try_parse_json(_col(c))), F.concat(F.lit("!"), _col(c)))
+    """strict_json(); a text that isn't JSON as itself, after a "!"; null stays null."""
+    return F.coalesce(strict_json(c), F.concat(F.lit("!"), _col(c)))
 
 
 def canonical_value(c: Column | str) -> Column:
-    """canonical_json() of a column that holds JSON or bare text: bare text as a JSON string."""
-    return F.coalesce(F.to_json(F.try_parse_json(_col(c))), F.concat(F.lit('"'), F.regexp_replace(_col(c), r'(["\\])', r"\\$1"), F.lit('"')))
+    """strict_json() of a column that holds JSON or bare text: bare text as a JSON string."""
+    return F.coalesce(strict_json(c), F.concat(F.lit('"'), F.regexp_replace(_col(c), r'(["\\])', r"\\$1"), F.lit('"')))
 
 
 _SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"

@@ -21,7 +21,7 @@ GRAM = 5
 _WORD = re.compile(r"[^\W_]+")  # on every code point the same as categories L and N; a test holds the two together
 _BLANK, _ALNUM, _IDEOGRAPH, _SYMBOL, _DROPPED = range(5)
 # fixed values: the blocks that the public BERT basic tokenizer takes for CJK ideographs
-_IDEOGRAPHS = (
+IDEOGRAPHS = (
     (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2A6DF),
     (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0x2F800, 0x2FA1F),
 )
@@ -211,7 +211,7 @@ def _classes() -> np.ndarray:
             table[c] = _BLANK
         elif kind in ("Cc", "Cf") or c == 0xFFFD:
             table[c] = _DROPPED
-    for low, high in _IDEOGRAPHS:
+    for low, high in IDEOGRAPHS:
         table[low : high + 1] = _IDEOGRAPH
     return table
 

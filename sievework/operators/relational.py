@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.operators.running import running_last
+from sievework.operators.questions import _numbers
+from sievework.operators.running import running_last, running_sums
+from sievework.session import cut
 
 QUERY_BLOCK = 10_000
 
@@ -52,20 +54,28 @@ def nearest_vectors(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", v
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted, unit = sent.value
+            top, there = np.full((len(wanted), k), -np.inf), np.full((len(wanted), k), np.iinfo(np.int64).max)
             for batch in batches:
                 rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None]
                 if not rows or not len(wanted):
                     continue
                 mine = np.array([v for _, v in rows], np.float64)
                 size = np.linalg.norm(mine, axis=1)
-                there = np.array([i for i, _ in rows])[size > 0]
+                ids = np.array([i for i, _ in rows])[size > 0]
                 scores = unit @ (mine[size > 0] / size[size > 0, None]).T
-                scores[wanted[:, None] == there[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(there, scores.shape), -scores), axis=1)[:, :k]
-                q = np.repeat(np.arange(len(wanted)), order.shape[1])
-                at = order.ravel()
-                ok = np.isfinite(scores[q, at])
-                yield pa.RecordBatch.from_arrays([pa.array(wanted[q[ok]]), pa.array(there[at[ok]]), pa.array(scores[q[ok], at[ok]])], names=["query_id", "id", "cosine"])
+                scores[wanted[:, None] == ids[None, :]] = -np.inf
+                if scores.shape[1] > k:  # what can be among the best of this batch, ties at the edge included
+                    edge = np.partition(scores, -k, axis=1)[:, -k]
+                    most = int((scores >= edge[:, None] - 1e-12).sum(axis=1).max())
+                    near = np.argpartition(-scores, min(most, scores.shape[1] - 1), axis=1)[:, :most]
+                else:
+                    near = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+                both = np.concatenate([top, np.take_along_axis(scores, near, axis=1)], axis=1)
+                both_ids = np.concatenate([there, ids[near]], axis=1)
+                order = np.lexsort((both_ids, -np.round(both, 12)), axis=1)[:, :k]
+                top, there = np.take_along_axis(both, order, axis=1), np.take_along_axis(both_ids, order, axis=1)
+            q, at = np.nonzero(np.isfinite(top))
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[q], pa.int64()), pa.array(there[q, at], pa.int64()), pa.array(top[q, at], pa.float64())], names=["query_id", "id", "cosine"])
 
         return df.select(F.col(id_col).cast("bigint"), vector).mapInArrow(best, "query_id bigint, id bigint, cosine double")
 
@@ -81,6 +91,21 @@ def nearest_vectors(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", v
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def band_donors(df: DataFrame, key: str, size: str, own: Column, low: float, high: float, seed: int, draws: int = 24) -> DataFrame:
+    """For each row another of about its size (low to high times it) with another `own`, drawn by hash: key, donor (null if none of the draws fits; all are tried where there are no more than draws).
+
+    Rows are numbered by size, so those of a band are a stretch of numbers, and a row looks up some of them. No pairs of a band are made.
+    """
+    rows = df.where(F.col(size) >= 1).select(F.col(key).alias("row_no"), F.col(size).alias("size"), F.coalesce(own, F.lit("")).alias("own"))
+    numbered = cut(running_sums(rows, [], [F.col("size"), F.col("row_no")], {}))
+    ends = numbered.groupBy("size").agg(F.max("_n").alias("upto")).agg(F.array_sort(F.collect_list(F.struct("size", "upto"))).alias("ends"))  # as many as there are sizes
+    below = lambda most: F.coalesce(F.array_max(F.transform(F.filter("ends", lambda e: e["size"] <= most), lambda e: e["upto"])), F.lit(0))
+    banded = numbered.crossJoin(ends).select("row_no", "own", below(F.ceil(F.col("size") * low) - 1).alias("low"), below(F.floor(F.col("size") * high)).alias("high"))  # one row
+    asked = banded.select("row_no", "own", F.posexplode(F.transform(_numbers(F.col("high") - F.col("low"), F.lit(draws), f"{seed}:band"), lambda i: i + F.col("low"))).alias("turn", "n"))
+    met = asked.join(numbered.select(F.col("_n").cast("bigint").alias("n"), F.col("row_no").alias("donor"), F.col("own").alias("theirs")), "n").where("theirs <> own")
+    return rows.select("row_no").join(met.groupBy("row_no").agg(F.min_by("donor", "turn").alias("donor")), "row_no", "left").select(F.col("row_no").alias(key), "donor")
+
+
 def changed_fields(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Field-wise difference of two tables by key: key, field, before, after; a row that is only on one side differs in all its fields that aren't null."""
     a, b = left.select(key, *(F.col(f).cast("string").alias(f"a_{f}") for f in fields)), right.select(key, *(F.col(f).cast("string").alias(f"b_{f}") for f in fields))

@@ -38,7 +38,9 @@ def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idle_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    """Customers without a large order, by nation."""
+    large = _t(spark, sf_dir, "orders").where("o_totalprice > 300000")
+    return _t(spark, sf_dir, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 def last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +51,12 @@ def last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def donors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out items by pairs of tiers: how many pairs have states of about the same length."""
-    items = _t(spark, sf_dir, "eval_items").select("id", "tier", F.length("state").alias("len"))
-    right = items.select(F.col("id").alias("donor"), F.col("tier").alias("donor_tier"), F.col("len").alias("donor_len"))
-    return R.band_join(items, right, "len", "donor_len", 0.5, 2.0).where("tier <> donor_tier").groupBy("tier", "donor_tier").agg(F.count(F.lit(1)).alias("pairs"))
+    """For each question whether another of half to twice its length, of another group, was found."""
+    q = _t(spark, sf_dir, "typed_questions").withColumn("len", F.length("state"))
+    own = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("group_key", F.concat(F.lit("row "), F.col("row_no").cast("string"))))
+    found = R.band_donors(q, "row_no", "len", own, 0.5, 2.0, 3)
+    theirs = q.select(F.col("row_no").alias("donor"), F.col("len").alias("their_len"), own.alias("theirs"))
+    return found.join(theirs, "donor", "left").join(q.select("row_no", "len", own.alias("own")), "row_no").select("row_no", (F.col("donor").isNotNull() & F.col("their_len").between(F.col("len") * 0.5, F.col("len") * 2) & (F.col("own") != F.col("theirs"))).alias("found"))
 
 
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +65,7 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double")).alias("l"))
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("l"))
     p = v.withColumn("p", C.softmax(F.col("l"), 0.5))
     return p.select("vec_id", C.argmax(F.col("p")).alias("top"), F.round(F.array_max("p"), 9).alias("confidence"), F.round(C.margin(F.col("p")), 9).alias("margin"), F.array_join(F.transform(C.ranked(F.col("p")), lambda i: i.cast("string")), ",").alias("ranking"))
 
@@ -94,8 +98,8 @@ def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = E.drained(E.deduplicated(E.stream(spark, f"{sf_dir}/events.parquet"), ["user_id", "event_type"], "36500 days"))
-    return d.groupBy("event_type").agg(F.count(F.lit(1)).alias("users"))
+    d = E.drained(E.deduplicated(E.stream(spark, f"{sf_dir}/events.parquet"), ["event_id"], "1 hour"))
+    return d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +111,13 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.changed_fields(a.join(shared, "id", "left_semi"), b.join(shared, "id", "left_semi"), "id", ["q_type", "label_key", "split"]).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
+def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with what looks like a path below a root taken out, and how many such there were."""
+    d = _t(spark, sf_dir, "documents").where("text IS NOT NULL")
+    roots = ("/home", "/Users", "/mnt", "/root", " /")
+    return d.select("doc_id", F.md5(C.redacted(F.col("text"), roots)).alias("text"), F.size(C.absolute_paths(F.col("text"))).alias("paths"), C.slug("source").alias("slug"))
+
+
 QUERIES = {
     "pricing_summary": pricing, "revenue_cube": revenue_cube, "top_orders": top_orders, "idle_customers": idle_customers,
     "asof_last_purchase": last_purchase, "band_join_donors": donors, "vectors_nearest": nearest, "vectors_softmax": softmax, "scores_stub": stub,
@@ -117,7 +128,7 @@ QUERIES = {
     "text_tool_calls": lambda spark, sf_dir: X.tool_calls(_t(spark, sf_dir, "documents"), "doc_id", "text"),
     "text_argument_pool": lambda spark, sf_dir: X.argument_pool(X.tool_calls(_t(spark, sf_dir, "documents"), "doc_id", "text"), 5),
     "text_turns": lambda spark, sf_dir: X.turns(_t(spark, sf_dir, "documents"), "doc_id", "text").groupBy("id").agg(F.count(F.lit(1)).alias("turns"), F.max("gap").alias("longest_gap")),
-    "text_redacted": lambda spark, sf_dir: _t(spark, sf_dir, "licence_manifest").select("corpus", C.redacted(F.concat(F.lit("kept in /home/data/"), "corpus", F.lit(".jsonl"))).alias("note"), C.slug("corpus").alias("slug")),
+    "text_redacted": redacted,
 }
 
 _CALLS = """WITH l AS (SELECT doc_id AS id, regexp_extract_all(text, '(\\{"tool": [^\\n\\r]*\\})', 1) AS calls FROM documents), u AS (SELECT id, generate_subscripts(calls, 1) - 1 AS place, unnest(calls) AS call FROM l),
@@ -133,14 +144,14 @@ ORACLES = {
         FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""",
     "revenue_cube": """SELECT r_name, o_orderstatus, grouping(r_name, o_orderstatus) AS level, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY CUBE (r_name, o_orderstatus)""",
     "top_orders": "SELECT o_orderstatus, o_orderkey, o_totalprice, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 10",
-    "idle_customers": "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1",
+    "idle_customers": "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) GROUP BY 1",
     "asof_last_purchase": "SELECT l.event_id, r.value AS right_value FROM (SELECT * FROM events WHERE event_type = 'error') l ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) r ON l.user_id = r.user_id AND l.ts >= r.ts",
-    "band_join_donors": "SELECT a.tier, b.tier AS donor_tier, count(*) AS pairs FROM eval_items a JOIN eval_items b ON a.tier <> b.tier AND length(b.state) BETWEEN length(a.state) * 0.5 AND length(a.state) * 2 GROUP BY 1, 2",
+    "band_join_donors": """WITH t AS (SELECT row_no, length(state) AS len, coalesce(source, '') || '/' || coalesce(group_key, 'row ' || row_no) AS own FROM typed_questions WHERE length(state) >= 1) SELECT row_no, EXISTS (SELECT 1 FROM t b WHERE b.own <> a.own AND b.len BETWEEN a.len * 0.5 AND a.len * 2) AS found FROM t a""",
     "vectors_nearest": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)) AS cosine FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
         SELECT query_id, id, rank, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 12) DESC, id) AS rank FROM c) WHERE rank <= 5""",
-    "vectors_softmax": """WITH l AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE) / 0.5::DOUBLE) AS l FROM embeddings), p AS (SELECT vec_id, list_transform(l, lambda x: exp(x - list_max(l)) / list_sum(list_transform(l, lambda y: exp(y - list_max(l))))) AS p FROM l)
+    "vectors_softmax": """WITH l AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / 0.5::DOUBLE) AS l FROM embeddings), p AS (SELECT vec_id, list_transform(l, lambda x: exp(x - list_max(l)) / list_sum(list_transform(l, lambda y: exp(y - list_max(l))))) AS p FROM l)
         SELECT vec_id, list_position(p, list_max(p)) - 1 AS top, round(list_max(p), 9) AS confidence, round(list_reverse_sort(p)[1] - list_reverse_sort(p)[2], 9) AS margin,
-        array_to_string(list_transform(list_sort(list_transform(range(5), lambda i: {'v': -p[i + 1], 'i': i})), lambda s: CAST(s.i AS VARCHAR)), ',') AS ranking FROM p""",
+        array_to_string(list_transform(list_sort(list_transform(range(len(p)), lambda i: {'v': -p[i + 1], 'i': i})), lambda s: CAST(s.i AS VARCHAR)), ',') AS ranking FROM p""",
     "scores_stub": """WITH o AS (SELECT row_no, generate_subscripts(options, 1) AS i, unnest(options).key AS key FROM typed_questions WHERE q_type = 'choice'), w AS (SELECT *, 1 + ('0x' || substr(md5(row_no || '|' || key), 1, 4))::BIGINT AS w FROM o)
         SELECT row_no, arg_max(key, (w, -i)) AS answer, round(max(w) / sum(w)::DOUBLE, 9) AS confidence FROM w GROUP BY 1""",
     "event_windows": "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2",
@@ -149,7 +160,7 @@ ORACLES = {
         SELECT user_id, count(*) AS sessions, max(n) AS longest FROM n GROUP BY 1""",
     "event_streaks_stream": """WITH o AS (SELECT user_id, event_type, row_number() OVER w AS i, row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS j, count(*) OVER (PARTITION BY user_id) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         r AS (SELECT user_id, i - j AS run, count(*) AS n, max(i) AS last, any_value(total) AS total FROM o WHERE event_type = 'error' GROUP BY 1, 2) SELECT user_id, count(*) AS streaks, max(n) AS longest FROM r WHERE n >= 3 AND last < total GROUP BY 1""",
-    "event_dedup_stream": "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
+    "event_dedup_stream": "SELECT event_type, count(DISTINCT event_id) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "revised_fields": """WITH f AS (SELECT corpus, id, arg_min_null(q_type, row_no) AS q_type, arg_min_null(label_key, row_no) AS label_key, arg_min_null(split, row_no) AS split FROM typed_questions GROUP BY 1, 2),
         j AS (SELECT a.q_type AS q1, b.q_type AS q2, a.label_key AS l1, b.label_key AS l2, a.split AS s1, b.split AS s2 FROM f a JOIN f b ON a.id = b.id AND a.corpus = 'typed_main' AND b.corpus = 'typed_extra'),
         u AS (SELECT 'q_type' AS field FROM j WHERE q1 IS DISTINCT FROM q2 UNION ALL SELECT 'label_key' FROM j WHERE l1 IS DISTINCT FROM l2 UNION ALL SELECT 'split' FROM j WHERE s1 IS DISTINCT FROM s2) SELECT field, count(*) AS n FROM u GROUP BY 1""",
@@ -162,5 +173,5 @@ ORACLES = {
     "text_turns": """WITH l AS (SELECT doc_id AS id, regexp_extract_all(text, '([0-9]{2}:[0-9]{2}:[0-9]{2} [A-Z]{2}-[0-9]{4})', 1) AS l FROM documents), u AS (SELECT id, generate_subscripts(l, 1) AS place, unnest(l) AS x FROM l),
         s AS (SELECT id, place, CAST(x[1:2] AS INT) * 3600 + CAST(x[4:5] AS INT) * 60 + CAST(x[7:8] AS INT) AS s FROM u), g AS (SELECT id, s - lag(s) OVER (PARTITION BY id ORDER BY place) AS gap FROM s)
         SELECT id, count(*) AS turns, max(gap) AS longest_gap FROM g GROUP BY 1""",
-    "text_redacted": "SELECT corpus, regexp_replace('kept in /home/data/' || corpus || '.jsonl', '(/home|/Users|/mnt|/root)(/[\\w.\\-]+)+', '<path>', 'g') AS note, regexp_replace(regexp_replace(lower(corpus), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM licence_manifest",
+    "text_redacted": "SELECT doc_id, md5(regexp_replace(text, '(/home|/Users|/mnt|/root| /)(/[\\w.\\-]+)+', '<path>', 'g')) AS text, len(regexp_extract_all(text, '(/(?:[\\w.\\-]+/)+[\\w.\\-]+)', 1)) AS paths, regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents WHERE text IS NOT NULL",
 }

@@ -26,13 +26,15 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, as in tests, a folder of this machine.
+    """spark.checkpoint.dir of the session; only where it is unset and all runs in one process, as in tests, a folder of this machine.
 
     Also makes it the context's checkpoint folder, once.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = os.path.join(tempfile.gettempdir(), f"sievework-{uuid.uuid4().hex}")
         spark.conf.set("spark.checkpoint.dir", folder)
     if context.getCheckpointDir() is None:

@@ -57,7 +57,7 @@ def slow_tokens(text):
         kind = unicodedata.category(c)
         if kind in ("Cc", "Cf") and not c.isspace() or c == "�":
             continue
-        ideograph = any(a <= ord(c) <= b for a, b in f._IDEOGRAPHS)
+        ideograph = any(a <= ord(c) <= b for a, b in f.IDEOGRAPHS)
         word = kind[0] in "LN" and not ideograph
         n += ideograph or (word and not before) or not (word or c.isspace() or kind[0] == "Z")
         before = word
