@@ -184,3 +184,20 @@ def fills(packed: DataFrame, capacity: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("items"), F.sum("tokens").alias("used"))
         .withColumn("unused", F.lit(capacity) - F.col("used"))
     )
+
+
+def fill_report(df: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """How full containers are with the top-up, and of buckets alone: top_up, containers, items, used, fill (share of the space)."""
+    parts = []
+    for top_up in (True, False):
+        f = fills(pack(df, capacity, id_col=id_col, text_col=text_col, top_up=top_up), capacity)
+        parts.append(f.agg(F.lit(top_up).alias("top_up"), F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("used").alias("used"), F.round(F.sum("used") / (F.count(F.lit(1)) * capacity), 6).alias("fill")))
+    return parts[0].unionByName(parts[1])
+
+
+def totals(packed: DataFrame, capacity: int) -> DataFrame:
+    """What must hold of a packing, in one row: texts, tokens, split (texts in several parts), crowded (containers above capacity), torn (parts of a text that needn't be split)."""
+    over = fills(packed, capacity).where(F.col("used") > capacity).agg(F.count(F.lit(1)).alias("crowded"))
+    parts = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("tokens").alias("tokens"))
+    each = parts.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum((F.col("parts") > 1).cast("int")), F.lit(0)).alias("split"), F.coalesce(F.sum(((F.col("parts") > 1) & (F.col("tokens") <= capacity)).cast("int")), F.lit(0)).alias("torn"))
+    return each.crossJoin(over)  # one row each

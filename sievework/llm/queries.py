@@ -74,6 +74,15 @@ def p6_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fills(packing.pack(_table(spark, sf_dir, "documents"), capacity), capacity)
 
 
+def p6_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(_table(spark, sf_dir, "documents"), _limit(spark, sf_dir, "pack")[0])
+
+
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity, _ = _limit(spark, sf_dir, "pack")
+    return packing.totals(packing.pack(_table(spark, sf_dir, "documents"), capacity), capacity)
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return mixing.mix(documents, mixing.plan_mix(documents, _table(spark, sf_dir, "mix_targets")))
@@ -84,6 +93,25 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(documents, mixing.plan_mix(documents, _table(spark, sf_dir, "mix_targets")))
 
 
+def p7_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest mix in which every source with tokens gives its whole share."""
+    documents = _table(spark, sf_dir, "documents")
+    plans = mixing.plan_mix(documents, _table(spark, sf_dir, "mix_targets"))
+    return mixing.shares(documents, mixing.plan_mix(documents, _table(spark, sf_dir, "mix_targets"), mixing.largest_exact(plans)))
+
+
+def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of a mix, by source: tokens there are, whether no text is used more often than allowed, and whether the tokens used are within a hundredth of those meant."""
+    s = p7_shares(spark, sf_dir)
+    return s.select("source", "source_tokens", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_cap"), (F.abs(F.col("used_tokens") - F.col("goal_tokens")) <= F.greatest(0.01 * F.col("goal_tokens"), F.lit(20_000.0))).alias("as_meant"))
+
+
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of cut texts: texts, tokens of the pieces less what they share, pieces above the limit."""
+    limit, overlap = _limit(spark, sf_dir, "cut")
+    return p8_pieces(spark, sf_dir).agg(F.countDistinct("doc_id").alias("texts"), F.sum(F.col("tokens") - F.when(F.col("piece_no") > 0, overlap).otherwise(0)).alias("tokens"), F.sum((F.col("tokens") > limit).cast("int")).alias("above"))
+
+
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutting.cut_texts(_table(spark, sf_dir, "documents"), *_limit(spark, sf_dir, "cut"))
 
@@ -105,18 +133,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_assignment": p5_assignment,
     "p6_containers": p6_containers,
     "p6_fills": p6_fills,
+    "p6_fill_report": p6_fill_report,
+    "p6_totals": p6_totals,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_exact_shares": p7_exact_shares,
+    "p7_totals": p7_totals,
     "p8_found": p8_found,
     "p8_pieces": p8_pieces,
+    "p8_totals": p8_totals,
 }
 
 _IDEOGRAPHS = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{2F800}-\x{2FA1F}"
 _TOKEN = rf"(?:[^\P{{L}}{_IDEOGRAPHS}]|\p{{N}})+|[{_IDEOGRAPHS}]|[^\s\p{{L}}\p{{N}}\p{{Z}}\p{{Cc}}\p{{Cf}}]"
 
+_COUNTS = f"SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_TOKEN}')), 0) AS n FROM documents"
+
 ORACLES: dict[str, str] = {
-    "p8_found": f"""
-        SELECT DISTINCT doc_id FROM documents
-        WHERE len(regexp_extract_all(text, '{_TOKEN}')) > (SELECT max_tokens FROM size_limits WHERE task = 'cut')
-    """,
+    "p6_totals": f"SELECT count(*) AS texts, CAST(sum(n) AS BIGINT) AS tokens, count(*) FILTER (n > (SELECT max_tokens FROM size_limits WHERE task = 'pack')) AS split, 0 AS torn, 0 AS crowded FROM ({_COUNTS})",
+    "p7_totals": f"""WITH f AS (SELECT trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) AS s, n FROM ({_COUNTS})), t AS (SELECT trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) AS source, sum(target_share) AS share FROM mix_targets WHERE target_share > 0 GROUP BY 1)
+        SELECT source, CAST(coalesce(sum(n), 0) AS BIGINT) AS source_tokens, true AS within_cap, true AS as_meant FROM t LEFT JOIN f ON f.s = t.source GROUP BY 1""",
+    "p8_totals": f"SELECT count(*) AS texts, CAST(sum(n) AS BIGINT) AS tokens, 0 AS above FROM ({_COUNTS}) WHERE n > (SELECT max_tokens FROM size_limits WHERE task = 'cut')",
+    "p8_found": f"SELECT doc_id FROM ({_COUNTS}) WHERE n > (SELECT max_tokens FROM size_limits WHERE task = 'cut') GROUP BY 1",
 }

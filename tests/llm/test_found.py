@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,42 @@ def test_paraphrases(spark):
     assert [(r.doc_id, r.item_id) for r in got] == [(900, "i3")] and got[0].common > 0.9
 
 
+def test_paraphrases_of_parts_are_found(spark):
+    """Stretches of 24 words of an item, one word in six changed, dropped or preceded by another, at any place of a document."""
+    rng = random.Random(5)
+    fill = lambda n: [f"w{int(400 * rng.random() ** 2)}" for _ in range(n)]
+    items = [(f"i{k}", " ".join(fill(90))) for k in range(30)]
+    docs = [(k, " ".join(fill(rng.randrange(20, 300)))) for k in range(400)]
+    planted = set()
+    for k in range(100):
+        name, text = rng.choice(items)
+        a = rng.randrange(66)
+        stretch = text.split(" ")[a : a + 24]
+        for i in range(0, 24, 6):
+            j = i + rng.randrange(6)
+            stretch[j] = rng.choice([f"new{k}", stretch[j] + f" new{k}", *fill(1)])
+        before, after = fill(rng.randrange(60)), fill(rng.randrange(60))
+        docs.append((1000 + k, " ".join([*before, *stretch, *after])))
+        planted.add((1000 + k, name))
+    got = {(r.doc_id, r.item_id) for r in leakage.paraphrases(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "id string, state string")).collect()}
+    assert len(got & planted) >= 0.9 * len(planted) and len(got - planted) <= 0.02 * len(docs)
+
+
+@pytest.mark.parametrize("cosine", [0.7, 0.95])
+def test_cells_lose_nothing(cosine):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((40, 64))
+    places = (base[rng.integers(0, 40, 3000)] + 0.4 * rng.standard_normal((3000, 64))).astype(np.float32)
+    asked = (base[rng.integers(0, 40, 500)] + 0.4 * rng.standard_normal((500, 64))).astype(np.float32)
+    asked[:50] = places[:50]
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = unit(asked.astype(float)) @ unit(places.astype(float)).T
+    mine, other, value = leakage.CellIndex(places, cosine).near(asked)
+    got = set(zip(mine.tolist(), other.tolist()))
+    assert {tuple(x) for x in np.argwhere(score >= cosine + 1e-4).tolist()} <= got <= {tuple(x) for x in np.argwhere(score >= cosine - 1e-4).tolist()} and len(got) >= 50
+    assert np.allclose(value, score[mine, other], atol=1e-4)
+
+
 def test_lcs():
     assert leakage.lcs_length([1, 2, 3, 4, 5], [2, 9, 4, 5, 1]) == 3 and leakage.lcs_length([], [1]) == 0
 
