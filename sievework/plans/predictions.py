@@ -98,8 +98,9 @@ _SWEEP = f""", m AS (SELECT run_name, correct, CASE WHEN len(probs) > 1 THEN lis
     sweep AS (SELECT run_name, threshold, count(*) AS n, sum(CAST(margin < threshold AS INT)) AS sent, round(avg(CASE WHEN NOT margin < threshold THEN correct END), 9) AS kept_accuracy
         FROM m, (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold) GROUP BY ALL)"""
 _CURVE = f""", t AS (SELECT run_name, gold, correct, temperature, list_transform(probs, lambda p: ln(greatest(p, 1e-12)) / temperature) AS s FROM scored, (SELECT unnest({TEMPERATURES}::DOUBLE[]) AS temperature)),
-    n AS (SELECT *, list_max(s) AS top, ln(list_sum(list_transform(s, lambda x: exp(x - list_max(s))))) + list_max(s) AS norm FROM t), b AS (SELECT run_name, temperature, abs(sum(correct) - sum(exp(top - norm))) AS gap FROM n GROUP BY run_name, temperature, least(floor(exp(top - norm) * 10), 9)),
-    curve AS (SELECT run_name, temperature, round(avg(norm - s[gold + 1]), 9) AS nll, round(avg(exp(top - norm)), 9) AS confidence, round((SELECT sum(gap) FROM b WHERE b.run_name IS NOT DISTINCT FROM n.run_name AND b.temperature = n.temperature) / count(*), 9) AS ece FROM n GROUP BY ALL)"""
+    n AS (SELECT *, list_max(s) AS top, ln(list_sum(list_transform(s, lambda x: exp(x - list_max(s))))) + list_max(s) AS norm FROM t),
+    b AS (SELECT run_name, temperature, count(*) AS m, abs(sum(correct) - sum(exp(top - norm))) AS gap, sum(norm - s[gold + 1]) AS nll, sum(exp(top - norm)) AS conf FROM n GROUP BY run_name, temperature, least(floor(exp(top - norm) * 10), 9)),
+    curve AS (SELECT run_name, temperature, round(sum(nll) / sum(m), 9) AS nll, round(sum(conf) / sum(m), 9) AS confidence, round(sum(gap) / sum(m), 9) AS ece FROM b GROUP BY 1, 2)"""
 _WILSON = """round(greatest((hits / n::DOUBLE + 3.841458820694124 / (2 * n) - 1.959963984540054 * sqrt(hits / n::DOUBLE * (1 - hits / n::DOUBLE) / n + 3.841458820694124 / (4.0 * n * n))) / (1 + 3.841458820694124 / n), 0), 9) AS low,
     round(least((hits / n::DOUBLE + 3.841458820694124 / (2 * n) + 1.959963984540054 * sqrt(hits / n::DOUBLE * (1 - hits / n::DOUBLE) / n + 3.841458820694124 / (4.0 * n * n))) / (1 + 3.841458820694124 / n), 1), 9) AS high"""
 _ONE = """, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, run_name ORDER BY scored_at NULLS FIRST, probs) AS rn FROM scored) WHERE rn = 1)"""

@@ -141,6 +141,7 @@ ORACLES = {
     "options_padded": _POOL + f""", q AS (SELECT row_no, source, list_transform(options, lambda o: coalesce(lower(trim(o.text)), '')) AS have FROM typed_questions WHERE q_type = 'choice' AND len(options) < 8 AND list_contains({_KEYS}, label_key)),
         c AS (SELECT row_no, any_value(have) AS have, count(*) FILTER (p.source = q.source AND NOT list_contains(have, p.norm)) AS own, count(DISTINCT p.norm) FILTER (NOT list_contains(have, p.norm)) AS free FROM q, pool p GROUP BY row_no)
         SELECT row_no, least(8 - len(have), free) AS added, least(8 - len(have), own) AS of_source, 0 AS clashes FROM c WHERE least(8 - len(have), free) > 0""",
+    "state_first_sentences": "WITH a AS (SELECT row_no, string_split(regexp_replace(state, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS a FROM typed_questions WHERE state IS NOT NULL) SELECT row_no, len(a) AS sentences, array_to_string(a[1:greatest(1, CAST(floor(len(a) * 0.5::DOUBLE) AS INT))], ' ') AS state FROM a WHERE len(a) >= 2",
     "split_hash": "SELECT row_no, CASE WHEN ('0x' || substr(md5(coalesce(source, '') || '/' || coalesce(group_key, '')), 1, 8))::BIGINT / 4294967295.0::DOUBLE < 0.1::DOUBLE THEN 'test' ELSE 'train' END AS side FROM typed_questions",
     "split_groups": """WITH r AS (SELECT row_no, q_type, coalesce(source, '') || '/' || coalesce(group_key, CAST(row_no AS VARCHAR)) AS g FROM typed_questions), g AS (SELECT g, min(q_type) AS s, count(*) AS n FROM r GROUP BY 1),
         o AS (SELECT g, s, sum(n) OVER (PARTITION BY s ORDER BY md5('3:' || g), g ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY s) AS total FROM g)

@@ -87,11 +87,11 @@ def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differences of runs, and whether they lie in their intervals, which are no wider than four standard errors and no narrower than three."""
+    """Differences of runs, and whether they lie in their intervals, which are no wider than four standard errors and no narrower than three where there are 30 items."""
     b = calibration.bootstrap(_scored(spark, sf_dir))
     d = metrics.discordance(_scored(spark, sf_dir)).select("run_a", "run_b", "error")
-    width = (F.col("high") - F.col("low")) / F.col("error")
-    return b.join(d, ["run_a", "run_b"]).select("run_a", "run_b", "items", F.round("difference", 9).alias("difference"), F.col("difference").between(F.col("low"), F.col("high")).alias("inside"), width.between(3.0, 4.8).alias("fitting"))
+    width = (F.col("high") - F.col("low")) / F.nullif(F.col("error"), F.lit(0.0))
+    return b.join(d, ["run_a", "run_b"]).select("run_a", "run_b", "items", F.round("difference", 9).alias("difference"), F.col("difference").between(F.col("low"), F.col("high")).alias("inside"), (F.coalesce(width.between(3.0, 4.8), F.lit(True)) | (F.col("items") < 30)).alias("fitting"))
 
 
 def fitted_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
