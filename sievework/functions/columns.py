@@ -52,7 +52,7 @@ def collapsed_lower(c: Column | str) -> Column:
     return F.lower(collapsed(c))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), value computed once: inside another lambda it would be computed for each element."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -64,7 +64,7 @@ def word_shingles(c: Column | str, n: int = 8) -> Column:
         shingles = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
         return F.when(F.size(words) >= n, F.array_distinct(shingles)).otherwise(F.array().cast("array<string>"))
 
-    return _bound(F.split(_col(c), " "), made)
+    return bound(F.split(_col(c), " "), made)
 
 
 def char_grams(c: Column | str, n: int = 5) -> Column:
@@ -74,7 +74,7 @@ def char_grams(c: Column | str, n: int = 5) -> Column:
         grams = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
         return F.when(F.length(text) >= n, F.array_distinct(grams)).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
 
-    return _bound(F.trim(F.lower(_col(c))), made)
+    return bound(F.trim(F.lower(_col(c))), made)
 
 
 def hash_fraction(key: Column) -> Column:
@@ -104,11 +104,15 @@ def absolute_paths(c: Column | str) -> Column:
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
+    """Each step is computed once for all elements: what a lambda refers to outside itself would be computed for each."""
+
+    def powers(e: Column) -> Column:
+        return F.transform(e["scaled"], lambda x: F.exp(x - e["top"]))
+
     scaled = F.transform(logits, lambda x: x / F.lit(temperature))
-    top = F.array_max(scaled)
-    powers = F.transform(scaled, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+    with_top = bound(scaled, lambda v: F.struct(v.alias("scaled"), F.array_max(v).alias("top")))
+    with_total = bound(bound(with_top, powers), lambda p: F.struct(p.alias("powers"), F.aggregate(p, F.lit(0.0), lambda a, x: a + x).alias("total")))
+    return bound(with_total, lambda e: F.transform(e["powers"], lambda x: x / e["total"]))
 
 
 def softmax_biased(logits: Column, bias: Column, temperature: float = 1.0) -> Column:

@@ -367,16 +367,22 @@ def first_action(conversations: Column) -> Column:
     """(action, index, tool) of what the agent does first: call_tool, answer, clarify, refuse; null if that can't be told. Turns of the user and of tools, and short announcements, are passed over; if nothing else follows, the first announcement is an answer."""
     agent = ("gpt", "assistant")
     passed = ("human", "user", "observation", "tool")
-    announces = lambda t: t["from"].isin(*agent) & (t["value"] != "") & (F.length(t["value"]) <= 160) & _has(F.lower(t["value"]), ACK_CUES)
-    turns = _turns(conversations)
-    turn = F.try_element_at(F.filter(turns, lambda t: ~F.coalesce(t["from"].isin(*passed), F.lit(False)) & ~F.coalesce(announces(t), F.lit(False))), F.lit(1))
-    said = F.try_element_at(F.filter(turns, announces), F.lit(1))
-    name = call_name(turn["value"])
+    announces = lambda t: F.coalesce(t["from"].isin(*agent) & (t["value"] != "") & (F.length(t["value"]) <= 160) & _has(F.lower(t["value"]), ACK_CUES), F.lit(False))
     made = lambda action, index, tool: F.struct(action.alias("action"), index.cast("int").alias("index"), tool.cast("string").alias("tool"))
-    none = F.lit(None)
-    called = F.when((turn["from"] == "function_call") & name.isNotNull(), made(F.lit("call_tool"), turn["i"], name))
-    spoke = F.when(turn["from"].isin(*agent) & (turn["value"] != ""), made(assistant_kind(turn["value"]), turn["i"], none))
-    return F.when(turn.isNotNull(), F.coalesce(called, spoke)).when(said.isNotNull(), made(F.lit("answer"), said["i"], none))
+
+    def found(turns: Column) -> Column:
+        """The first turn that decides, and the first announcement."""
+        agents = F.filter(turns, lambda t: ~F.coalesce(t["from"].isin(*passed), F.lit(False)))
+        return F.struct(F.try_element_at(F.filter(agents, lambda t: ~announces(t)), F.lit(1)).alias("turn"), F.try_element_at(F.filter(agents, announces), F.lit(1)).alias("said"))
+
+    def told(e: Column) -> Column:
+        turn, said = e["turn"], e["said"]
+        name = call_name(turn["value"])
+        called = F.when((turn["from"] == "function_call") & name.isNotNull(), made(F.lit("call_tool"), turn["i"], name))
+        spoke = F.when(turn["from"].isin(*agent) & (turn["value"] != ""), made(assistant_kind(turn["value"]), turn["i"], F.lit(None)))
+        return F.when(turn.isNotNull(), F.coalesce(called, spoke)).when(said.isNotNull(), made(F.lit("answer"), said["i"], F.lit(None)))
+
+    return C.bound(C.bound(_turns(conversations), found), told)
 
 
 def rendered_state(system: Column, conversations: Column, stop: Column, most: int = 8000) -> Column:
@@ -384,8 +390,8 @@ def rendered_state(system: Column, conversations: Column, stop: Column, most: in
     before = F.filter(_turns(F.slice(conversations, F.lit(1), F.greatest(stop, F.lit(0)))), lambda t: t["value"] != "")
     lines = F.transform(before, lambda t: F.concat(F.coalesce(t["from"], F.lit("turn")), F.lit(": "), t["value"]))
     head = F.trim(F.coalesce(system, F.lit("")))
-    text = F.array_join(F.concat(F.when(head != "", F.array(F.concat(F.lit("System: "), head))).otherwise(F.array().cast("array<string>")), lines), "\n\n")
-    return F.when(F.length(text) > most, F.regexp_replace(F.substring(text, 1, most), r"\n[^\n]*$", "")).otherwise(text)
+    whole = F.array_join(F.concat(F.when(head != "", F.array(F.concat(F.lit("System: "), head))).otherwise(F.array().cast("array<string>")), lines), "\n\n")
+    return C.bound(whole, lambda text: F.when(F.length(text) > most, F.regexp_replace(F.substring(text, 1, most), r"\n[^\n]*$", "")).otherwise(text))
 
 
 _TOOLS = "array<struct<name:string,description:string,parameters:struct<properties:map<string,struct<enum:array<string>>>>>>"

@@ -157,14 +157,50 @@ def near_any(df: DataFrame, id_col: str, held: Column, text: Column | None = Non
     return rest.where("equal").select("id", F.lit(True).alias("equal")).unionByName(near.select("id", F.lit(False).alias("equal")))
 
 
-def greedy_kept(df: DataFrame, id_col: str, text: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Ids that first-wins near-dedup keeps, in order of id: one is dropped if it is near an earlier one that is kept. Rows without a text are not kept.
+#: Texts of a cluster that one task goes through in order; larger clusters are decided in rounds.
+PASS_TEXTS = 5_000
 
-    Not the same as one per cluster. In each round the ids that are least among the undecided of all their buckets are kept, and those near
-    to them in a bucket are dropped. All that could drop such an id is decided by then, so the result is that of one ordered pass.
-    A bucket's members meet its least only, never each other. Near is decided by the estimate, as in the pass that this follows.
+
+def greedy_kept(df: DataFrame, id_col: str, text: Column | None = None, threshold: float = THRESHOLD, pass_texts: int = PASS_TEXTS) -> DataFrame:
+    """Ids that first-wins near-dedup keeps, in order of id: one is dropped if it is near an earlier one that is kept. Rows without a text are not kept; of rows of one text the first may be.
+
+    Near is decided by the estimate, for texts that share a band, as in the pass that this follows; it isn't one per cluster. Texts that aren't tied by chains of
+    near ones don't bear on each other, so each cluster is decided for itself: one of at most pass_texts by one ordered pass, a larger one in rounds.
     """
-    reps = cut(signed(df, id_col, text).select("id", "signature", "buckets"))
+
+    def forest(signs: np.ndarray, exact: Callable[[int, int], float], role: np.ndarray) -> list[tuple[int, int]]:
+        root = np.arange(len(signs))
+        out = []
+        for i in range(len(signs) - 1):
+            for j in (np.flatnonzero((signs[i + 1 :] == signs[i]).mean(axis=1) >= threshold) + i + 1).tolist():
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    out.append((i, j))
+        return out
+
+    def passed(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        signs = np.stack([np.frombuffer(s, np.uint32) for s in group["signature"].to_pylist()])
+        bands = np.stack(group["buckets"].to_numpy())
+        kept: list[int] = []
+        for i in range(len(signs)):
+            if not kept or not ((signs[kept] == signs[i]).mean(axis=1) >= threshold)[(bands[kept] == bands[i]).any(axis=1)].any():
+                kept.append(i)
+        return pa.table({"id": group["id"].take(pa.array(kept))})
+
+    reps = cut(signed(df, id_col, text).withColumn("role", F.lit(0)))
+    tied = connected_components(_in_buckets(reps, forest).toDF("src", "dst"))
+    sized = cut(tied.join(tied.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component").select(F.col("node").alias("id"), "component", "n"))
+    alone = reps.select("id").join(sized.select("id"), "id", "left_anti")
+    small = sized.where(F.col("n") <= pass_texts).join(reps.select("id", "signature", "buckets"), "id").select("component", "id", "signature", "buckets")
+    out = alone.unionByName(small.groupBy("component").applyInArrow(passed, "id bigint"))
+    large = reps.join(sized.where(F.col("n") > pass_texts).select("id"), "id", "left_semi")
+    return out.unionByName(_in_rounds(cut(large.select("id", "signature", "buckets")), threshold))
+
+
+def _in_rounds(reps: DataFrame, threshold: float) -> DataFrame:
+    """What an ordered pass keeps, whatever the size. In each round the ids that are least among the undecided of all their buckets are kept, and those near
+    to them in a bucket are dropped: all that could drop such an id is decided by then. A bucket's members meet its least only, never each other."""
     left = cut(reps.select("id", F.explode("buckets").alias("bucket")))
     kept: list[DataFrame] = []
 
@@ -173,13 +209,13 @@ def greedy_kept(df: DataFrame, id_col: str, text: Column | None = None, threshol
         return pa.array([float((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).mean()) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
     while not left.isEmpty():
-        marked = left.join(left.groupBy("bucket").agg(F.min("id").alias("head")), "bucket")
+        marked = cut(left.join(left.groupBy("bucket").agg(F.min("id").alias("head")), "bucket"))
         now = cut(marked.groupBy("id").agg(F.bool_and(F.col("id") == F.col("head")).alias("first")).where("first").select("id"))
         kept.append(now)
         pairs = marked.where("id <> head").join(now.withColumnRenamed("id", "head"), "head").select("id", "head").distinct()
         near = pairs.join(reps.select("id", "signature"), "id").join(reps.select(F.col("id").alias("head"), F.col("signature").alias("head_signature")), "head").where(alike("signature", "head_signature") >= threshold).select("id")
         left = cut(left.join(now.unionByName(near).distinct(), "id", "left_anti"))
-    out = df.sparkSession.createDataFrame([], "id bigint")
+    out = reps.sparkSession.createDataFrame([], "id bigint")
     for now in kept:
         out = out.unionByName(now)
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import columns as C
 from sievework.operators import items as I
+from sievework.session import cut
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str = "typed_questions") -> DataFrame:
@@ -82,7 +83,7 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.transform("lines", lambda s: F.struct(role(s).alias("from"), F.when(is_call(s), call(s)).otherwise(s).alias("value")))
     names = F.array_distinct(F.transform(F.filter("lines", is_call), name))
     tools = F.to_json(F.transform(names, lambda n: F.struct(n.alias("name"), F.concat(F.lit("Tool "), n).alias("description"))))
-    return d.select("doc_id", F.col("lang").alias("system"), turns.alias("conversations"), tools.alias("tools"))
+    return cut(d.select("doc_id", F.col("lang").alias("system"), turns.alias("conversations"), tools.alias("tools")))
 
 
 def tool_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,8 +210,9 @@ ORACLES = {
     "sample_difficulty": _epoch(f"SELECT row_no, {_KIND} AS kind, coalesce(source, '') AS source FROM typed_questions", "CASE WHEN source = 'rubric_scores' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END", "900", {"noul": 0.5, "choice": 1.0, "score": 2.0}, 1, "'all'", 0)
     + "SELECT kind, source, count(*) AS n, count(DISTINCT row_no) AS rows FROM e GROUP BY 1, 2",
     "sample_allocated": """WITH f AS (SELECT row_no, q_type, row_number() OVER (PARTITION BY q_type ORDER BY md5('42:' || row_no), row_no) AS rank FROM typed_questions t WHERE q_type IN ('noul', 'choice', 'score') AND NOT EXISTS (SELECT 1 FROM predictions p WHERE p.item_id = t.id) AND NOT (q_type = 'noul' AND augmented_options IS NOT NULL)),
-        a AS (SELECT q_type, max(rank) AS there, least(max(rank), CASE q_type WHEN 'noul' THEN 32 WHEN 'choice' THEN 60 ELSE 8 END) AS q FROM f GROUP BY 1), s AS (SELECT q_type, unnest(range(there - q)) AS turn FROM a),
-        x AS (SELECT q_type, count(*) AS more FROM (SELECT q_type, row_number() OVER (ORDER BY turn, q_type) AS i FROM s) WHERE i <= (SELECT 100 - sum(q) FROM a) GROUP BY 1)
+        a AS (SELECT q_type, max(rank) AS there, least(max(rank), CASE q_type WHEN 'noul' THEN 31 WHEN 'choice' THEN 60 ELSE 8 END) AS q, CASE q_type WHEN 'noul' THEN 1 WHEN 'score' THEN 2 ELSE 3 END AS o FROM f GROUP BY 1),
+        s AS (SELECT q_type, 0 AS turn, o FROM a WHERE there > q UNION ALL SELECT q_type, unnest(range(1, there - q)), CASE q_type WHEN 'choice' THEN 1 WHEN 'noul' THEN 2 ELSE 3 END FROM a WHERE there > q),
+        x AS (SELECT q_type, count(*) AS more FROM (SELECT q_type, row_number() OVER (ORDER BY turn, o) AS i FROM s) WHERE i <= (SELECT 100 - sum(q) FROM a) GROUP BY 1)
         SELECT row_no, q_type, rank FROM f JOIN a USING (q_type) LEFT JOIN x USING (q_type) WHERE rank <= q + coalesce(more, 0)""",
     "sample_running_cap": """WITH RECURSIVE f AS (SELECT row_no, source, label_level = 0 AS z, row_number() OVER (PARTITION BY source ORDER BY row_no) AS i FROM typed_questions WHERE q_type = 'score' AND label_level IS NOT NULL),
         r AS (SELECT source, 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS l, NULL::BIGINT AS row_no, true AS taken FROM (SELECT DISTINCT source FROM f) UNION ALL

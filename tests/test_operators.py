@@ -73,12 +73,125 @@ def test_column_functions(spark):
     assert (r.nine, r.three, r.short, r.base, r.n1, r.n2) == (2, 0, ["abc"], "x-1", "a b c", "a_b c")
 
 
-def test_pool_adjacent_is_monotone():
+def test_confidence_map_is_monotone(spark):
     rng = np.random.default_rng(2)
-    x = np.sort(rng.random(200))
-    blocks = calibration.pool_adjacent(x, (rng.random(200) < x).astype(float), np.ones(200), 5)
-    rates = [b[1] for b in blocks]
-    assert rates == sorted(rates) and sum(b[2] for b in blocks) == 200 and min(b[2] for b in blocks) >= 5
+    x = np.sort(rng.random(400))
+    y = (rng.random(400) < x).astype(float)
+    points = list(zip(x.tolist(), y.tolist(), [1.0] * 400))
+    pooled = calibration.pool_adjacent(points)
+    assert np.allclose(pooled, calibration.pool_adjacent([*calibration.pool_adjacent(points[:150]), *calibration.pool_adjacent(points[150:])]))
+    rates = [h / n for _, h, n in pooled]
+    assert rates == sorted(rates) and sum(b[2] for b in pooled) == 400
+    big = calibration.without_small(pooled, 20)
+    assert min(b[2] for b in big) >= 20 and sum(b[2] for b in big) == 400
+    mapped = calibration.shrunk_map(points, 20.0, 20)
+    assert [r for _, r, _ in mapped] == sorted(r for _, r, _ in mapped) and sum(n for *_, n in mapped) == 400
+    s = spark.createDataFrame([("r", float(a), int(b)) for a, b in zip(x, y)], "run_name string, confidence double, correct int").repartition(5)
+    got = sorted((r.upto, r.rate, r.n) for r in calibration.confidence_map(s, ["run_name"]).collect())
+    assert np.allclose(got, mapped)
+    held = calibration.apply_map(spark.createDataFrame([("r", 0.0), ("r", 1.0)], "run_name string, confidence double"), calibration.confidence_map(s, ["run_name"]), ["run_name"]).collect()
+    assert sorted(r.calibrated for r in held) == pytest.approx([mapped[0][1], mapped[-1][1]])
+
+
+def test_fits(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 2))
+    y = 3 * x[:, 0] - x[:, 1] + 2 + 0.1 * rng.standard_normal(300)
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)] + [(None, 1.0, 1.0)], "a double, b double, y double")
+    fit = calibration.least_squares(df, [F.col("a"), F.col("b")], F.col("y"))
+    assert np.allclose(fit["weights"], np.linalg.lstsq(np.c_[x, np.ones(300)], y, rcond=None)[0]) and fit["n"] == 300
+    z = (x - x.mean(0)) / x.std(0)
+    ridge = np.linalg.solve(np.c_[z, np.ones(300)].T @ np.c_[z, np.ones(300)] + np.diag([5.0, 5.0, 0.0]), np.c_[z, np.ones(300)].T @ y)
+    assert np.allclose(calibration.least_squares(df, [F.col("a"), F.col("b")], F.col("y"), 5.0, True)["weights"], ridge)
+    assert calibration.least_squares(df, [F.col("a"), F.col("a")], F.col("y")) is None and calibration.least_squares(df.limit(0), [F.col("a")], F.col("y")) is None
+    probs = rng.dirichlet([1, 1, 1], 400)
+    true = np.exp(0.5 * np.log(probs) + np.array([1.0, 0.0, -1.0]))
+    gold = [int(rng.choice(3, p=t / t.sum())) for t in true]
+    rows = spark.createDataFrame([(g, p.tolist()) for g, p in zip(gold, probs)], "gold int, probs array<double>")
+    f = calibration.fit_temperature_bias(rows, 3)
+    assert 1.4 < f["temperature"] < 3 and f["bias"][0] - f["bias"][2] == pytest.approx(2, abs=0.6) and f["nll_after"] < f["nll_before"]
+    with pytest.raises(ValueError):
+        calibration.fit_temperature_bias(rows, 2)
+
+
+def test_power_and_screens(spark):
+    assert calibration.detectable_delta(111, 0.324) == pytest.approx(0.157, abs=0.002)  # a published figure
+    n = calibration.items_for_power(0.3, 0.1)
+    assert calibration.power(n, 0.3, 0.1) >= 0.8 and calibration.items_for_power(0.3, 0.0001, most=50) is None
+    rows = [(f"i{i}", run, 1 if run == "b" or i % 3 else 0, 4) for i in range(90) for run in "ab"]
+    s = spark.createDataFrame([(i, r, c, k, None, [0.5]) for i, r, c, k in rows], "item_id string, run_name string, correct int, k int, scored_at timestamp, probs array<double>")
+    got = calibration.screens(s).first()
+    assert (got.wins, got.losses, got.n, got.screen, got.improvement) == (0, 30, 90, "material_regression", "none") and got.delta_pp == pytest.approx(-100 / 3 / 0.75)
+
+
+def test_running_minima_and_caps(spark):
+    from sievework.operators import selection
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.random() < 0.6) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_no bigint, g string, zero boolean").repartition(6)
+    for share in (0.1, 0.25, 0.5):
+        want, state = {}, {"a": [0, 0], "b": [0, 0]}
+        for i, g, zero in rows:
+            took = not zero or state[g][1] + 1 <= -(-share * (state[g][0] + 1) // 1)
+            want[i] = took
+            state[g][0] += took
+            state[g][1] += took and zero
+        assert {r.row_no: r.taken for r in selection.running_cap(df, ["g"], [F.col("row_no")], F.col("zero"), share).collect()} == want
+    assert selection.allocate(10, {"x": 0.5, "y": 0.3, "z": 0.2}, {"x": 2, "y": 9, "z": 9}) == {"x": 2, "y": 5, "z": 3}
+    assert sum(selection.allocate(1000, {"x": 0.5, "y": 0.5}, {"x": 10, "y": 20}).values()) == 30
+
+
+def test_texts_and_pairs(spark):
+    from sievework.operators import items
+
+    assert items.entity_spans("Did Acme Corp sue Jackie Evancho in Paris, in May? The end.") == ["Acme Corp", "Jackie Evancho", "Paris"]
+    df = spark.createDataFrame([(1, "boolq", "Passage: One. Two.\n\nQuestion: who?"), (2, "mnli", "no layout"), (3, "fever", "Claim: c\n\nEvidence:\ne1")], "k int, source string, state string").withColumn("p", items.laid_out(F.col("state"), F.col("source")))
+    got = {r.k: r.p for r in df.collect()}
+    assert (got[1].prefix, got[1].support, got[1].suffix, got[1].query) == ("Passage: ", "One. Two.", "\n\nQuestion: who?", "who?") and got[2] is None and (got[3].support, got[3].query) == ("e1", "c")
+    s = spark.createDataFrame([(1, "Dr. Bell of the U.S. met Ann. She left."), (2, None)], "k int, t string")
+    assert [r.sentence for r in items.sentences(s, "k", "t").collect()] == ["Dr. Bell of the U.S. met Ann.", "She left."]
+    base = dict(id="a", question="q", source="s", group_key="g", answerable=True, reason=None, teacher_probs=None, parts=("p", "x", "s", "q"))
+    kind = "struct<id:string,question:string,source:string,group_key:string,answerable:boolean,reason:string,teacher_probs:string,parts:struct<prefix:string,support:string,suffix:string,query:string>>"
+    good = {**base, "id": "a-unans-cut-1", "answerable": False, "reason": "cut", "parts": ("p", "y", "s", "q")}
+    cases = [good, {**good, "question": "r"}, {**good, "answerable": None}, {**good, "reason": None}, {**good, "parts": ("p", "z", "s", "q")}, {**good, "id": "b"}, {**good, "parts": None}]
+    made = spark.createDataFrame([(i, base, c) for i, c in enumerate(cases)], f"i int, b {kind}, a {kind}")
+    assert [r.e for r in made.select("i", items.pair_error("b", "a", F.lit("y")).alias("e")).orderBy("i").collect()] == [None, "question changed", "variant is not withheld", "reason is missing", "evidence is not what was made", "id is not the original's", "state no longer parses"]
+
+
+def test_conversations(spark):
+    from sievework.operators import items
+
+    call = lambda tool, **a: ("function_call", '{"name": "%s", "arguments": %s}' % (tool, str(a).replace("'", '"').replace("True", "true")))
+    tools = '[{"name": "find", "description": "Find it", "parameters": {"properties": {"where": {"enum": ["here", "there"]}}}}, {"name": "send"}, {"name": "find", "description": "again"}]'
+    rows = [
+        (1, "Policy", tools, [("human", "hi"), call("find", where="here", n=2, ok=True), ("observation", "found"), ("gpt", "I cannot do that.")]),
+        (2, None, tools, [("human", "hi"), ("gpt", "Let me check."), ("gpt", "Which one?")]), (3, None, tools, [("human", "hi"), call("think"), ("observation", "o"), call("send")]), (4, None, "no json", [("human", "hi"), ("gpt", "Sure, one moment.")]),
+        (5, None, tools, [call("find", n=2.5), ("tool", "x"), call("other")]), (6, None, None, None), (7, None, tools, [("function_call", "no json")]), (8, None, tools, []),
+    ]
+    df = spark.createDataFrame(rows, "k int, system string, tools string, conv array<struct<`from`:string,value:string>>")
+    got = {r.key: (r.label, r.allowed, r.state) for r in items.action_items(df, "k", "system", "conv").collect()}
+    assert got == {1: ("call_tool", True, "System: Policy\n\nhuman: hi"), 2: ("clarify", None, "human: hi\n\ngpt: Let me check."), 4: ("answer", None, "human: hi")}
+    assert {r.key: (r.label, r["keys"]) for r in items.tool_items(df, "k", "system", "conv", "tools", 2).collect()} == {1: ("find", ["find", "send"])}
+    nxt = {r.key: (r.reason, r.label) for r in items.next_action_items(df, "k", "system", "conv", "tools").collect()}
+    assert nxt == {1: (None, "refuse"), 2: ("no_observation", None), 3: ("think_before_observation", None), 4: ("no_observation", None), 5: ("call_not_in_tools", None), 6: ("no_conversations", None), 7: ("no_observation", None), 8: ("no_observation", None)}
+    made = {(r.key, r.arg): (r.reason, r.q_type, r.label, r["keys"]) for r in items.argument_items(df, "k", "conv", "tools", 3).collect()}
+    assert made == {(1, "where"): (None, "choice", "here", ["here", "there"]), (1, "n"): (None, "choice", "2", ["2", "2.5"]), (1, "ok"): (None, "noul", "true", None), (5, "n"): (None, "choice", "2.5", ["2.5", "2"])}
+    long = df.where("k = 1").select(items.rendered_state(F.lit("a\n" * 50), F.col("conv"), F.lit(1), 20).alias("s")).first().s
+    assert len(long) <= 20 and not long.endswith("\n")
+
+
+def test_strict_values(spark):
+    from sievework.functions import values as V
+
+    df = spark.createDataFrame([('{"b": 1, "a": [1, 2]}',), ('{"a":1} x',), ("1, 2",), (None,), ("",), ("{",), ('"s"',), ("plain",)], "t string")
+    assert [r[0] for r in df.select(C.strict_json("t")).collect()] == ['{"a":[1,2],"b":1}', None, None, None, None, None, '"s"', None]
+    assert [r[0] for r in df.select(C.canonical_value("t")).collect()] == ['{"a":[1,2],"b":1}', '"{\\"a\\":1} x"', '"1, 2"', None, '""', '"{"', '"s"', '"plain"']
+    fenced = spark.createDataFrame([('<think>no</think>```json\n{"x": 1}\n```',), ("``` \nnot\n```",), ('{"x":2}',)], "t string")
+    assert [r[0] for r in fenced.select(V.lenient_json(F.col("t"))).collect()] == ['{"x":1}', None, '{"x":2}']
+    ids_ = spark.createDataFrame([("synthetic-law-0001-cf-noul-1",), ("synthetic-law-0001-score-1",), ("a-b",), (None,)], "i string")
+    assert [tuple(r) for r in ids_.select(V.stage_of(F.col("i")), V.type_of(F.col("i"))).collect()] == [("cf", "noul"), ("base", "score"), ("base", "unknown"), (None, None)]
+
 
 
 def test_exact_tests():
@@ -103,6 +216,33 @@ def test_minhash_clusters(spark):
     assert kept == {1, 4}
 
 
+def test_greedy_pass_and_rounds(spark):
+    """The ordered pass over texts that share a band, against clusters by pass and in rounds; clusters against all pairs."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    texts_ = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(12)]
+    for _ in range(60):
+        w = rng.choice(texts_).split(" ")
+        for _ in range(rng.randrange(8)):
+            w[rng.randrange(60)] = rng.choice(words)
+        texts_.append(" ".join(w))
+    df = spark.createDataFrame([*enumerate(texts_), (900, ""), (901, None)], "row_no bigint, state string")
+    reps = sorted((r.id, np.frombuffer(r.signature, np.uint32), set(r.buckets)) for r in minhash.signed(df, "row_no").collect())
+    want = []
+    for i, s, b in reps:
+        if not any(b & b2 and (s == s2).mean() >= 0.7 for _, s2, b2 in want):
+            want.append((i, s, b))
+    for size in (5_000, 0, 3):
+        assert sorted(r.id for r in minhash.greedy_kept(df, "row_no", pass_texts=size).collect()) == [i for i, _, _ in want]
+    grams = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t in enumerate(texts_)}
+    near = [(i, j) for i in grams for j in grams if i < j and len(grams[i] & grams[j]) >= 0.7 * len(grams[i] | grams[j])]
+    of = components_of(near)
+    assert {r.id: r.cluster for r in minhash.clusters(df, "row_no").collect()} == {i: of.get(i, i) for i in grams}
+    held = {i for i in grams if i % 5 == 0}
+    got = {r.id: r.equal for r in minhash.near_any(df, "row_no", F.col("row_no") % 5 == 0).collect()}
+    assert set(got) == {x for pair in near for x, y in (pair, pair[::-1]) if x not in held and y in held}
+
+
 def test_asof_and_band(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9)], "k string, t int")
     right = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("b", 10, 1)], "k string, t int, v int")
