@@ -79,10 +79,10 @@ def acceptable(candidate: Column, gold: Column, state: Column) -> Column:
 _ROUNDS = 6
 
 
-def distractors(examples: DataFrame, pool: DataFrame, k: int, seed: int) -> DataFrame:
-    """k - 1 texts of the pool for each example, drawn by hash from those that are acceptable: key, picked (array), null where there aren't as many. Exact: no example goes without that could be served.
+def distractors(examples: DataFrame, pool: DataFrame, seed: int) -> DataFrame:
+    """As many texts of the pool as each example wants, drawn by hash from those that are acceptable: key, picked (array), null where there aren't as many. Exact: no example goes without that could be served.
 
-    examples: key (unique), gold, state, kind, forbidden (array of plain texts that must not be taken); yes_no and empty kinds get none. pool: text; its texts count once by plain form.
+    examples: key (unique), gold, state, kind, forbidden (array of plain texts that must not be taken), want (1 or more); yes_no and empty kinds get none. pool: text; its texts count once by plain form.
 
     The pool is numbered by kind and length, so what is right in kind and length for an example is a stretch of numbers. It draws some of them; what doesn't
     fit is thrown away, and examples that lack some draw twice as many. Few texts stand in a state, so that is rare; nothing is compared with the whole pool.
@@ -92,21 +92,21 @@ def distractors(examples: DataFrame, pool: DataFrame, k: int, seed: int) -> Data
     numbered = cut(running_sums(typed, ["kind"], [F.col("len"), F.col("norm")], {}))
     ends = numbered.groupBy("kind", "len").agg(F.max("_n").alias("upto")).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("len", "upto"))).alias("ends"))  # as many as there are lengths
     gold = plain(F.col("gold"))
-    base = examples.where(~F.col("kind").isin("yes_no", "empty")).select("key", gold.alias("gold"), plain(F.col("state")).alias("state"), "kind", "forbidden", F.length(gold).alias("len"))
+    base = examples.where(~F.col("kind").isin("yes_no", "empty")).select("key", gold.alias("gold"), plain(F.col("state")).alias("state"), "kind", "forbidden", "want", F.length(gold).alias("len"))
     below = lambda most: F.coalesce(F.array_max(F.transform(F.filter("ends", lambda e: e["len"] <= most), lambda e: e["upto"])), F.lit(0))
     one = F.greatest(F.col("len"), F.lit(1))
-    left = base.join(ends, "kind").select("key", "gold", "state", "kind", "forbidden", below(F.ceil(one * 0.33 - 1e-9) - 1).alias("low"), below(F.floor(one * 3.0)).alias("high"))
-    left = cut(left.withColumn("size", F.col("high") - F.col("low")).where(F.col("size") >= k - 1))
+    left = base.join(ends, "kind").select("key", "gold", "state", "kind", "forbidden", "want", below(F.ceil(one * 0.33 - 1e-9) - 1).alias("low"), below(F.floor(one * 3.0)).alias("high"))
+    left = cut(left.withColumn("size", F.col("high") - F.col("low")).where(F.col("size") >= F.col("want")))
     done: list[DataFrame] = []
     for turn in range(_ROUNDS + 1):
-        most = F.lit(2 ** (turn + 1) * (k - 1) + 2) if turn < _ROUNDS else F.col("size")
+        most = F.lit(2 ** (turn + 1)) * F.col("want") + 2 if turn < _ROUNDS else F.col("size")
         drawn = left.withColumns({"row_no": F.col("key"), "m": F.least(F.col("size"), most.cast("bigint"))}).withColumn("numbers", F.transform(_numbers(F.col("size"), F.col("m"), f"{seed}:{turn}"), lambda i: i + F.col("low")))
         asked = drawn.select("key", F.explode(F.transform("numbers", lambda i: F.struct(F.col("kind").alias("kind"), i.alias("n")))).alias("at"))
         found = lookup(asked, numbered.select(F.struct("kind", F.col("_n").cast("bigint").alias("n")).alias("at"), "norm", "text"), "at", "key", how="inner").select("key", "norm", "text")
-        fits = found.join(left.select("key", "gold", "state", "forbidden"), "key").where(acceptable(F.col("norm"), F.col("gold"), F.col("state")) & ~F.array_contains("forbidden", F.col("norm")))
+        fits = found.join(left.select("key", "gold", "state", "forbidden", "want"), "key").where(acceptable(F.col("norm"), F.col("gold"), F.col("state")) & ~F.array_contains("forbidden", F.col("norm")))
         order = F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("key").cast("string"), "norm")).alias("d"), F.col("text").alias("text"))
-        per = fits.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k - 1).alias("o"))  # as many as were drawn
-        served = cut(per.where(F.size("o") >= k - 1).select("key", F.transform("o", lambda e: e["text"]).alias("picked")))
+        per = fits.groupBy("key", "want").agg(F.array_sort(F.collect_list(order)).alias("o"))  # as many as were drawn
+        served = cut(per.where(F.size("o") >= F.col("want")).select("key", F.transform(F.slice("o", F.lit(1), F.col("want")), lambda e: e["text"]).alias("picked")))
         done.append(served)
         rest = drawn.where("m < size").select("key")
         left = cut(left.join(rest, "key", "left_semi").join(served, "key", "left_anti"))
@@ -119,20 +119,17 @@ def distractors(examples: DataFrame, pool: DataFrame, k: int, seed: int) -> Data
 
 
 def choice_items(examples: DataFrame, pool: DataFrame, k: int, least: int, seed: int) -> DataFrame:
-    """Choice items of k options, or why there is none: key, reason (short_state, yes_no_answer, insufficient_distractors, duplicate_options; null for an item), keys and texts of the options in an order drawn by hash, label.
+    """Choice items of k options, or why there is none: key, reason (short_state, yes_no_answer, k_below_option_count, duplicate_options, insufficient_distractors; null for an item), texts of the options in an order drawn by hash, label.
 
     examples: key, question, gold, state, own (array of options that it has already, the gold among them, or empty), forbidden (further right answers).
     """
     own = F.when(F.size("own") > 0, F.col("own")).otherwise(F.array("gold"))
     rows = examples.withColumns({"own": own, "kind": expected_type(F.col("question"), F.col("gold"))}).withColumn("forbidden", F.transform(F.array_union("own", F.coalesce("forbidden", F.array().cast("array<string>"))), plain))
     early = first_rule([(F.length(F.coalesce("state", F.lit(""))) < least, "short_state"), (answer_type(F.col("gold")) == "yes_no", "yes_no_answer"), (F.size("own") > k, "k_below_option_count"), (F.size(F.array_distinct(F.transform("own", plain))) < F.size("own"), "duplicate_options")])
-    marked = cut(rows.withColumns({"reason": early, "needed": F.lit(k) - F.size("own")}))
-    made = None
-    for needed in sorted({r[0] for r in marked.where("reason IS NULL AND needed > 0").select("needed").distinct().toLocalIterator()}):  # fewer than k
-        part = distractors(marked.where((F.col("needed") == needed) & F.col("reason").isNull()).select("key", "gold", "state", "kind", "forbidden"), pool, needed + 1, seed)
-        made = part if made is None else made.unionByName(part)
-    joined = marked.join(made, "key", "left") if made is not None else marked.withColumn("picked", F.lit(None).cast("array<string>"))
-    reason = F.coalesce("reason", F.when((F.col("needed") > 0) & F.col("picked").isNull(), "insufficient_distractors"))
+    marked = cut(rows.withColumns({"reason": early, "want": F.lit(k) - F.size("own")}))
+    made = distractors(marked.where("reason IS NULL AND want > 0").select("key", "gold", "state", "kind", "forbidden", "want"), pool, seed)
+    joined = marked.join(made, "key", "left")
+    reason = F.coalesce("reason", F.when((F.col("want") > 0) & F.col("picked").isNull(), "insufficient_distractors"))
     texts = F.concat("own", F.coalesce("picked", F.array().cast("array<string>")))
     mixed = F.transform(F.array_sort(F.transform(texts, lambda t: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("key").cast("string"), t)).alias("d"), t.alias("t")))), lambda e: e["t"])
     out = joined.select("key", reason.alias("reason"), mixed.alias("texts"), "gold")

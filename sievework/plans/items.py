@@ -30,8 +30,8 @@ def _examples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, pool = _examples(spark, sf_dir)
-    asked = rows.select("key", "gold", "state", I.expected_type(F.col("question"), F.col("gold")).alias("kind"), F.transform("own", I.plain).alias("forbidden"))
-    got = I.distractors(asked, pool, 4, 3).join(asked.select("key", "forbidden"), "key")
+    asked = rows.select("key", "gold", "state", I.expected_type(F.col("question"), F.col("gold")).alias("kind"), F.transform("own", I.plain).alias("forbidden"), F.lit(3).alias("want"))
+    got = I.distractors(asked, pool, 3).join(asked.select("key", "forbidden"), "key")
     return got.select(F.col("key").alias("row_no"), F.size(F.array_distinct("picked")).alias("picked"), F.size(F.array_intersect(F.transform("picked", I.plain), "forbidden")).alias("clashes"))
 
 
