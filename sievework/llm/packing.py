@@ -187,11 +187,11 @@ def fills(packed: DataFrame, capacity: int) -> DataFrame:
 
 
 def fill_report(df: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """How full containers are with the top-up, and of buckets alone: top_up, containers, items, used, fill (share of the space)."""
+    """How full containers are with the top-up, and of buckets alone: top_up, containers, items, used, fill (share of the space; null without a container)."""
     parts = []
     for top_up in (True, False):
         f = fills(pack(df, capacity, id_col=id_col, text_col=text_col, top_up=top_up), capacity)
-        parts.append(f.agg(F.lit(top_up).alias("top_up"), F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("used").alias("used"), F.round(F.sum("used") / (F.count(F.lit(1)) * capacity), 6).alias("fill")))
+        parts.append(f.agg(F.lit(top_up).alias("top_up"), F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("used").alias("used"), F.round(F.sum("used") / F.nullif(F.count(F.lit(1)) * capacity, F.lit(0)), 6).alias("fill")))
     return parts[0].unionByName(parts[1])
 
 

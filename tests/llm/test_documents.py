@@ -171,6 +171,8 @@ def test_empty(spark):
     blank = spark.createDataFrame([(1, None, None), (2, "", "big")], none.schema)
     for df in (none, blank):
         assert cutting.oversized(cutting.cut_texts(df, 10, 2)).count() == 0
+        report = packing.fill_report(df, 10).collect()
+        assert {r.top_up for r in report} == {True, False} and all(r.containers == 0 and r.fill is None for r in report) and packing.totals(packing.pack(df, 10), 10).first().tokens == 0
         assert packing.pack(df, 10).where("container IS NOT NULL").count() == 0 and packing.pack(df, 10).count() == df.count()
         plans = mixing.plan_mix(df, targets(spark))
         assert mixing.mix(df, plans).count() == 0 and mixing.shares(df, plans).count() == 4
