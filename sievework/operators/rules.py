@@ -26,7 +26,7 @@ class Origins:
     trajectory: tuple[str, ...] = ("apigen",)
     constructed: tuple[str, ...] = ("abstention",)
     synthetic: tuple[str, ...] = ("synthetic",)
-    authored: tuple[str, ...] = ("typed_decisions", "openjev_authored144")
+    authored: tuple[str, ...] = ("typed_decisions",)
     datasets: tuple[str, ...] = DATASET_SOURCES
     constructed_id: str = "-abstain-"
 

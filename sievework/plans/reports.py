@@ -131,17 +131,20 @@ def quadratic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price of a line as a quadratic of its quantity."""
     x = F.col("l_quantity")
     f = calibration.least_squares(_t(spark, sf_dir, "lineitem"), [x, x * x], F.col("l_extendedprice"))
-    return spark.createDataFrame([(f["n"], *(round(w, 4) for w in f["weights"]))], "n bigint, linear double, quadratic double, fixed double")
+    rows = [(f["n"], *(round(w, 4) for w in f["weights"]))] if f else []
+    return spark.createDataFrame(rows, "n bigint, linear double, quadratic double, fixed double")
 
 
 def fold_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five folds of orders by key: root mean square of what is left on a fold by the line fitted on the others."""
     o = _t(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5).alias("fold"), F.dayofyear("o_orderdate").cast("double").alias("x"), F.col("o_totalprice").alias("y"))
-    out = None
+    out = spark.createDataFrame([], "fold bigint, n bigint, rms double")
     for fold in range(5):
         f = calibration.least_squares(o.where(F.col("fold") != fold), [F.col("x")], F.col("y"))
+        if f is None:
+            continue
         rest = o.where(F.col("fold") == fold).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(F.pow(F.col("y") - calibration.fitted(f, [F.col("x")]), F.lit(2.0)))), 3).alias("rms"))
-        out = rest if out is None else out.unionByName(rest)
+        out = out.unionByName(rest)
     return out
 
 
