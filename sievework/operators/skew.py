@@ -12,6 +12,12 @@ def salt(*columns: str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is by shuffle and merge. Spark estimates a side by the compressed files below it, without what explode or decoding add,
+    so one that grows with the input can pass for small and be gathered by the driver to be broadcast."""
+    return df.hint("merge")
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = SALTS, how: str = "left") -> DataFrame:
     """left with the columns of right, which has at most one row for each key.
 

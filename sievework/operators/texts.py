@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.skew import shuffled
+
 _TOKENS = r"[a-z0-9]+"
 
 
@@ -26,7 +28,7 @@ def support_sentences(df: DataFrame, id_col: str, text: str, question: str) -> D
     flat = tokens.select("id", "place", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     idf = flat.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(tokens.agg(F.count(F.lit(1)).alias("total"))).select("token", (F.ln((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
     asked = df.select(F.col(id_col).alias("id"), F.explode(ascii_tokens(F.col(question))).alias("token"))
-    scores = flat.join(asked, ["id", "token"]).join(idf, "token").groupBy("id", "place").agg((F.sum("idf") / F.sqrt(F.first("n"))).alias("score"))
+    scores = flat.join(shuffled(asked), ["id", "token"]).join(shuffled(idf), "token").groupBy("id", "place").agg((F.sum("idf") / F.sqrt(F.first("n"))).alias("score"))
     return scores.groupBy("id").agg(F.min_by("place", F.struct(-F.round("score", 9), F.col("place"))).alias("place"), F.round(F.max("score"), 9).alias("score"))
 
 

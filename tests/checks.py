@@ -1,4 +1,4 @@
-"""Comparison of frames with DuckDB results."""
+"""Comparison of frames with DuckDB results; joins of plans."""
 
 import math
 from pathlib import Path
@@ -26,6 +26,11 @@ def plain(value):
     return value
 
 
+def broadcast_joins(df):
+    """Joins by key of a plan that broadcast a side."""
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
 def rows(pdf):
     pdf = pdf[sorted(pdf.columns)]
     return sorted((tuple(plain(v) for v in r) for r in pdf.itertuples(index=False, name=None)), key=repr)
