@@ -3,7 +3,7 @@
 import pytest
 from checks import broadcast_joins
 
-from sievework.operators import texts
+from sievework.operators import items, texts
 
 
 @pytest.fixture
@@ -19,3 +19,9 @@ def test_support_sentences(few):
     got = texts.support_sentences(few, "row_no", "state", "instructions")
     assert broadcast_joins(got) == 0
     assert {(r.id, r.place) for r in got.collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_evidence_removed(few):
+    got = items.without_support(few, "row_no", "state", "instructions", 1)
+    assert broadcast_joins(got) == 0
+    assert {(r.key, r.place) for r in got.collect()} == {(1, 0), (2, 1), (3, 1)}
