@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.operators.skew import shuffled
 from sievework.session import cut
 
 #: Edges up to this number are joined up by one task; more are contracted first, however many there are.
@@ -56,15 +57,15 @@ def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES, seed: i
         rounds.append(into)
         at = lambda end: into.select(F.col("node").alias(end), F.col("into").alias(f"{end}_into"))
         now = cut(
-            now.join(at("src"), "src").join(at("dst"), "dst").where("src_into <> dst_into")
+            now.join(shuffled(at("src")), "src").join(shuffled(at("dst")), "dst").where("src_into <> dst_into")
             .select(F.least("src_into", "dst_into").alias("src"), F.greatest("src_into", "dst_into").alias("dst")).distinct()
         )
         n = now.count()
     found = now.groupBy(F.lit(1).alias("one")).applyInArrow(union, "node bigint, component bigint") if n else spark.createDataFrame([], "node bigint, component bigint")
     for into in reversed(rounds):
-        found = into.join(found.withColumnRenamed("node", "into"), "into", "left").select("node", F.coalesce("component", "into").alias("component"))
+        found = into.join(shuffled(found.withColumnRenamed("node", "into")), "into", "left").select("node", F.coalesce("component", "into").alias("component"))
     if rounds:  # names so far are whichever node was left
         found = cut(found)
         least = found.groupBy("component").agg(F.min("node").alias("least"))
-        found = found.join(least, "component").select("node", F.col("least").alias("component"))
-    return found.unionByName(alone.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+        found = found.join(shuffled(least), "component").select("node", F.col("least").alias("component"))
+    return found.unionByName(alone.join(shuffled(found.select("node")), "node", "left_anti").select("node", F.col("node").alias("component")))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.forms import _mixed, form_column, gram_hashes
 from sievework.operators.components import connected_components
-from sievework.operators.skew import lookup
+from sievework.operators.skew import lookup, shuffled
 from sievework.session import cut
 
 PERMUTATIONS, BANDS, THRESHOLD = 128, 32, 0.7
@@ -67,12 +67,14 @@ Compare = Callable[[np.ndarray, Callable[[int, int], float], np.ndarray], list[t
 def _in_buckets(reps: DataFrame, compare: Compare) -> DataFrame:
     """compare's pairs of ids (a, b) for all buckets of two and more. reps: as signed() gives them, and role.
 
-    A bucket of many is dealt to blocks of BUCKET_BLOCK, each pair of which is a piece of work of its own; a task holds one at a time.
+    Buckets of the same members make the same pairs, so one of them is compared. A bucket of many is dealt to blocks of BUCKET_BLOCK, each pair of which
+    is a piece of work of its own; a task holds one at a time.
     """
     members = reps.select("id", F.explode("buckets").alias("bucket"))
-    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(several, "bucket").withColumns({"mine": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-    keyed = dealt.select("id", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("work")).join(reps.drop("buckets"), "id")
+    sets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).where("n > 1")
+    several = sets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(shuffled(several), "bucket").withColumns({"mine": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    keyed = dealt.select("id", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("work")).join(shuffled(reps.drop("buckets")), "id")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -125,7 +127,7 @@ def clusters(df: DataFrame, id_col: str, text: Column | None = None, threshold:
     named = cut(df.select(F.col(id_col).cast("bigint").alias("id"), F.unhex(F.md5(text)).alias("key"), (text != "").alias("some")).where("some").drop("some"))
     reps = cut(signed(df, id_col, text).withColumn("role", F.lit(0)))
     found = connected_components(_in_buckets(reps, forest).toDF("src", "dst"))
-    of = reps.select(F.col("id").alias("node"), F.unhex(F.md5("text")).alias("key")).join(found, "node", "left").select("key", F.coalesce("component", "node").alias("cluster"))
+    of = reps.select(F.col("id").alias("node"), F.unhex(F.md5("text")).alias("key")).join(shuffled(found), "node", "left").select("key", F.coalesce("component", "node").alias("cluster"))
     return lookup(named, of, "key", "id", how="inner").select("id", "cluster")
 
 
@@ -148,12 +150,12 @@ def near_any(df: DataFrame, id_col: str, held: Column, text: Column | None = Non
     rows = cut(df.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), F.coalesce(held, F.lit(False)).alias("held")).where("text <> ''").withColumn("key", F.unhex(F.md5("text"))))
     theirs = rows.where("held").select("key").distinct().withColumn("equal", F.lit(True))
     rest = lookup(rows.where("NOT held").select("id", "key"), theirs, "key", "id")
-    open_ = rest.where("equal IS NULL").select("id").join(rows.select("id", "text"), "id").withColumn("held", F.lit(False))
+    open_ = rest.where("equal IS NULL").select("id").join(shuffled(rows.select("id", "text")), "id").withColumn("held", F.lit(False))
     both = open_.select("id", "text", F.lit(0).alias("role")).unionByName(rows.where("held").select("id", "text", F.lit(1).alias("role")))
     # a text on either side is compared once, under its least id
     sides = [signed(both.where(F.col("role") == r), "id", F.col("text")).withColumn("role", F.lit(r)) for r in (0, 1)]
     hits = _in_buckets(cut(sides[0].unionByName(sides[1])), first).select(F.col("a").alias("id")).distinct()
-    near = lookup(open_.select("id", F.unhex(F.md5("text")).alias("key")), hits.join(rows.select("id", "key"), "id").select("key", F.lit(True).alias("hit")), "key", "id", how="inner")
+    near = lookup(open_.select("id", F.unhex(F.md5("text")).alias("key")), hits.join(shuffled(rows.select("id", "key")), "id").select("key", F.lit(True).alias("hit")), "key", "id", how="inner")
     return rest.where("equal").select("id", F.lit(True).alias("equal")).unionByName(near.select("id", F.lit(False).alias("equal")))
 
 

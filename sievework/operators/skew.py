@@ -26,8 +26,8 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int
     A null key finds nothing.
     """
     salted = left.withColumn("_salt", salt(spread, salts=salts))
-    pairs = salted.where(F.col(key).isNotNull()).select(key, "_salt").distinct().join(right, key, "inner")
-    return salted.join(pairs, [key, "_salt"], how).drop("_salt")
+    pairs = salted.where(F.col(key).isNotNull()).select(key, "_salt").distinct().join(shuffled(right), key, "inner")
+    return salted.join(shuffled(pairs), [key, "_salt"], how).drop("_salt")
 
 
 def first_per_key(df: DataFrame, key: str, value: str, name: str) -> DataFrame:

@@ -2,8 +2,24 @@
 
 import pytest
 from checks import broadcast_joins
+from pyspark.sql import functions as F
 
-from sievework.operators import items, texts
+from sievework import session
+from sievework.operators import clusters, components, items, minhash, texts
+
+
+@pytest.fixture
+def broadcasts(monkeypatch):
+    """Broadcast joins of each table that is cut."""
+    seen = []
+
+    def cut(df):
+        seen.append(broadcast_joins(df))
+        return session.cut(df)
+
+    for module in (clusters, components, minhash):
+        monkeypatch.setattr(module, "cut", cut)
+    return seen
 
 
 @pytest.fixture
@@ -25,3 +41,22 @@ def test_evidence_removed(few):
     got = items.without_support(few, "row_no", "state", "instructions", 1)
     assert broadcast_joins(got) == 0
     assert {(r.key, r.place) for r in got.collect()} == {(1, 0), (2, 1), (3, 1)}
+
+
+def test_near_clusters(few, broadcasts):
+    got = minhash.clusters(few, "row_no", F.col("state"))
+    assert broadcast_joins(got) == sum(broadcasts) == 0
+    assert {(r.id, r.cluster) for r in got.collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_components_in_rounds(spark, tmp_path, broadcasts):
+    spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 9)], "src bigint, dst bigint").write.parquet(f"{tmp_path}/edges.parquet")
+    got = components.connected_components(spark.read.parquet(f"{tmp_path}/edges.parquet"), 0)
+    assert broadcast_joins(got) == sum(broadcasts) == 0
+    assert {(r.node, r.component) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 9)}
+
+
+def test_buckets_of_the_same_members_are_compared_once(spark):
+    reps = spark.createDataFrame([(1, "abcdef", b"0000", [5, 6, 7], 0), (2, "abcdeg", b"0000", [5, 6, 8], 0), (3, "x", b"1111", [8], 0)], "id bigint, text string, signature binary, buckets array<bigint>, role int")
+    pairs = minhash._in_buckets(reps, lambda signs, exact, role: [(0, 1)]).collect()
+    assert sorted((r.a, r.b) for r in pairs) == [(1, 2), (2, 3)]
