@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions.columns import hash_fraction
 from sievework.operators import minhash
 from sievework.operators.components import connected_components
-from sievework.operators.skew import first_per_key, lookup
+from sievework.operators.skew import first_per_key, lookup, shuffled
 from sievework.session import cut
 
 
@@ -17,11 +17,11 @@ def report(df: DataFrame, id_col: str, text: Column, source: str = "source", thr
 
     Clusters are counted by texts, so copies of one text are no cluster. A source's clusters are reduced to (cluster, source) first.
     """
-    rows = cut(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.unhex(F.md5(text)).alias("key")).join(minhash.clusters(df, id_col, text, threshold), "id"))
+    rows = cut(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.unhex(F.md5(text)).alias("key")).join(shuffled(minhash.clusters(df, id_col, text, threshold)), "id"))
     several = rows.select("cluster", "key").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     inside = cut(lookup(rows, several, "cluster", "id", how="inner").groupBy("cluster", "source").agg(F.count(F.lit(1)).alias("rows")))
     shared = inside.groupBy("cluster").agg((F.count(F.lit(1)) > 1).alias("shared"))
-    by_source = inside.join(shared, "cluster").groupBy("source").agg(F.sum("rows").alias("rows_in_clusters"), F.count(F.lit(1)).alias("clusters"), F.sum(F.col("shared").cast("int")).alias("shared_clusters"))
+    by_source = inside.join(shuffled(shared), "cluster").groupBy("source").agg(F.sum("rows").alias("rows_in_clusters"), F.count(F.lit(1)).alias("clusters"), F.sum(F.col("shared").cast("int")).alias("shared_clusters"))
     a, b = (inside.select("cluster", F.col("source").alias(f"source_{x}")) for x in "ab")
     return by_source, a.join(b, "cluster").where("source_a < source_b").groupBy("source_a", "source_b").agg(F.count(F.lit(1)).alias("clusters"))  # sources of one cluster
 

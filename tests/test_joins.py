@@ -60,3 +60,9 @@ def test_buckets_of_the_same_members_are_compared_once(spark):
     reps = spark.createDataFrame([(1, "abcdef", b"0000", [5, 6, 7], 0), (2, "abcdeg", b"0000", [5, 6, 8], 0), (3, "x", b"1111", [8], 0)], "id bigint, text string, signature binary, buckets array<bigint>, role int")
     pairs = minhash._in_buckets(reps, lambda signs, exact, role: [(0, 1)]).collect()
     assert sorted((r.a, r.b) for r in pairs) == [(1, 2), (2, 3)]
+
+
+def test_report(few, broadcasts):
+    by_source, _ = clusters.report(few, "row_no", F.col("state"))
+    assert broadcast_joins(by_source) == sum(broadcasts) == 0
+    assert {tuple(r) for r in by_source.collect()} == {("a", 1, 1, 1), ("b", 1, 1, 1)}
