@@ -23,7 +23,7 @@ def report(df: DataFrame, id_col: str, text: Column, source: str = "source", thr
     shared = inside.groupBy("cluster").agg((F.count(F.lit(1)) > 1).alias("shared"))
     by_source = inside.join(shuffled(shared), "cluster").groupBy("source").agg(F.sum("rows").alias("rows_in_clusters"), F.count(F.lit(1)).alias("clusters"), F.sum(F.col("shared").cast("int")).alias("shared_clusters"))
     a, b = (inside.select("cluster", F.col("source").alias(f"source_{x}")) for x in "ab")
-    return by_source, a.join(b, "cluster").where("source_a < source_b").groupBy("source_a", "source_b").agg(F.count(F.lit(1)).alias("clusters"))  # sources of one cluster
+    return by_source, a.join(shuffled(b), "cluster").where("source_a < source_b").groupBy("source_a", "source_b").agg(F.count(F.lit(1)).alias("clusters"))  # sources of one cluster
 
 
 def cluster_split(df: DataFrame, id_col: str, text: Column, domain: str, share: float = 0.1) -> DataFrame:

@@ -63,6 +63,7 @@ def test_buckets_of_the_same_members_are_compared_once(spark):
 
 
 def test_report(few, broadcasts):
-    by_source, _ = clusters.report(few, "row_no", F.col("state"))
-    assert broadcast_joins(by_source) == sum(broadcasts) == 0
+    by_source, shared = clusters.report(few, "row_no", F.col("state"))
+    assert broadcast_joins(by_source) == broadcast_joins(shared) == sum(broadcasts) == 0
     assert {tuple(r) for r in by_source.collect()} == {("a", 1, 1, 1), ("b", 1, 1, 1)}
+    assert [tuple(r) for r in shared.collect()] == [("a", "b", 1)]
