@@ -29,7 +29,7 @@ def report(df: DataFrame, id_col: str, text: Column, source: str = "source", thr
 def cluster_split(df: DataFrame, id_col: str, text: Column, domain: str, share: float = 0.1) -> DataFrame:
     """One split per cluster of a domain: id, cluster, side, alone (the side the row would have by itself). Clusters are those of the whole table, the least id of the
     domain's rows in a cluster being its key, so a row without near duplicates keeps the side of its own key. Rows without a text are left out."""
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(domain), F.lit("")).alias("domain")).join(minhash.clusters(df, id_col, text), "id")
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(domain), F.lit("")).alias("domain")).join(shuffled(minhash.clusters(df, id_col, text)), "id")
     rows = cut(rows.withColumn("unit", F.struct("domain", "cluster")))
     keys = first_per_key(rows, "unit", "id", "first")
     side = lambda key: F.when(hash_fraction(F.concat_ws("-", "domain", F.col(key).cast("string"))) < share, "test").otherwise("train")

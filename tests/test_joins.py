@@ -67,3 +67,11 @@ def test_report(few, broadcasts):
     assert broadcast_joins(by_source) == broadcast_joins(shared) == sum(broadcasts) == 0
     assert {tuple(r) for r in by_source.collect()} == {("a", 1, 1, 1), ("b", 1, 1, 1)}
     assert [tuple(r) for r in shared.collect()] == [("a", "b", 1)]
+
+
+def test_cluster_split_and_leakage(few, broadcasts):
+    split = clusters.cluster_split(few, "row_no", F.col("state"), "source")
+    leakage = clusters.split_leakage(split)
+    assert broadcast_joins(split) == broadcast_joins(leakage) == sum(broadcasts) == 0
+    assert {(r.id, r.domain, r.cluster) for r in split.collect()} == {(1, "a", 1), (2, "b", 1), (3, "a", 3)}
+    assert {(r.domain, r.n, r.clusters, r.torn) for r in leakage.collect()} == {("a", 2, 2, 0), ("b", 1, 1, 0)}
