@@ -190,13 +190,13 @@ def greedy_kept(df: DataFrame, id_col: str, text: Column | None = None, threshol
                 kept.append(i)
         return pa.table({"id": group["id"].take(pa.array(kept))})
 
-    reps = cut(signed(df, id_col, text).withColumn("role", F.lit(0)))
+    reps = cut(signed(df, id_col, text).withColumns({"text": F.lit(""), "role": F.lit(0)}))  # the estimate needs no text
     tied = connected_components(_in_buckets(reps, forest).toDF("src", "dst"))
-    sized = cut(tied.join(tied.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component").select(F.col("node").alias("id"), "component", "n"))
-    alone = reps.select("id").join(sized.select("id"), "id", "left_anti")
-    small = sized.where(F.col("n") <= pass_texts).join(reps.select("id", "signature", "buckets"), "id").select("component", "id", "signature", "buckets")
+    sized = cut(tied.join(shuffled(tied.groupBy("component").agg(F.count(F.lit(1)).alias("n"))), "component").select(F.col("node").alias("id"), "component", "n"))
+    alone = reps.select("id").join(shuffled(sized.select("id")), "id", "left_anti")
+    small = sized.where(F.col("n") <= pass_texts).join(shuffled(reps.select("id", "signature", "buckets")), "id").select("component", "id", "signature", "buckets")
     out = alone.unionByName(small.groupBy("component").applyInArrow(passed, "id bigint"))
-    large = reps.join(sized.where(F.col("n") > pass_texts).select("id"), "id", "left_semi")
+    large = reps.join(shuffled(sized.where(F.col("n") > pass_texts).select("id")), "id", "left_semi")
     return out.unionByName(_in_rounds(cut(large.select("id", "signature", "buckets")), threshold))
 
 
@@ -211,12 +211,12 @@ def _in_rounds(reps: DataFrame, threshold: float) -> DataFrame:
         return pa.array([float((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).mean()) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
     while not left.isEmpty():
-        marked = cut(left.join(left.groupBy("bucket").agg(F.min("id").alias("head")), "bucket"))
+        marked = cut(left.join(shuffled(left.groupBy("bucket").agg(F.min("id").alias("head"))), "bucket"))
         now = cut(marked.groupBy("id").agg(F.bool_and(F.col("id") == F.col("head")).alias("first")).where("first").select("id"))
         kept.append(now)
-        pairs = marked.where("id <> head").join(now.withColumnRenamed("id", "head"), "head").select("id", "head").distinct()
-        near = pairs.join(reps.select("id", "signature"), "id").join(reps.select(F.col("id").alias("head"), F.col("signature").alias("head_signature")), "head").where(alike("signature", "head_signature") >= threshold).select("id")
-        left = cut(left.join(now.unionByName(near).distinct(), "id", "left_anti"))
+        pairs = marked.where("id <> head").join(shuffled(now.withColumnRenamed("id", "head")), "head").select("id", "head").distinct()
+        near = pairs.join(shuffled(reps.select("id", "signature")), "id").join(shuffled(reps.select(F.col("id").alias("head"), F.col("signature").alias("head_signature"))), "head").where(alike("signature", "head_signature") >= threshold).select("id")
+        left = cut(left.join(shuffled(now.unionByName(near).distinct()), "id", "left_anti"))
     out = reps.sparkSession.createDataFrame([], "id bigint")
     for now in kept:
         out = out.unionByName(now)

@@ -75,3 +75,10 @@ def test_cluster_split_and_leakage(few, broadcasts):
     assert broadcast_joins(split) == broadcast_joins(leakage) == sum(broadcasts) == 0
     assert {(r.id, r.domain, r.cluster) for r in split.collect()} == {(1, "a", 1), (2, "b", 1), (3, "a", 3)}
     assert {(r.domain, r.n, r.clusters, r.torn) for r in leakage.collect()} == {("a", 2, 2, 0), ("b", 1, 1, 0)}
+
+
+@pytest.mark.parametrize("pass_texts", [1, 10])
+def test_greedy(few, broadcasts, pass_texts):
+    got = minhash.greedy_kept(few, "row_no", F.col("state"), pass_texts=pass_texts)
+    assert broadcast_joins(got) == sum(broadcasts) == 0
+    assert {r.id for r in got.collect()} == {1, 3}
