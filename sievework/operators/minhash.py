@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from sievework.functions.forms import _mixed, form_column, gram_hashes
 from sievework.operators.components import connected_components
 from sievework.operators.skew import lookup, shuffled
-from sievework.session import cut
+from sievework.session import cut, release, stored
 
 PERMUTATIONS, BANDS, THRESHOLD = 128, 32, 0.7
 #: Members of a bucket that a task compares with as many others.
 BUCKET_BLOCK = 1000
+#: Rows of buckets up to which texts are sent to all of them at once; more are sent in WAVES, so that not all lie on disk together.
+WAVE_ROWS, WAVES = 500_000, 4
 
 
 def prefilter(threshold: float, permutations: int = PERMUTATIONS) -> float:
@@ -44,8 +46,10 @@ def signature(text: str, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def signed(df: DataFrame, id_col: str, text: Column | None = None, permutations: int = PERMUTATIONS, bands: int = BANDS, seed: int = 1) -> DataFrame:
-    """Distinct texts that aren't empty, by their least id: id, text, signature (bytes), buckets (a hash of each band). text: what is compared, by default the form of the column state."""
+def signed(df: DataFrame, id_col: str, text: Column | None = None, permutations: int = PERMUTATIONS, bands: int = BANDS, seed: int = 1, sketch: bool = False) -> DataFrame:
+    """Distinct texts that aren't empty, by their least id: id, text, signature (bytes), buckets (a hash of each band). text: what is compared, by default the form of the column state.
+
+    sketch: of each value of a signature its last byte only, a quarter of the bytes; one pair of unequal values in 256 then passes for equal."""
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), (form_column("state") if text is None else text).alias("text")).where("text <> ''").groupBy("text").agg(F.min("id").alias("id"))
     rows = permutations // bands
 
@@ -55,7 +59,7 @@ def signed(df: DataFrame, id_col: str, text: Column | None = None, permutations:
             signs = [signature(t, times, plus) for t in batch.column(1).to_pylist()]
             parts = [_mixed((s.astype(np.uint64) + np.repeat(np.arange(bands, dtype=np.uint64) << np.uint64(32), rows)), 1).reshape(bands, rows) for s in signs]
             buckets = [(p * (2 * np.arange(rows, dtype=np.uint64) + np.uint64(1))).sum(axis=1, dtype=np.uint64).view(np.int64) for p in parts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in signs], pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["id", "text", "signature", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([(s.astype(np.uint8) if sketch else s).tobytes() for s in signs], pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["id", "text", "signature", "buckets"])
 
     return texts.select("id", "text").mapInArrow(made, "id bigint, text string, signature binary, buckets array<bigint>")
 
@@ -64,17 +68,19 @@ def signed(df: DataFrame, id_col: str, text: Column | None = None, permutations:
 Compare = Callable[[np.ndarray, Callable[[int, int], float], np.ndarray], list[tuple[int, int]]]
 
 
-def _in_buckets(reps: DataFrame, compare: Compare) -> DataFrame:
-    """compare's pairs of ids (a, b) for all buckets of two and more. reps: as signed() gives them, and role.
+def _in_buckets(reps: DataFrame, compare: Compare, value: type = np.uint32) -> DataFrame:
+    """compare's pairs of ids (a, b) for all buckets of two and more. reps: as signed() gives them, and role; value: what a signature is made of.
 
     Buckets of the same members make the same pairs, so one of them is compared. A bucket of many is dealt to blocks of BUCKET_BLOCK, each pair of which
     is a piece of work of its own; a task holds one at a time.
     """
-    members = reps.select("id", F.explode("buckets").alias("bucket"))
+    spark = reps.sparkSession
+    release(spark)
+    members = reps.select("id", F.explode("buckets").alias("bucket")).where("bucket IS NOT NULL").repartition("bucket")  # one shuffle for both uses
     sets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).where("n > 1")
     several = sets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
     dealt = members.join(shuffled(several), "bucket").withColumns({"mine": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-    keyed = dealt.select("id", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("work")).join(shuffled(reps.drop("buckets")), "id")
+    works = cut(dealt.select("id", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("work")))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -82,7 +88,7 @@ def _in_buckets(reps: DataFrame, compare: Compare) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                signs = np.stack([np.frombuffer(h[1], np.uint32) for h in held])
+                signs = np.stack([np.frombuffer(h[1], value) for h in held])
                 grams: dict[int, np.ndarray] = {}
 
                 def exact(i: int, j: int) -> float:
@@ -101,8 +107,18 @@ def _in_buckets(reps: DataFrame, compare: Compare) -> DataFrame:
                 held.append(row[1:])
         yield from close()
 
-    ordered = keyed.select("work", "id", "signature", "text", "role").repartition("work").sortWithinPartitions("work", "id")
-    return ordered.mapInArrow(compared, "a bigint, b bigint")
+    def pairs(of: DataFrame) -> DataFrame:
+        keyed = of.join(shuffled(reps.drop("buckets")), "id").select("work", "id", "signature", "text", "role")
+        return keyed.repartition("work").sortWithinPartitions("work", "id").mapInArrow(compared, "a bigint, b bigint")
+
+    release(spark)
+    if works.count() <= WAVE_ROWS:
+        return pairs(works)
+    found = spark.createDataFrame([], "a bigint, b bigint")
+    for wave in range(WAVES):
+        found = found.unionByName(cut(pairs(works.where(F.pmod("work", F.lit(WAVES)) == wave))))
+        release(spark)
+    return found
 
 
 def clusters(df: DataFrame, id_col: str, text: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -125,8 +141,8 @@ def clusters(df: DataFrame, id_col: str, text: Column | None = None, threshold:
 
     text = form_column("state") if text is None else text
     named = cut(df.select(F.col(id_col).cast("bigint").alias("id"), F.unhex(F.md5(text)).alias("key"), (text != "").alias("some")).where("some").drop("some"))
-    reps = cut(signed(df, id_col, text).withColumn("role", F.lit(0)))
-    found = connected_components(_in_buckets(reps, forest).toDF("src", "dst"))
+    reps = stored(signed(df, id_col, text, sketch=True).withColumn("role", F.lit(0)))
+    found = connected_components(_in_buckets(reps, forest, np.uint8).toDF("src", "dst"))
     of = reps.select(F.col("id").alias("node"), F.unhex(F.md5("text")).alias("key")).join(shuffled(found), "node", "left").select("key", F.coalesce("component", "node").alias("cluster"))
     return lookup(named, of, "key", "id", how="inner").select("id", "cluster")
 
@@ -153,8 +169,8 @@ def near_any(df: DataFrame, id_col: str, held: Column, text: Column | None = Non
     open_ = rest.where("equal IS NULL").select("id").join(shuffled(rows.select("id", "text")), "id").withColumn("held", F.lit(False))
     both = open_.select("id", "text", F.lit(0).alias("role")).unionByName(rows.where("held").select("id", "text", F.lit(1).alias("role")))
     # a text on either side is compared once, under its least id
-    sides = [signed(both.where(F.col("role") == r), "id", F.col("text")).withColumn("role", F.lit(r)) for r in (0, 1)]
-    hits = _in_buckets(cut(sides[0].unionByName(sides[1])), first).select(F.col("a").alias("id")).distinct()
+    sides = [signed(both.where(F.col("role") == r), "id", F.col("text"), sketch=True).withColumn("role", F.lit(r)) for r in (0, 1)]
+    hits = _in_buckets(stored(sides[0].unionByName(sides[1])), first, np.uint8).select(F.col("a").alias("id")).distinct()
     near = lookup(open_.select("id", F.unhex(F.md5("text")).alias("key")), hits.join(shuffled(rows.select("id", "key")), "id").select("key", F.lit(True).alias("hit")), "key", "id", how="inner")
     return rest.where("equal").select("id", F.lit(True).alias("equal")).unionByName(near.select("id", F.lit(False).alias("equal")))
 

@@ -82,3 +82,19 @@ def test_greedy(few, broadcasts, pass_texts):
     got = minhash.greedy_kept(few, "row_no", F.col("state"), pass_texts=pass_texts)
     assert broadcast_joins(got) == sum(broadcasts) == 0
     assert {r.id for r in got.collect()} == {1, 3}
+
+
+def test_clusters_in_waves(spark, few, broadcasts, monkeypatch):
+    monkeypatch.setattr(minhash, "WAVE_ROWS", 0)
+    seen = []
+
+    def in_buckets(reps, *more, made=minhash._in_buckets):
+        seen.append(max(len(r.signature) for r in reps.collect()))
+        return made(reps, *more)
+
+    monkeypatch.setattr(minhash, "_in_buckets", in_buckets)
+    leakage = clusters.split_leakage(clusters.cluster_split(few, "row_no", F.col("state"), "source"))
+    assert broadcast_joins(leakage) == sum(broadcasts) == 0
+    assert {(r.domain, r.n, r.clusters, r.torn) for r in leakage.collect()} == {("a", 2, 2, 0), ("b", 1, 1, 0)}
+    assert seen == [minhash.PERMUTATIONS]  # a byte for each value, not four
+    assert len(broadcasts) == 4 + minhash.WAVES  # each wave's pairs are cut
